@@ -14,8 +14,8 @@ PARSING_ERROR = "PARSING ERROR"
 # Retrieval depth when the caller gives none.
 RETRIEVAL_K = 4
 
-# Copies of the lookup side, and so tasks, a single hot lookup key is spread over.
-LOOKUP_SALTS = 8
+# Rows of one lookup key above which they are split over several tasks.
+HOT_ROWS = 500_000
 
 SHORT_MODEL = "short-context"
 LONG_MODEL = "long-context"

@@ -37,10 +37,15 @@ def words(text: Column) -> Column:
 
 def word_overlap(left: Column, right: Column) -> Column:
     """Share of distinct words two texts have in common (1.0 when neither has any)."""
-    a, b = words(left), words(right)
-    union = F.size(F.array_union(a, b))
-    shared = F.size(F.array_intersect(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
+
+    def share(pair: Column) -> Column:
+        shared = F.size(F.array_intersect(pair["a"], pair["b"]))
+        union = F.size(pair["a"]) + F.size(pair["b"]) - shared
+        return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
+
+    # Bound in a lambda, so the words are taken once however often they are used.
+    both = F.array(F.struct(words(left).alias("a"), words(right).alias("b")))
+    return F.transform(both, share)[0]
 
 
 def parse_table_list(output: Column) -> Column:

@@ -14,6 +14,7 @@ from questline.operators.catalog import definitions_for
 from questline.operators.enrich import EmbeddingClient, TextClient, embed, generate
 from questline.operators.lookup import lookup
 from questline.operators.nearest import nearest
+from questline.session import cut_lineage
 
 
 def _no_names() -> Column:
@@ -76,14 +77,14 @@ def retrieve(
         carried = F.concat(F.array(F.lit("any")), _marked("schema ", "schema_list"), _marked("table ", "table_list"))
         offered = statements.select("statement_id", "question_embeddings", F.explode(carried).alias("wanted"))
         groups = asked.select("wanted").distinct()
-        offered = lookup(offered, groups, ["wanted"], F.col("statement_id"), how="inner")
+        offered = offered.join(groups, "wanted", "left_semi")
         found = nearest(asked, offered, **names, query_group="wanted", corpus_group="wanted",
                         k=k, ties="first", dim=dim, **search)
     else:
         found = nearest(questions, statements, **names, k=k, ties="first", dim=dim, **search)
-    hits = found.select(
+    hits = cut_lineage(found.select(
         F.col("query_id").alias("question_id"), F.col("corpus_id").alias("statement_id"), "score", "place"
-    )
+    ))
     details = statements.select(
         "statement_id", "generated_question", "statement_text", "manual_summarization", "table_list"
     )
@@ -120,6 +121,7 @@ def answer_prompts(
     mined: DataFrame, table_search: DataFrame, system: str | None = SYSTEM_INSTRUCTION, escape: bool = True
 ) -> DataFrame:
     """Adds ``table_definitions``, ``full_prompt`` and, for chat models, ``system_prompt``."""
+    mined = cut_lineage(mined)
     described = definitions_for(mined.select("question_id", "tables"), "question_id", "tables", table_search, escape)
     prompted = mined.join(described, "question_id").withColumn(
         "full_prompt", build_prompt(F.col("prompt"), F.col("table_definitions"), F.col("sample_queries"))

@@ -25,11 +25,10 @@ def unique_names(tables: DataFrame) -> DataFrame:
     )
     pairs = named.groupBy("table_name", "schema_table_name").agg(F.count(F.lit(1)).alias("pair_count"))
     names = pairs.groupBy("table_name").agg(F.sum("pair_count").alias("name_count"))
+    counts = lookup(pairs, names, ["table_name"], F.col("schema_table_name"))
     counted = lookup(
-        named, pairs.select("schema_table_name", "pair_count"),
-        ["schema_table_name"], F.col("table_catalog"),
+        named, counts.drop("table_name"), ["schema_table_name"], F.col("table_catalog")
     )
-    counted = lookup(counted, names, ["table_name"], F.col("full_table_name"))
     by_name, by_pair = F.col("name_count") == 1, F.col("pair_count") == 1
     return counted.select(
         "full_table_name",

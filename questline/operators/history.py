@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from questline.config import RERUN_THRESHOLD
 from questline.functions.text import mask_literals, word_overlap
-from questline.operators.lookup import lookup
 
 USER = ["warehouse_id", "executed_by"]
 
@@ -56,23 +55,24 @@ def with_next_run(history: DataFrame, bucket: str = "HOUR") -> DataFrame:
     user, ordered by end time and id.
     """
     following = ["end_time", "start_time", "statement_text", "statement_id"]
-    slot = [*USER, "_slot"]
-    runs = history.withColumn("_slot", F.date_trunc(bucket, F.col("end_time")))
-
+    slot = [*[f"_{c}" for c in USER], "_slot"]
+    # Nulls get a value of their own, so that windows and join share one plain partitioning.
+    runs = history.withColumns({
+        **{f"_{c}": F.coalesce(F.col(c), F.lit("\u0000")) for c in USER},
+        "_slot": F.coalesce(F.date_trunc(bucket, F.col("end_time")), F.lit("0001-01-01").cast("timestamp")),
+    })
     in_slot = Window.partitionBy(*slot).orderBy("end_time", "statement_id")
     led = runs.withColumn("_next", F.lead(F.struct(*following)).over(in_slot))
 
     # One row per user and bucket: the first run, ordered like the window above.
     first = F.min(F.struct("end_time", "statement_id", "start_time", "statement_text"))
-    by_user = Window.partitionBy(*USER).orderBy("_slot")
+    by_user = Window.partitionBy(*slot[:-1]).orderBy("_slot")
     heads = (
         runs.groupBy(*slot).agg(first.alias("_first"))
         .withColumn("_head", F.lead(F.struct(*[F.col(f"_first.{c}") for c in following])).over(by_user))
-        .select(*[F.col(c).alias(f"_at{c}") for c in slot], "_head")
+        .select(*slot, "_head")
     )
-    # Both sides are keyed by user and bucket already, so the runs are not shuffled again.
-    same_slot = [F.col(c).eqNullSafe(F.col(f"_at{c}")) for c in slot]
-    both = led.join(heads, same_slot, "left").withColumn("_next", F.coalesce("_next", "_head"))
+    both = led.join(heads, slot, "left").withColumn("_next", F.coalesce("_next", "_head"))
     return both.select(
         *history.columns,
         *[F.col(f"_next.{c}").alias(f"next_{c}") for c in following],
@@ -90,10 +90,10 @@ def drop_reruns(
     A run without a next one always stays. ``similarity`` is any column function.
     """
     score = similarity(F.coalesce(F.col("next_statement_text"), F.lit("")), F.col("statement_text"))
-    scored = runs.withColumn("next_similarity_score", score)
-    return scored.filter(
-        F.col("next_statement_id").isNull() | (F.col("next_similarity_score") < threshold)
-    )
+    last = F.col("next_statement_id").isNull()
+    # A filter on the score would make Spark compute it twice; exploding the kept one does not.
+    kept = F.filter(F.array(score), lambda s: last | (s < threshold))
+    return runs.withColumn("next_similarity_score", F.explode(kept))
 
 
 def newest(runs: DataFrame, k: int) -> DataFrame:
@@ -118,4 +118,4 @@ def distinct_history(
 def runs_of(history: DataFrame, statement_ids: DataFrame) -> DataFrame:
     """History rows of the given distinct ids (``statement_id`` is unique on the right)."""
     ids = statement_ids.select("statement_id").distinct()
-    return lookup(history, ids, ["statement_id"], F.col("end_time"), how="inner")
+    return history.join(ids, "statement_id", "left_semi")

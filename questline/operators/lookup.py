@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from questline.config import LOOKUP_SALTS
+from questline.config import HOT_ROWS
 
-_SALT = "_salt"
+_SALT, _COPIES = "_salt", "_copies"
 
 
 def lookup(
@@ -16,16 +16,27 @@ def lookup(
     on: list[str],
     spread: Column,
     how: str = "left",
-    salts: int = LOOKUP_SALTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``left`` joined to the unique-keyed ``right``, each key spread over ``salts`` tasks.
+    """``left`` joined to the unique-keyed ``right``, hot keys spread over many tasks.
 
-    A key that holds a large share of ``left`` would land in one shuffle partition; its
-    rows are split by a hash of ``spread`` and the one matching row of ``right`` is
-    repeated per salt. No broadcast is forced: Spark takes one when the size it knows or
-    measures is under its threshold.
+    Keys with more than ``hot_rows`` rows on the left are found first, on the key columns
+    alone and combined before the shuffle. Their rows are dealt out by a hash of ``spread``
+    into pieces of about ``hot_rows``, and their one row of ``right`` is repeated per piece;
+    all other keys join as they are. At most rows(left) / hot_rows keys can be hot, which
+    bounds what is broadcast and all repeats together.
+
+    ``left`` is read twice, so a costly one should be a written table.
     """
-    numbers = F.array(*[F.lit(i) for i in range(salts)])
-    salted = left.withColumn(_SALT, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    repeated = right.withColumn(_SALT, F.explode(numbers))
-    return salted.join(repeated, [*on, _SALT], how).drop(_SALT)
+    hot = F.broadcast(
+        left.groupBy(*on)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > hot_rows)
+        .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias(_COPIES))
+    )
+    copies = F.coalesce(F.col(_COPIES), F.lit(1))
+    dealt = left.join(hot, on, "left").withColumn(_SALT, F.pmod(F.xxhash64(spread), copies).cast("int"))
+    repeated = right.join(hot, on, "left").withColumn(
+        _SALT, F.explode(F.sequence(F.lit(0), copies - 1))
+    )
+    return dealt.drop(_COPIES).join(repeated.drop(_COPIES), [*on, _SALT], how).drop(_SALT)

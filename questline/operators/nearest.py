@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from questline.operators.lookup import lookup
 from questline.session import cut_lineage
 
 SCORE_DIGITS = 6       # scores carry single precision, which is what this rounding keeps
@@ -107,7 +106,7 @@ def _large_cells(rows: DataFrame, block_rows: int) -> DataFrame:
 def _packed(rows: DataFrame, large: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Blocks ``grp, cell, block, ids, raws``; a large cell's rows are dealt out by id hash."""
     blocks = F.coalesce(F.col("blocks"), F.lit(1))
-    dealt = lookup(rows, large, ["grp", "cell"], F.col("id")).withColumn(
+    dealt = rows.join(large, ["grp", "cell"], "left").withColumn(
         "block", F.pmod(F.xxhash64("id"), blocks).cast("int")
     )
     packed = dealt.groupBy("grp", "cell", "block").agg(
@@ -197,7 +196,7 @@ def _score_block(qids, qraws, floors, cids, craws, k, min_score, ties, exclude_s
 def _meet(queries: DataFrame, corpus: DataFrame, large: DataFrame, k, min_score, ties, exclude_self) -> DataFrame:
     """Query blocks scored against every corpus block of their group and cell."""
     bounded = "floors" in queries.columns
-    counted = lookup(queries, large, ["grp", "cell"], F.col("block")).withColumn(
+    counted = queries.join(large, ["grp", "cell"], "left").withColumn(
         "target", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
     )
     asked = counted.select(

@@ -10,6 +10,7 @@ from questline.functions.text import build_prompt
 from questline.operators.catalog import definitions_for
 from questline.operators.lookup import lookup
 from questline.operators.nearest import nearest
+from questline.session import cut_lineage
 
 
 def _table_postings(statements: DataFrame, dim: int) -> DataFrame:
@@ -72,6 +73,8 @@ def training_rows(
     SQL (by rank, then id) and the definitions of the neighbours' tables (by name); the
     response is the statement itself.
 
+    ``matches`` should be a written table, as it is read more than once.
+
     Statements without a neighbour, or whose neighbours' tables are all unknown to the
     catalog, have no row; :func:`without_prompt` lists them.
     """
@@ -86,11 +89,11 @@ def training_rows(
     )
     # One statement may be the neighbour of very many: a hot key of this lookup.
     described = lookup(partners, known, ["partner_id"], F.col("statement_id"), how="inner")
-    gathered = described.groupBy("statement_id").agg(
+    gathered = cut_lineage(described.groupBy("statement_id").agg(
         F.array_sort(F.collect_list(F.struct("place", "partner_id", "question", "sql"))).alias("found"),
         F.array_compact(F.array_distinct(F.flatten(F.collect_list("table_list")))).alias("sample_tables"),
-    )
-    # The tables go their own way by id, without the texts.
+    ))
+    # Written once above; the tables go their own way by id, without the texts.
     tables = definitions_for(
         gathered.select("statement_id", "sample_tables"), "statement_id", "sample_tables", table_search, escape
     ).filter(F.size("table_definitions") > 0)

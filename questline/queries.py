@@ -124,7 +124,7 @@ def refs_split(spark, d):
 
 def _resolved(spark, d, strict):
     names = catalog.unique_names(fx.tables(spark, d))
-    return references.resolve_references(_parsed(spark, d), names, strict).select(
+    return references.resolve_references(cut_lineage(_parsed(spark, d)), names, strict).select(
         "statement_id",
         F.transform(
             "table_struct_list",
@@ -232,7 +232,8 @@ def prompt_build(spark, d):
 
 def _training(spark, d):
     rows = fx.statements(spark, d)
-    return training.training_rows(training.top_matches(rows, dim=DIM), rows, _table_rows(spark, d))
+    matches = cut_lineage(training.top_matches(rows, dim=DIM))
+    return training.training_rows(matches, rows, _table_rows(spark, d))
 
 
 def train_set(spark, d):
@@ -313,10 +314,10 @@ def embed_text(spark, d):
 def _ingested(spark, d):
     """Runs, resolved references and summaries, each written once as in the ingest job."""
     runs = cut_lineage(history.distinct_history(fx.history(spark, d)))
-    extracted = runs.select(
+    extracted = cut_lineage(runs.select(
         "statement_id", "statement_text", references.route_model(F.col("statement_text")).alias("extraction_model"),
         extract_tables(F.col("statement_text")).alias("parsed_table_list"),
-    )
+    ))
     found = cut_lineage(references.resolve_references(extracted, catalog.unique_names(fx.tables(spark, d))))
     return found, enrich.with_generated_text(enrich.matched_statements(runs, found), TEXT_PROVIDER)
 

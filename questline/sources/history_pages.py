@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from questline.config import PAGE_ROW_CAP
-from questline.operators.lookup import lookup
 
 HISTORY_SCHEMA = T.StructType([
     T.StructField("account_id", T.StringType()),
@@ -78,7 +77,7 @@ def capped_pages(pages: DataFrame, row_cap: int = PAGE_ROW_CAP) -> DataFrame:
     # Both running totals in one: a last page uses up the whole cap.
     used = _prefix_sum(sizes, "page_no", F.col("n") + F.col("last") * F.lit(row_cap), "used")
     kept = used.filter(F.col("used") < row_cap).select("page_no")
-    return lookup(pages, kept, ["page_no"], F.col("page_no"), how="left_semi", salts=1)
+    return pages.join(kept, "page_no", "left_semi")
 
 
 def pages_to_history(pages: DataFrame, workspace_id: str | None = None) -> DataFrame:
