@@ -110,22 +110,24 @@ def hashed_words_provider(dim: int) -> Callable[[], EmbeddingClient]:
     """
 
     def provider() -> EmbeddingClient:
-        known: dict[str, tuple[int, int]] = {}
+        known: dict[str, int] = {}
 
-        def place(word: str) -> tuple[int, int]:
+        def place(word: str) -> int:
+            """Place of the word, moved up by ``dim`` when it takes one away."""
             if word not in known:
                 if len(known) > 1_000_000:
                     known.clear()
                 digest = hashlib.md5(word.encode()).hexdigest()
-                known[word] = int(digest[:8], 16) % dim, 1 - 2 * (int(digest[8], 16) % 2)
+                known[word] = int(digest[:8], 16) % dim + dim * (int(digest[8], 16) % 2)
             return known[word]
 
         def client(texts: list[str]) -> np.ndarray:
-            counts = np.zeros((len(texts), dim))
-            for row, text in enumerate(texts):
-                for word in re.findall(r"[a-z0-9]+", text.lower()):
-                    at, sign = place(word)
-                    counts[row, at] += sign
+            words = [re.findall(r"[a-z0-9]+", text.lower()) for text in texts]
+            places = np.fromiter((place(w) for listed in words for w in listed), dtype=np.int64)
+            rows = np.repeat(np.arange(len(texts)), [len(listed) for listed in words])
+            hits = np.bincount(rows * 2 * dim + places, minlength=len(texts) * 2 * dim)
+            added, taken = hits.reshape(len(texts), 2, dim).astype(float).transpose(1, 0, 2)
+            counts = added - taken
             length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
             return counts / np.where(length == 0, 1.0, length)
 

@@ -26,7 +26,9 @@ from questline.session import cut_lineage
 SCORE_DIGITS = 6       # scores carry single precision, which is what this rounding keeps
 BLOCK_ROWS = 1024      # rows of one block, about
 MAX_PIVOTS = 512       # also the most vectors that ever reach the driver
+PRUNE_FROM = 10**10    # row pairs from which cells pay off; below, all blocks are scored
 PAIRS_AT_ONCE = 65536  # pairs scored in double precision at a time
+BLOCKS_REMEMBERED = 4096  # query blocks whose best scores a task keeps
 SLACK = 1e-5           # more than single-precision products can be off
 
 _FOUND = "qid string, cid string, score double, bound double"
@@ -47,8 +49,6 @@ def _pivots(corpus: DataFrame, block_rows: int, max_pivots: int) -> np.ndarray |
     Two narrow passes with bounded results: ids are hashed into ``max_pivots`` buckets, each
     bucket's lowest hash is kept, and the vectors with these hashes are fetched.
     """
-    if max_pivots < 2:
-        return None
     ids = corpus.select(F.xxhash64("id").alias("h"))
     lowest = (
         ids.groupBy(F.pmod("h", F.lit(max_pivots)).alias("bucket"))
@@ -128,80 +128,110 @@ def _matrix(raws) -> tuple[np.ndarray, np.ndarray]:
     return raw, np.linalg.norm(raw.astype(np.float64), axis=1)
 
 
-def _same_width(ids, raws, bytes_wide: int):
-    kept = [i for i, raw in enumerate(raws) if len(raw) == bytes_wide]
+def _of_width(ids: list, raws: list, width: int) -> tuple[list[int], list, list]:
+    kept = [i for i, raw in enumerate(raws) if len(raw) == width]
     return kept, [ids[i] for i in kept], [raws[i] for i in kept]
 
 
-def _score_block(qids, qraws, floors, cids, craws, k, min_score, ties, exclude_self):
-    """Candidates of a query block in a corpus block, as (qid, cid, score, bound) columns."""
-    for wide in {len(raw) for raw in craws}:
-        cols, cid, craw = _same_width(cids, craws, wide)
-        rows, qid, qraw = _same_width(qids, qraws, wide)
+def _candidates(rough: np.ndarray, floor: np.ndarray, k: int | None) -> np.ndarray:
+    """Which single-precision scores may be among the k best of their row and at its floor."""
+    keep = np.isfinite(rough) & (rough >= floor[:, None] - SLACK)
+    if k is not None:
+        crowded = np.nonzero(keep.sum(axis=1) > k)[0]
+        if len(crowded):
+            at = rough.shape[1] - k
+            kth = np.partition(rough[crowded], at, axis=1)[:, at]
+            keep[crowded] &= rough[crowded] >= kth[:, None] - 2 * SLACK
+    return keep
+
+
+def _exact(q32, q_len, c32, c_len, r, c) -> np.ndarray:
+    score = np.empty(len(r))
+    for start in range(0, len(r), PAIRS_AT_ONCE):
+        i, j = r[start:start + PAIRS_AT_ONCE], c[start:start + PAIRS_AT_ONCE]
+        dots = np.einsum("ij,ij->i", q32[i].astype(np.float64), c32[j].astype(np.float64))
+        score[start:start + PAIRS_AT_ONCE] = dots / (q_len[i] * c_len[j])
+    return _round(score)
+
+
+def _row_slices(per_row: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of whole rows that hold about as many pairs as are scored at once."""
+    start, pairs = 0, 0
+    for row, n in enumerate(per_row):
+        if pairs and pairs + n > PAIRS_AT_ONCE:
+            yield start, row
+            start, pairs = row, 0
+        pairs += n
+    if pairs:
+        yield start, len(per_row)
+
+
+def _score_block(queries, corpus, best, k, min_score, ties, exclude_self) -> Iterator[pd.DataFrame]:
+    """Candidates of a query block in a corpus block.
+
+    ``queries`` is (ids, raws, floors or None), ``corpus`` (ids, raws). ``best`` holds the k
+    best scores of each query among the blocks of this group already met in this task; it
+    is brought up to date, and what falls below its k-th score is not handed on.
+    """
+    all_ids, all_raws, all_floors = queries
+    for width in {len(raw) for raw in corpus[1]}:
+        _, cids, craws = _of_width(*corpus, width)
+        rows, qids, qraws = _of_width(all_ids, all_raws, width)
         if not rows:
             continue
-        c32, c_len = _matrix(craw)
-        q32, q_len = _matrix(qraw)
+        c32, c_len = _matrix(craws)
+        q32, q_len = _matrix(qraws)
         rough = (q32 / q_len[:, None].astype(np.float32)) @ (c32 / c_len[:, None].astype(np.float32)).T
-        floor = np.full(len(qid), -np.inf) if floors is None else np.asarray(floors, dtype=np.float64)[rows]
+        floor = np.full(len(rows), -np.inf)
+        if all_floors is not None:
+            floor = np.maximum(floor, np.asarray(all_floors, dtype=np.float64)[rows])
         if min_score is not None:
             floor = np.maximum(floor, min_score)
+        if best is not None:
+            floor = np.maximum(floor, best[rows, 0])
         if exclude_self:
-            place = {name: i for i, name in enumerate(cid)}
-            for i, name in enumerate(qid):
+            place = {name: i for i, name in enumerate(cids)}
+            for i, name in enumerate(qids):
                 if name in place:
                     rough[i, place[name]] = -np.inf
-        if k is not None and len(cid) > k:
-            best = np.partition(rough, len(cid) - k, axis=1)[:, len(cid) - k]
-            floor = np.maximum(floor, best - SLACK)
-        keep = (rough >= floor[:, None] - SLACK) & np.isfinite(rough)
-        per_row = keep.sum(axis=1)
-        start = 0
-        while start < len(qid):
-            # Whole rows, as many as stay within the number of pairs scored at once.
-            stop = start + 1
-            pairs = per_row[start]
-            while stop < len(qid) and pairs + per_row[stop] <= PAIRS_AT_ONCE:
-                pairs += per_row[stop]
-                stop += 1
+        keep = _candidates(rough, floor, k)
+        for start, stop in _row_slices(keep.sum(axis=1)):
             r, c = np.nonzero(keep[start:stop])
             r += start
-            start = stop
+            score = _exact(q32, q_len, c32, c_len, r, c)
+            enough = score >= floor[r]
+            r, c, score = r[enough], c[enough], score[enough]
             if not len(r):
                 continue
-            exact = np.empty(len(r))
-            for a in range(0, len(r), PAIRS_AT_ONCE):
-                p = slice(a, a + PAIRS_AT_ONCE)
-                dots = np.einsum("ij,ij->i", q32[r[p]].astype(np.float64), c32[c[p]].astype(np.float64))
-                exact[p] = dots / (q_len[r[p]] * c_len[c[p]])
-            score = _round(exact)
-            found = pd.DataFrame({"r": r, "qid": [qid[i] for i in r], "cid": [cid[i] for i in c], "score": score})
-            if min_score is not None:
-                found = found[found["score"] >= min_score]
+            found = pd.DataFrame({"r": r, "cid": [cids[i] for i in c], "score": score})
             if k is not None:
                 found = found.sort_values(["r", "score", "cid"], ascending=[True, False, True])
-                place_in_row = found.groupby("r").cumcount()
-                kth = found[place_in_row == k - 1].set_index("r")["score"]
-                bound = found["r"].map(kth)
-                found["bound"] = bound
-                if ties == "first":
-                    found = found[place_in_row < k]
-                else:
-                    found = found[bound.isna() | (found["score"] >= bound)]
+                nth = found.groupby("r").cumcount().to_numpy()
+                at, new = np.asarray(rows)[found["r"].to_numpy()], found["score"].to_numpy()
+                first = nth < k
+                offered = np.full((len(all_ids), k), -np.inf)
+                offered[at[first], nth[first]] = new[first]
+                touched = np.unique(at)
+                both = np.concatenate([best[touched], offered[touched]], axis=1)
+                best[touched] = np.sort(both, axis=1)[:, k:]
+                bound = best[at, 0]
+                found["bound"] = np.where(np.isfinite(bound), bound, -1.0)
+                found = found[(new >= bound) & (first if ties == "first" else True)]
             else:
-                found["bound"] = np.nan
+                found["bound"] = -1.0
+            found["qid"] = [qids[i] for i in found["r"]]
             yield found[["qid", "cid", "score", "bound"]]
 
 
 def _meet(queries: DataFrame, corpus: DataFrame, large: DataFrame, k, min_score, ties, exclude_self) -> DataFrame:
     """Query blocks scored against every corpus block of their group and cell."""
-    bounded = "floors" in queries.columns
+    floors = [c for c in ("floors",) if c in queries.columns]
     counted = queries.join(large, ["grp", "cell"], "left").withColumn(
         "target", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
     )
     asked = counted.select(
-        "grp", "cell", "target", F.col("ids").alias("qids"), F.col("raws").alias("qraws"),
-        *(["floors"] if bounded else []),
+        "grp", "cell", "target", F.struct("grp", "cell", "block").cast("string").alias("block_name"),
+        F.col("ids").alias("qids"), F.col("raws").alias("qraws"), *floors,
     )
     offered = corpus.select(
         "grp", "cell", F.col("block").alias("target"), F.col("ids").alias("cids"), F.col("raws").alias("craws")
@@ -209,11 +239,17 @@ def _meet(queries: DataFrame, corpus: DataFrame, large: DataFrame, k, min_score,
     met = asked.join(offered, ["grp", "cell", "target"]).drop("grp", "cell", "target")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bests: dict[str, np.ndarray] = {}
         for batch in batches:
             for row in batch.itertuples(index=False):
+                best = None
+                if k is not None:
+                    if len(bests) > BLOCKS_REMEMBERED:
+                        bests.clear()
+                    best = bests.setdefault(row.block_name, np.full((len(row.qids), k), -np.inf))
                 yield from _score_block(
-                    list(row.qids), list(row.qraws), row.floors if bounded else None,
-                    list(row.cids), list(row.craws), k, min_score, ties, exclude_self,
+                    (list(row.qids), list(row.qraws), row.floors if floors else None),
+                    (list(row.cids), list(row.craws)), best, k, min_score, ties, exclude_self,
                 )
 
     return met.mapInPandas(score, _FOUND)
@@ -260,6 +296,7 @@ def nearest(
     dim: int | None = None,
     block_rows: int = BLOCK_ROWS,
     max_pivots: int = MAX_PIVOTS,
+    prune_from: int = PRUNE_FROM,
 ) -> DataFrame:
     """``query_id, corpus_id, score, place`` of each query's most similar corpus rows.
 
@@ -276,8 +313,10 @@ def nearest(
         raise ValueError("ties must be 'rank' or 'first'")
     asked = _vectors(queries, query_id, query_vector, query_group, dim)
     offered = _vectors(corpus, corpus_id, corpus_vector, corpus_group, dim)
+    pivots = None
     # Pivots need vectors of one width.
-    pivots = _pivots(offered, block_rows, max_pivots) if dim is not None else None
+    if dim is not None and asked.count() * offered.count() >= prune_from:
+        pivots = _pivots(offered, block_rows, max_pivots)
 
     c_rows, q_rows = _placed(offered, pivots), _placed(asked, pivots)
     if pivots is not None:
