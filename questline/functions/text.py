@@ -81,18 +81,21 @@ def extract_tables(statement: Column) -> Column:
     followed by ``(`` count as table functions, ``extract(x from y)`` is taken for a FROM
     clause, and a CTE hides a table of the same name everywhere in the statement.
     """
-    plain = F.regexp_replace(F.regexp_replace(statement, COMMENTS, " "), LITERALS, "''")
-    lists = F.regexp_extract_all(plain, F.lit(FROM_LIST), F.lit(1))
-    items = F.flatten(F.transform(lists, lambda x: F.split(x, r"\s*,\s*")))
-    names = F.transform(items, lambda x: F.regexp_extract(x, rf"^({_NAME})", 1))
-    names = F.filter(names, lambda x: ~x.endswith("("))
-    ctes = F.regexp_extract_all(plain, F.lit(CTE_NAME), F.lit(1))
 
-    def clean(x):
+    def clean(x: Column) -> Column:
         return F.lower(F.replace(F.trim(x), F.lit("`"), F.lit("")))
 
-    found = F.array_except(F.transform(names, clean), F.transform(ctes, clean))
-    return F.array_sort(F.filter(found, lambda x: x != ""))
+    def found(plain: Column) -> Column:
+        lists = F.regexp_extract_all(plain, F.lit(FROM_LIST), F.lit(1))
+        items = F.flatten(F.transform(lists, lambda x: F.split(x, r"\s*,\s*")))
+        names = F.transform(items, lambda x: F.regexp_extract(x, rf"^({_NAME})", 1))
+        tables = F.transform(F.filter(names, lambda x: ~x.endswith("(")), clean)
+        ctes = F.transform(F.regexp_extract_all(plain, F.lit(CTE_NAME), F.lit(1)), clean)
+        return F.array_sort(F.filter(F.array_except(tables, ctes), lambda x: x != ""))
+
+    # Bound in a lambda, so that the text is cleaned once for both patterns.
+    plain = F.regexp_replace(F.regexp_replace(statement, COMMENTS, " "), LITERALS, "''")
+    return F.transform(F.array(plain), found)[0]
 
 
 def quote_text(text: Column) -> Column:

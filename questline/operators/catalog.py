@@ -79,7 +79,8 @@ def table_rows(
         .groupBy(*TABLE_KEY)
         .agg(F.array_sort(F.collect_list("item")).alias("items"))
     )
-    known = tables.select(*TABLE_KEY, "table_type", "comment").distinct()
+    # Partitioned by the join key first, so that distinct and join need no other shuffle.
+    known = tables.select(*TABLE_KEY, "table_type", "comment").repartition(*TABLE_KEY).distinct()
     full_table = dotted(*TABLE_KEY)
     return known.join(gathered, TABLE_KEY, "left").select(
         *TABLE_KEY,

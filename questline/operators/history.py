@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from questline.config import RERUN_THRESHOLD
+from questline.config import HOT_ROWS, RERUN_THRESHOLD
 from questline.functions.text import mask_literals, word_overlap
+from questline.session import cut_lineage
 
 USER = ["warehouse_id", "executed_by"]
 
@@ -42,7 +43,7 @@ def latest_per_shape(history: DataFrame, keep: list[str] | None = None, safe_mas
     )
 
 
-def with_next_run(history: DataFrame, bucket: str = "HOUR") -> DataFrame:
+def with_next_run(history: DataFrame, bucket: str = "HOUR", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each run with the user's next run on the same warehouse.
 
     Adds ``next_end_time, next_start_time, next_statement_text, next_statement_id,
@@ -52,21 +53,33 @@ def with_next_run(history: DataFrame, bucket: str = "HOUR") -> DataFrame:
     A user may own much of the log, so the window is cut into time buckets: within a bucket
     it is a plain ``lead``; the last run of a bucket takes the first run of the user's next
     non-empty bucket, found over one row per bucket. The result is that of one window per
-    user, ordered by end time and id.
+    user, ordered by end time and id. Should a bucket hold more than ``hot_rows`` runs, which
+    a count over the keys tells beforehand, the runs are range-partitioned by the window's
+    order and each bucket is cut at the partition borders as well.
+
+    ``history`` is read more than once and should be a written table.
     """
     following = ["end_time", "start_time", "statement_text", "statement_id"]
-    slot = [*[f"_{c}" for c in USER], "_slot"]
+    owner = [f"_{c}" for c in USER]
+    slot = [*owner, "_slot", "_piece"]
     # Nulls get a value of their own, so that windows and join share one plain partitioning.
     runs = history.withColumns({
         **{f"_{c}": F.coalesce(F.col(c), F.lit("\u0000")) for c in USER},
         "_slot": F.coalesce(F.date_trunc(bucket, F.col("end_time")), F.lit("0001-01-01").cast("timestamp")),
     })
+    hot = runs.groupBy(*owner, "_slot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows)
+    if hot.isEmpty():
+        runs = runs.withColumn("_piece", F.lit(0))
+    else:
+        ranged = runs.repartitionByRange(*owner, "end_time", "statement_id")
+        # Written, so that a run keeps its partition number for good.
+        runs = cut_lineage(ranged.withColumn("_piece", F.spark_partition_id()))
     in_slot = Window.partitionBy(*slot).orderBy("end_time", "statement_id")
     led = runs.withColumn("_next", F.lead(F.struct(*following)).over(in_slot))
 
     # One row per user and bucket: the first run, ordered like the window above.
     first = F.min(F.struct("end_time", "statement_id", "start_time", "statement_text"))
-    by_user = Window.partitionBy(*slot[:-1]).orderBy("_slot")
+    by_user = Window.partitionBy(*owner).orderBy("_slot", "_piece")
     heads = (
         runs.groupBy(*slot).agg(first.alias("_first"))
         .withColumn("_head", F.lead(F.struct(*[F.col(f"_first.{c}") for c in following])).over(by_user))
@@ -107,8 +120,11 @@ def distinct_history(
     similarity: Callable[[Column, Column], Column] = word_overlap,
     newest_only: int | None = None,
 ) -> DataFrame:
-    """One run per statement shape, near-reruns removed, with all history columns."""
-    unique = latest_per_shape(history, keep=history.columns).select(*history.columns)
+    """One run per statement shape, near-reruns removed, with all history columns.
+
+    The kept run of each shape is written in between, as the next step reads it repeatedly.
+    """
+    unique = cut_lineage(latest_per_shape(history, keep=history.columns).select(*history.columns))
     runs = with_next_run(unique)
     if newest_only is not None:
         runs = newest(runs, newest_only)

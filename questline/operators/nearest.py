@@ -24,11 +24,12 @@ from pyspark.sql import types as T
 from questline.session import cut_lineage
 
 SCORE_DIGITS = 6       # scores carry single precision, which is what this rounding keeps
-BLOCK_ROWS = 1024      # rows of one block, about
+QUERY_BLOCK = 1024     # rows of one query block, about
+BLOCK_ROWS = 4096      # rows of one corpus block, about
 MAX_PIVOTS = 512       # also the most vectors that ever reach the driver
 PRUNE_FROM = 10**10    # row pairs from which cells pay off; below, all blocks are scored
 PAIRS_AT_ONCE = 65536  # pairs scored in double precision at a time
-BLOCKS_REMEMBERED = 4096  # query blocks whose best scores a task keeps
+BLOCKS_REMEMBERED = 1024  # query blocks whose best scores a task keeps
 SLACK = 1e-5           # more than single-precision products can be off
 
 _FOUND = "qid string, cid string, score double, bound double"
@@ -133,9 +134,21 @@ def _of_width(ids: list, raws: list, width: int) -> tuple[list[int], list, list]
     return kept, [ids[i] for i in kept], [raws[i] for i in kept]
 
 
+def _lowest_copies(ids: list, raws: list, n: int) -> tuple[list, list]:
+    """The ``n`` lowest ids of each distinct vector: all that can win where ties go by id."""
+    seen: dict[bytes, int] = {}
+    kept = []
+    for i in sorted(range(len(ids)), key=ids.__getitem__):
+        seen[raws[i]] = seen.get(raws[i], 0) + 1
+        if seen[raws[i]] <= n:
+            kept.append(i)
+    return [ids[i] for i in kept], [raws[i] for i in kept]
+
+
 def _candidates(rough: np.ndarray, floor: np.ndarray, k: int | None) -> np.ndarray:
     """Which single-precision scores may be among the k best of their row and at its floor."""
-    keep = np.isfinite(rough) & (rough >= floor[:, None] - SLACK)
+    # No cosine is below -1, so this leaves out -inf (the query itself) and NaN.
+    keep = rough >= np.maximum(floor, -2.0)[:, None] - SLACK
     if k is not None:
         crowded = np.nonzero(keep.sum(axis=1) > k)[0]
         if len(crowded):
@@ -247,9 +260,12 @@ def _meet(queries: DataFrame, corpus: DataFrame, large: DataFrame, k, min_score,
                     if len(bests) > BLOCKS_REMEMBERED:
                         bests.clear()
                     best = bests.setdefault(row.block_name, np.full((len(row.qids), k), -np.inf))
+                offered = list(row.cids), list(row.craws)
+                if k is not None and ties == "first":
+                    offered = _lowest_copies(*offered, k + exclude_self)
                 yield from _score_block(
                     (list(row.qids), list(row.qraws), row.floors if floors else None),
-                    (list(row.cids), list(row.craws)), best, k, min_score, ties, exclude_self,
+                    offered, best, k, min_score, ties, exclude_self,
                 )
 
     return met.mapInPandas(score, _FOUND)
@@ -315,13 +331,17 @@ def nearest(
     offered = _vectors(corpus, corpus_id, corpus_vector, corpus_group, dim)
     pivots = None
     # Pivots need vectors of one width.
-    if dim is not None and asked.count() * offered.count() >= prune_from:
-        pivots = _pivots(offered, block_rows, max_pivots)
+    if dim is not None:
+        n = offered.count()
+        same = queries is corpus and query_group == corpus_group
+        if n * (n if same else asked.count()) >= prune_from:
+            pivots = _pivots(offered, block_rows, max_pivots)
 
     c_rows, q_rows = _placed(offered, pivots), _placed(asked, pivots)
     if pivots is not None:
         c_rows, q_rows = cut_lineage(c_rows), cut_lineage(q_rows)
-    c_large, q_large = _large_cells(c_rows, block_rows), _large_cells(q_rows, block_rows)
+    query_rows = min(QUERY_BLOCK, block_rows)
+    c_large, q_large = _large_cells(c_rows, block_rows), _large_cells(q_rows, query_rows)
     c_blocks, q_blocks = _packed(c_rows, c_large), _packed(q_rows, q_large)
     found = _meet(q_blocks, c_blocks, c_large, k, min_score, ties, exclude_self)
 
@@ -333,7 +353,7 @@ def nearest(
         if k is not None:
             found = home = cut_lineage(found)
         visits = _visits(q_rows, home, pivots, radii, min_score)
-        v_blocks = _packed(visits, _large_cells(visits, block_rows), extra=["floor"])
+        v_blocks = _packed(visits, _large_cells(visits, query_rows), extra=["floor"])
         found = found.unionByName(_meet(v_blocks, c_blocks, c_large, k, min_score, ties, exclude_self))
 
     pairs = found.select("qid", "cid", "score")
