@@ -77,7 +77,8 @@ def retrieve(
         carried = F.concat(F.array(F.lit("any")), _marked("schema ", "schema_list"), _marked("table ", "table_list"))
         offered = statements.select("statement_id", "question_embeddings", F.explode(carried).alias("wanted"))
         groups = asked.select("wanted").distinct()
-        offered = offered.join(groups, "wanted", "left_semi")
+        # "any" holds every statement: the hottest key there can be.
+        offered = lookup(offered, groups, ["wanted"], F.col("statement_id"), how="inner")
         found = nearest(asked, offered, **names, query_group="wanted", corpus_group="wanted",
                         k=k, ties="first", dim=dim, **search)
     else:

@@ -26,6 +26,7 @@ from questline.session import cut_lineage
 SCORE_DIGITS = 6       # scores carry single precision, which is what this rounding keeps
 QUERY_BLOCK = 1024     # rows of one query block, about
 BLOCK_ROWS = 4096      # rows of one corpus block, about
+CELL_SALTS = 16        # tasks a cell's rows are spread over to learn its number of blocks
 MAX_PIVOTS = 512       # also the most vectors that ever reach the driver
 PRUNE_FROM = 10**10    # row pairs from which cells pay off; below, all blocks are scored
 PAIRS_AT_ONCE = 65536  # pairs scored in double precision at a time
@@ -104,10 +105,18 @@ def _large_cells(rows: DataFrame, block_rows: int) -> DataFrame:
     )
 
 
+def _with_blocks(rows: DataFrame, large: DataFrame, spread: str) -> DataFrame:
+    """Rows with their cell's number of blocks (null for one); a hot cell's rows are salted."""
+    salts = F.array(*[F.lit(i) for i in range(CELL_SALTS)])
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), F.col(spread)), F.lit(CELL_SALTS)).cast("int"))
+    repeated = large.withColumn("_salt", F.explode(salts))
+    return salted.join(repeated, ["grp", "cell", "_salt"], "left").drop("_salt")
+
+
 def _packed(rows: DataFrame, large: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Blocks ``grp, cell, block, ids, raws``; a large cell's rows are dealt out by id hash."""
     blocks = F.coalesce(F.col("blocks"), F.lit(1))
-    dealt = rows.join(large, ["grp", "cell"], "left").withColumn(
+    dealt = _with_blocks(rows, large, "id").withColumn(
         "block", F.pmod(F.xxhash64("id"), blocks).cast("int")
     )
     packed = dealt.groupBy("grp", "cell", "block").agg(
@@ -239,7 +248,7 @@ def _score_block(queries, corpus, best, k, min_score, ties, exclude_self) -> Ite
 def _meet(queries: DataFrame, corpus: DataFrame, large: DataFrame, k, min_score, ties, exclude_self) -> DataFrame:
     """Query blocks scored against every corpus block of their group and cell."""
     floors = [c for c in ("floors",) if c in queries.columns]
-    counted = queries.join(large, ["grp", "cell"], "left").withColumn(
+    counted = _with_blocks(queries, large, "block").withColumn(
         "target", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
     )
     asked = counted.select(

@@ -417,12 +417,21 @@ ORACLE: dict[str, str] = {
             {fx.path_of('l_orderkey')} || '.c' || l_linenumber || '_' || lower(l_returnflag) as id from lineitem)""",
         body="""select w.request_id, w.id, c.column_name, c.data_type, c.is_nullable, c.comment
         from wanted w left join column_rows c on w.id = c.id"""),
+    "table_lookup": _with(TABLES, COLUMNS, TABLE_ROWS, f"""wanted as (
+        select event_id, {fx.path_of('user_id * 7 + event_id % 5')} as full_table from events)""",
+        body="""select w.event_id, w.full_table, t.table_type, t.comment, t.column_list
+        from wanted w left join table_rows t on w.full_table = t.full_table"""),
     "dq_keys": """select 'lineitem' as source, l_orderkey || '/' || l_linenumber as key, count(*) as n_rows
         from lineitem group by l_orderkey, l_linenumber having count(*) > 1""",
     "cosine_pairs": f"""select a.vec_id, {_cosine('a.embedding', 'b.embedding')} as score
         from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""",
     "sim_pairs": _with(STATEMENTS, FIT, PAIRS, body="select * from pairs where question_similarity_score >= 0.3"),
     "sim_top3": _with(STATEMENTS, FIT, PAIRS, body="select * from top3"),
+    "sim_top3_first": _with(STATEMENTS, FIT, PAIRS, body="""
+        select first_statement_id as statement_id, second_statement_id as compared_statement_id, question_similarity_score,
+            cast(n as integer) as question_similarity_rank
+        from (select *, row_number() over (partition by first_statement_id
+                order by question_similarity_score desc, second_statement_id) as n from pairs) where n <= 3"""),
     "prompt_build": _with(STATEMENTS, body=f"""select statement_id, {_prompt('generated_question', 'table_list',
         f"[{_sample('generated_question', 'statement_text')}, {_sample('generated_question', 'statement_text')}]")} as prompt
         from (select * replace ({_listed(fx.STATEMENT_TABLES, _NONE).replace('vec_id', 'cast(substr(statement_id, 2) as bigint)').replace('label', "cast(regexp_extract(generated_question, '[0-9]+$') as bigint)")} as table_list) from statements)"""),

@@ -192,6 +192,14 @@ def col_lookup(spark, d):
     )
 
 
+def table_lookup(spark, d):
+    wanted = fx.read(spark, d, "events").select(
+        "event_id", F.expr(fx.path_of("user_id * 7 + event_id % 5")).alias("full_table")
+    )
+    rows = _table_rows(spark, d).select("full_table", "table_type", "comment", "column_list")
+    return catalog.lookup_rows(wanted, "event_id", rows, "full_table")
+
+
 def dq_keys(spark, d):
     lines = catalog.key_violations(fx.read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]).select(
         F.lit("lineitem").alias("source"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("key"), "n_rows"
@@ -214,13 +222,21 @@ def sim_pairs(spark, d):
     return training.similar_pairs(fx.statements(spark, d), min_score=0.3, dim=DIM)
 
 
-def sim_top3(spark, d):
-    return training.top_matches(fx.statements(spark, d), dim=DIM).select(
+def _top3(spark, d, ties):
+    return training.top_matches(fx.statements(spark, d), dim=DIM, ties=ties).select(
         "statement_id", "top_compared_questions.compared_statement_id",
         "top_compared_questions.question_similarity_score", "question_similarity_rank",
     )
 
 
+def sim_top3(spark, d):
+    return _top3(spark, d, "rank")
+
+
+def sim_top3_first(spark, d):
+    return _top3(spark, d, "first")
+
+
 def prompt_build(spark, d):
     rows = fx.statements(spark, d)
     sample = F.struct(F.col("generated_question").alias("question"), F.col("statement_text").alias("sql"))
@@ -381,8 +397,8 @@ QUERIES: dict[str, Query] = {
         hist_pages, hist_page_cap, hist_mask, hist_dedupe, hist_gap, hist_session, hist_latest, hist_runs_of,
         extract_route, extract_route_anti, extract_tables_query, extract_parse, extract_errors,
         refs_split, refs_resolve, refs_resolve_strict,
-        cat_unique, cat_levels, cat_tables, cat_columns, ddl_format, ddl_fn, ddl_lookup, col_lookup, dq_keys,
-        cosine_pairs, sim_pairs, sim_top3, prompt_build, train_set, train_jsonl,
+        cat_unique, cat_levels, cat_tables, cat_columns, ddl_format, ddl_fn, ddl_lookup, col_lookup, table_lookup, dq_keys,
+        cosine_pairs, sim_pairs, sim_top3, sim_top3_first, prompt_build, train_set, train_jsonl,
         retrieve_topk, retrieve_filter, mine_tables, answer_prompts, answer_batch, response_text,
         gen_questions, embed_text, summary_join, pre_index, search_tables, search_columns, search_questions,
         index_refresh,
