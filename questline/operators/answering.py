@@ -121,7 +121,10 @@ def mine(questions: DataFrame, hits: DataFrame) -> DataFrame:
 def answer_prompts(
     mined: DataFrame, table_search: DataFrame, system: str | None = SYSTEM_INSTRUCTION, escape: bool = True
 ) -> DataFrame:
-    """Adds ``table_definitions``, ``full_prompt`` and, for chat models, ``system_prompt``."""
+    """Adds ``table_definitions``, ``full_prompt`` and, for chat models, ``system_prompt``.
+
+    ``mined`` is written once, as its texts and its table names go separate ways.
+    """
     mined = cut_lineage(mined)
     described = definitions_for(mined.select("question_id", "tables"), "question_id", "tables", table_search, escape)
     prompted = mined.join(described, "question_id").withColumn(

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from questline.config import QUESTION_WORDS, SUMMARY_WORDS
 
+ROWS_PER_CALL = 512  # most rows handed to a client at once
+
 TextClient = Callable[[str, list[str]], list[str]]
 EmbeddingClient = Callable[[list[str]], np.ndarray]
 
@@ -41,7 +43,8 @@ def _tried(call: Callable[[list], list], items: list, attempts: int) -> tuple[li
 
 
 def generate(
-    prompt: Column, model: Column, provider: Callable[[], TextClient], attempts: int = 2
+    prompt: Column, model: Column, provider: Callable[[], TextClient], attempts: int = 2,
+    rows_per_call: int = ROWS_PER_CALL,
 ) -> Column:
     """Struct ``text, error`` from a text provider; null prompts give null text.
 
@@ -56,15 +59,20 @@ def generate(
         for prompts, models in batches:
             out = pd.DataFrame({"text": None, "error": None}, index=prompts.index, dtype=object)
             for name, rows in prompts[prompts.notna()].groupby(models):
-                texts, errors = _tried(lambda p, m=name: client(m, p), list(rows), attempts)
-                out.loc[rows.index, "text"] = texts
-                out.loc[rows.index, "error"] = errors
+                for start in range(0, len(rows), rows_per_call):
+                    part = rows.iloc[start:start + rows_per_call]
+                    texts, errors = _tried(lambda p, m=name: client(m, p), list(part), attempts)
+                    out.loc[part.index, "text"] = texts
+                    out.loc[part.index, "error"] = errors
             yield out
 
     return run.asNondeterministic()(prompt, model)
 
 
-def embed(text: Column, provider: Callable[[], EmbeddingClient], attempts: int = 2) -> Column:
+def embed(
+    text: Column, provider: Callable[[], EmbeddingClient], attempts: int = 2,
+    rows_per_call: int = ROWS_PER_CALL,
+) -> Column:
     """Struct ``vector, error`` from an embedding provider; null text gives a null vector."""
 
     @F.pandas_udf("vector array<float>, error string")
@@ -73,9 +81,10 @@ def embed(text: Column, provider: Callable[[], EmbeddingClient], attempts: int =
         for texts in batches:
             vectors, errors = [None] * len(texts), [None] * len(texts)
             asked = [i for i, known in enumerate(texts.notna()) if known]
-            if asked:
-                got, failed = _tried(lambda t: list(client(t)), list(texts.iloc[asked]), attempts)
-                for i, vector, error in zip(asked, got, failed):
+            for start in range(0, len(asked), rows_per_call):
+                part = asked[start:start + rows_per_call]
+                got, failed = _tried(lambda t: list(client(t)), list(texts.iloc[part]), attempts)
+                for i, vector, error in zip(part, got, failed):
                     vectors[i] = None if vector is None else np.asarray(vector, dtype=np.float32)
                     errors[i] = error
             yield pd.DataFrame({"vector": vectors, "error": errors}, dtype=object)

@@ -27,6 +27,18 @@ def test_one_bad_row_fails_alone(spark):
         ("good", "m1:good", None), ("bad", None, "RuntimeError: no answer"), (None, None, None), ("fine", "m2:fine", None)]
 
 
+def test_calls_are_bounded(spark):
+    def provider():
+        def client(model, prompts):
+            assert len(prompts) <= 4
+            return [str(len(prompts))] * len(prompts)
+        return client
+
+    frame = spark.range(10).coalesce(1).select(F.col("id").cast("string").alias("p"))
+    got = frame.select(enrich.generate(F.col("p"), F.lit("m"), provider, rows_per_call=4).alias("r")).collect()
+    assert sorted(r["r"]["text"] for r in got) == ["2"] * 2 + ["4"] * 8
+
+
 def test_generated_text_is_limited_and_trimmed(spark):
     words = " ".join(f"w{i}" for i in range(200))
     frame = spark.createDataFrame([("a", words, "m")], "statement_id string, statement_text string, extraction_model string")
