@@ -6,10 +6,11 @@ of it, with that bit as a wildcard; an equality join on these variants therefore
 pair in question, and the fingerprints themselves are then compared.
 
 Large groups. A bucket of the index may hold a third of all fingerprints, so its pairs are
-never listed. First, neighbours in the sorted index are compared (one row per index row) and
-linked; this ties dense groups together. Then only pairs of *different* components meet: in
-each bucket, the rows outside its largest component meet the others. Pairs within a
-component can't change the result.
+never listed. One pass over the sorted index compares all pairs of small buckets, and in large
+ones neighbours only; the links it finds tie dense groups together. In the large buckets, and in
+those cut by the border of two partitions, pairs of *different* components then meet: the rows
+outside a bucket's largest component meet the others. Pairs within a component can't change
+the result.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from questline.session import cut_lineage
 BITS = 64
 SEED = 42
 HASHES_AT_ONCE = 1 << 16
+SWEPT = 24  # rows of a bucket whose pairs are all compared while passing over the sorted index
+PAIR, NEAR, RUN = 0, 1, 2
 
 # What near-duplicate stages ask of word shingles.
 SIMILARITY = 0.8
@@ -104,54 +107,94 @@ def _index(nodes: DataFrame, distance: int) -> DataFrame:
     return nodes.withColumn("key", F.explode(variants(F.col("fp"), distance)))
 
 
-def _neighbours(index: DataFrame, reach: int) -> DataFrame:
-    """``a, b``: each node with its nearest neighbour in the sorted index, if close enough."""
-    shape = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bits", pa.int32())])
+def _swept(index: DataFrame, reach: int) -> DataFrame:
+    """One pass over the sorted index: ``kind, a, b, bits``.
+
+    ``PAIR``: all pairs within reach of a bucket of at most ``SWEPT`` rows. ``NEAR``: neighbours
+    within reach in a larger bucket. ``RUN``: key and rows of a bucket, or of its part in
+    this partition, that the pass can't finish: it is large, or may go on in the next one.
+    """
+    shape = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("bits", pa.int8())])
+
+    def rows(kind: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(a), kind, dtype=np.int8)), pa.array(a), pa.array(b), pa.array(bits.astype(np.int8)),
+        ], schema=shape)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, dtype=np.int64)] * 3  # of the last bucket: all rows, or the last one of many
+        before = 0                                # rows of that bucket which are no longer held
+        opened = True                             # the next bucket is the first of this partition
+
+        def finish(key, fp, node, size, last):
+            """Pairs of the given whole buckets, and the runs to report."""
+            nonlocal opened
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            for lag in range(1, min(SWEPT, len(key))):
+                same = key[lag:] == key[:-lag]
+                if not same.any():
+                    break
+                bits = np.bitwise_count((fp[lag:] ^ fp[:-lag]).view(np.uint64))
+                close, small = same & (bits <= reach), size[:-lag] <= SWEPT
+                for kind, hit in ((PAIR, close & small), (NEAR, close & ~small if lag == 1 else None)):
+                    if hit is not None and (at := np.flatnonzero(hit)).size:
+                        yield rows(kind, node[at], node[at + lag], bits[at])
+            report = size[start] > SWEPT
+            report[0] |= opened
+            report[-1] |= last
+            opened = False
+            at = start[report]
+            yield rows(RUN, key[at], size[at], np.zeros(len(at)))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
         for batch in batches:
-            key, fp, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "node"))
-            if last is not None:
-                key, fp, node = (np.concatenate([x, y]) for x, y in zip(last, (key, fp, node), strict=True))
-            bits = np.bitwise_count((fp[1:] ^ fp[:-1]).view(np.uint64))
-            hit = np.flatnonzero((key[1:] == key[:-1]) & (bits <= reach))
-            last = key[-1:], fp[-1:], node[-1:]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[hit]), pa.array(node[hit + 1]), pa.array(bits[hit].astype(np.int32))], schema=shape
-            )
-
-    pairs = index.select("key", "fp", "node").repartitionByRange("key", "fp", "node").sortWithinPartitions(
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "node")]
+            key, fp, node = (np.concatenate(x) for x in zip(held, new, strict=True))
+            if not len(key):
+                continue
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[start, len(key)])
+            sizes[0] += before
+            cut = start[-1]
+            if cut:
+                yield from finish(key[:cut], fp[:cut], node[:cut], np.repeat(sizes[:-1], np.diff(start)), False)
+                before = 0
+            held = [key[cut:], fp[cut:], node[cut:]]
+            if before + len(held[0]) > SWEPT and len(held[0]) > 1:
+                bits = np.bitwise_count((held[1][1:] ^ held[1][:-1]).view(np.uint64))
+                at = np.flatnonzero(bits <= reach)
+                yield rows(NEAR, held[2][at], held[2][at + 1], bits[at])
+                before += len(held[0]) - 1
+                held = [x[-1:] for x in held]
+        if len(held[0]):
+            yield from finish(*held, np.full(len(held[0]), before + len(held[0])), True)
+
+    return index.select("key", "fp", "node").repartitionByRange("key", "fp", "node").sortWithinPartitions(
         "key", "fp", "node"
-    ).mapInArrow(compare, "a long, b long, bits int")
-    return pairs.groupBy("a").agg(F.min_by("b", "bits").alias("b"))
+    ).mapInArrow(sweep, "kind byte, a long, b long, bits byte")
 
 
-def _across(nodes: DataFrame, placed: DataFrame, distance: int, reach: int) -> DataFrame:
-    """``a, b``: all pairs that meet, are within reach and lie in different components.
+def _across(nodes: DataFrame, placed: DataFrame, keys: DataFrame, distance: int, reach: int) -> DataFrame:
+    """``a, b``: all pairs in the given buckets, within reach and of different components.
 
     ``placed``: node, component. A bucket with one component has nothing to compare.
     """
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     known = placed.join(sizes, "component")
-    rows = cut_lineage(
-        nodes.join(known, "node", "left").select(
-            "node", "fp", F.coalesce("component", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size")
-        )
-    )
-    index = _index(rows, distance)
+    index = cut_lineage(_index(nodes, distance).join(keys, "key", "left_semi").join(known, "node", "left").select(
+        "key", "node", "fp", F.coalesce("component", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size")
+    ))
     buckets = index.groupBy("key").agg(
         F.max_by("comp", "size").alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     ).filter("lo != hi").select("key", "top")
-    mixed = cut_lineage(index.select("key", "node", "fp", "comp").join(buckets, "key"))
+    mixed = cut_lineage(index.join(buckets, "key").select("key", "node", "fp", "comp", "top"))
     others = mixed.filter("comp != top").drop("top")
-    all_rows = mixed.select("key", F.col("node").alias("node2"), F.col("fp").alias("fp2"),
+    everyone = mixed.select(F.col("key").alias("key2"), F.col("node").alias("node2"), F.col("fp").alias("fp2"),
                             F.col("comp").alias("comp2"), F.expr("comp = top").alias("in_top"))
     return others.join(
-        all_rows,
-        (others["key"] == all_rows["key"]) & (F.col("comp") != F.col("comp2"))
-        & (F.col("in_top") | (F.col("node") < F.col("node2"))) & _close(others["key"], distance, reach),
-    ).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+        everyone,
+        (F.col("key") == F.col("key2")) & (F.col("comp") != F.col("comp2"))
+        & (F.col("in_top") | (F.col("node") < F.col("node2"))) & _close(F.col("key"), distance, reach),
+    ).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
 def _close(key: Column, distance: int, reach: int) -> Column:
@@ -179,8 +222,14 @@ def classes(nodes: DataFrame, distance: int, reach: int | None = None, verify=No
     """
     reach = distance if reach is None else reach
     check = verify or (lambda pairs: pairs)
-    first = components(check(_neighbours(_index(nodes, distance), reach)))
-    rest = cut_lineage(check(_across(nodes, first, distance, reach)))
+    swept = cut_lineage(_swept(_index(nodes, distance), reach))
+    near = swept.filter(F.col("kind") == NEAR).groupBy("a").agg(F.min_by("b", "bits").alias("b"))
+    pairs = swept.filter(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = components(check(near.unionByName(pairs).distinct()))
+    open_keys = swept.filter(F.col("kind") == RUN).groupBy(F.col("a").alias("key")).agg(
+        F.sum("b").alias("size"), F.count(F.lit(1)).alias("parts")
+    ).filter((F.col("size") > SWEPT) | (F.col("parts") > 1)).select("key")
+    rest = cut_lineage(check(_across(nodes, first, open_keys, distance, reach)))
     links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest.select("a", "b"))
     return components(links)
 
