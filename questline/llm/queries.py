@@ -1,8 +1,8 @@
 """Queries of this package and their SQL, gathered from one module per operator."""
 
-from questline.llm import op03, op04, op05, op07
+from questline.llm import op02, op03, op04, op05, op07, op08, op10
 
-_PARTS = (op03, op04, op05, op07)
+_PARTS = (op02, op03, op04, op05, op07, op08, op10)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}

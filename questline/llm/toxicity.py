@@ -1,7 +1,7 @@
 """Toxic passages: maximum-scoring segments over token log-odds.
 
 A token's score is the log-odds of being toxic, with a hierarchical Dirichlet prior: a word's
-rate is drawn towards that of words with the same beginning, and this towards the corpus's.
+rate is drawn towards that of words with the same beginning or doubled mark, and this towards the corpus's.
 Texts are counted, not occurrences, and a word that comes again in a text is no new
 evidence. Less a drift, tokens of clean text score below zero; one linear pass (Ruzzo and Tompa,
 1999) then finds all maximal-scoring segments of a text. The chance of segments so good is
@@ -49,8 +49,12 @@ def _token(word: bytes) -> bytes:
 
 def _ids(word: bytes) -> tuple[int, int]:
     token = _token(word)
-    prefix = token.decode("utf-8", "replace")[:PREFIX_CHARS].encode("utf-8", "replace")
-    return slot(token, WORD_BITS), slot(prefix, PREFIX_BITS)
+    tail = word[-2:]
+    if len(tail) == 2 and tail[0] == tail[1] and not tail.isalnum() and tail[0] < 128:
+        prefix = b"\x00" + tail  # a doubled mark says more than the word's beginning
+    else:
+        prefix = token.decode("utf-8", "replace")[:PREFIX_CHARS].encode("utf-8", "replace")
+    return slot(token + prefix, WORD_BITS), slot(prefix, PREFIX_BITS)
 
 
 def _counts(rows: DataFrame) -> DataFrame:
