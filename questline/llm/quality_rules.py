@@ -56,10 +56,11 @@ def text_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
     return len(words), chars, symbols, dups, repeated, lines
 
 
-count_text = per_text(
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long",
-    lambda: text_counts,
-)
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+
+
+def count_text(text: Column) -> Column:
+    return per_text(", ".join(f"{c} long" for c in _COUNTS), lambda: text_counts)(text)
 
 
 def base_failed() -> Column:
@@ -130,5 +131,3 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: f
         "kept", ~F.col("failed_any") & ~F.col("host_failed")
     ).drop("_host")
 
-
-_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
