@@ -8,8 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from questline.session import cut_lineage
+
 BATCH_BYTES = 32 * 1024 * 1024  # of an Arrow batch on its way to a Python worker
 
+FEW_ROWS = 4096   # of a looked-up table, up to which it is broadcast
+SALTS = 64        # parts a key's rows are dealt to where it is larger
+
 HELD_OUT_FOLD = 1
 FOLDS = 3
 
@@ -67,3 +72,18 @@ def learnable(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 def smallest(rows: DataFrame, key: str, n: int) -> DataFrame:
     """The documented, bounded sample for a fit: the ``n`` rows with the lowest hash of ``key``."""
     return rows.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(n)
+
+
+def look_up(left: DataFrame, right: DataFrame, on: str, spread: str) -> DataFrame:
+    """``left`` joined to ``right``, which has one row for each value of ``on``.
+
+    One key may hold a third of ``left``. A right side of up to FEW_ROWS rows is broadcast after
+    they have been counted; a longer one is repeated SALTS times, and the rows of every key
+    dealt out by a hash of ``spread``. The result is the same.
+    """
+    right = cut_lineage(right)
+    if right.count() <= FEW_ROWS:
+        return left.join(F.broadcast(right), on)
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [on, "_salt"]).drop("_salt")

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from questline.llm.common import look_up
+
 SEED = "mix-1"
 RANGE = 12.0       # standard deviations around the mean that the distribution is tabled for
 HEX_DIGITS = 13    # of MD5 for a uniform number: 52 bits
@@ -90,8 +92,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
         "_table", F.when(F.col("rate") > 0, poisson_table(F.col("rate")))
     )
     rows = docs.drop("rate", "copies", "copy_no", "place").withColumn("_source", F.coalesce(F.col(source), F.lit("")))
-    # One row a source: Spark broadcasts it if its measured size allows, else splits hot sources.
-    drawn = rows.join(tables, "_source").withColumn("_u", uniform(F.col(key))).withColumn(
+    drawn = look_up(rows, tables, "_source", key).withColumn("_u", uniform(F.col(key))).withColumn(
         "copies",
         F.coalesce(F.col("_table.first") + F.size(F.filter("_table.upto", lambda c: c < F.col("_u"))), F.lit(0)).cast("int"),
     ).filter("copies > 0").drop("_source", "_table", "_u")

@@ -6,7 +6,7 @@ from questline.llm.common import read
 
 def op3_host_rules(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "source", "text")
-    return rules.judge(docs).select(
+    return rules.judge(docs, keep_text=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
     )
 

@@ -13,7 +13,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from questline.llm.common import per_text, words_of
+from questline.llm.common import look_up, per_text, words_of
+from questline.session import cut_lineage
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -110,7 +111,8 @@ def host_verdicts(rows: DataFrame, host: str, failed: dict[str, str], max_rate:
     return rates.select(host, "n_docs", *[f"rate_{r}" for r in failed], (worst > max_rate).alias("host_failed"))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE,
+          key: str = "doc_id", keep_text: bool = True) -> DataFrame:
     """``docs`` with counts, rule failures, the host's shrunk rate and the verdict ``kept``.
 
     A document is kept if it passes all rules and its host doesn't fail. Null hosts are one
@@ -124,9 +126,9 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: f
     failures = rule_failures()
     out = out.withColumns({f"failed_{r}": c for r, c in failures.items()})
     out = out.withColumn("failed_any", F.greatest(*[f"failed_{r}" for r in failures]))
+    out = cut_lineage(out if keep_text else out.drop(text))  # texts are counted once, then read twice
     verdicts = host_verdicts(out, "_host", {"any": "failed_any"}, max_rate)
-    # One row a host: Spark broadcasts it if its measured size allows, else splits hot hosts.
-    joined = out.drop("host_failed", "rate_any", "n_docs").join(verdicts, "_host")
+    joined = look_up(out.drop("host_failed", "rate_any", "n_docs"), verdicts, "_host", key)
     return joined.withColumn("base_failed", F.col("failed_base")).withColumn(
         "kept", ~F.col("failed_any") & ~F.col("host_failed")
     ).drop("_host")
