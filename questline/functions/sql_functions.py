@@ -55,6 +55,8 @@ def register_functions(spark: SparkSession) -> None:
             vec1 ARRAY<FLOAT>, vec2 ARRAY<FLOAT>) RETURNS FLOAT
         RETURN CASE WHEN size(vec1) = size(vec2) AND {dot.format('vec1', 'vec1')} > 0
                      AND {dot.format('vec2', 'vec2')} > 0
+                     AND {dot.format('vec1', 'vec1')} < double('inf')
+                     AND {dot.format('vec2', 'vec2')} < double('inf')
                THEN CAST({dot.format('vec1', 'vec2')} / (sqrt({dot.format('vec1', 'vec1')})
                     * sqrt({dot.format('vec2', 'vec2')})) AS FLOAT) END""")
 

@@ -12,6 +12,10 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity in double; null when widths differ or a vector has no length."""
+    """Cosine similarity in double.
+
+    Null when widths differ, a vector has no length, or an element is null, NaN or infinite.
+    """
     norm = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norm > 0), _dot(a, b) / norm)
+    # NaN counts as larger than any number, so the upper bound rules it out as well.
+    return F.when((F.size(a) == F.size(b)) & (norm > 0) & (norm < float("inf")), _dot(a, b) / norm)

@@ -29,7 +29,10 @@ def _tried(call: Callable[[list], list], items: list, attempts: int) -> tuple[li
     """Results and errors of a batch call, retried, then item by item so one row fails alone."""
     for _ in range(attempts):
         try:
-            return list(call(items)), [None] * len(items)
+            got = list(call(items))
+            if len(got) != len(items):
+                raise ValueError(f"{len(got)} replies to {len(items)} rows")
+            return got, [None] * len(items)
         except Exception as error:  # noqa: BLE001 - any client error is a row error
             failure = f"{type(error).__name__}: {error}"
     if len(items) == 1:
@@ -58,6 +61,8 @@ def generate(
         client = provider()
         for prompts, models in batches:
             out = pd.DataFrame({"text": None, "error": None}, index=prompts.index, dtype=object)
+            lost = prompts.notna() & models.isna()
+            out.loc[lost, "error"] = "no model given"
             for name, rows in prompts[prompts.notna()].groupby(models):
                 for start in range(0, len(rows), rows_per_call):
                     part = rows.iloc[start:start + rows_per_call]

@@ -110,7 +110,7 @@ def drop_reruns(
 
 
 def newest(runs: DataFrame, k: int) -> DataFrame:
-    """The ``k`` runs that ended last (a top-k report; the jobs use it only when asked)."""
+    """The ``k`` runs that ended last (a top-k report; no job takes part of the log)."""
     return runs.orderBy(F.col("end_time").desc_nulls_last(), F.col("statement_id").desc()).limit(k)
 
 
@@ -118,7 +118,6 @@ def distinct_history(
     history: DataFrame,
     threshold: float = RERUN_THRESHOLD,
     similarity: Callable[[Column, Column], Column] = word_overlap,
-    newest_only: int | None = None,
 ) -> DataFrame:
     """One run per statement shape, near-reruns removed, with all history columns.
 
@@ -126,8 +125,6 @@ def distinct_history(
     """
     unique = cut_lineage(latest_per_shape(history, keep=history.columns).select(*history.columns))
     runs = with_next_run(unique)
-    if newest_only is not None:
-        runs = newest(runs, newest_only)
     return drop_reruns(runs, threshold, similarity)
 
 

@@ -24,11 +24,12 @@ def lookup(
     alone and combined before the shuffle. Their rows are dealt out by a hash of ``spread``
     into pieces of about ``hot_rows``, and their one row of ``right`` is repeated per piece;
     all other keys join as they are. At most rows(left) / hot_rows keys can be hot, which
-    bounds what is broadcast and all repeats together.
+    bounds all repeats together. Nothing is broadcast by hint: Spark does so where the measured
+    size of the hot keys allows, and shuffles else.
 
     ``left`` is read twice, so a costly one should be a written table.
     """
-    hot = F.broadcast(
+    hot = (
         left.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_rows)

@@ -39,7 +39,10 @@ _FOUND = "qid string, cid string, score double, bound double"
 def _vectors(df: DataFrame, key: str, vector: str, group: str | None, dim: int | None) -> DataFrame:
     grp = F.lit("") if group is None else F.col(group).cast("string")
     rows = df.select(F.col(key).cast("string").alias("id"), grp.alias("grp"), F.col(vector).alias("vec"))
-    usable = F.col("grp").isNotNull() & F.exists("vec", lambda x: x != 0)
+    # Every element must be a number: one NaN or null would spoil the block it lies in.
+    usable = F.col("grp").isNotNull() & F.exists("vec", lambda x: x != 0) & F.forall(
+        "vec", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))
+    )
     if dim is not None:
         usable = usable & (F.size("vec") == dim)
     return rows.filter(usable)
@@ -162,7 +165,8 @@ def _candidates(rough: np.ndarray, floor: np.ndarray, k: int | None) -> np.ndarr
         crowded = np.nonzero(keep.sum(axis=1) > k)[0]
         if len(crowded):
             at = rough.shape[1] - k
-            kth = np.partition(rough[crowded], at, axis=1)[:, at]
+            known = np.where(np.isnan(rough[crowded]), -np.inf, rough[crowded])  # NaN would sort as best
+            kth = np.partition(known, at, axis=1)[:, at]
             keep[crowded] &= rough[crowded] >= kth[:, None] - 2 * SLACK
     return keep
 

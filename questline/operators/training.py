@@ -47,7 +47,7 @@ def similar_pairs(statements: DataFrame, min_score: float, dim: int = EMBEDDING_
 
 
 def top_matches(
-    statements: DataFrame, k: int = NEIGHBOURS, dim: int = EMBEDDING_DIM, ties: str = "rank", **search
+    statements: DataFrame, k: int = NEIGHBOURS, dim: int = EMBEDDING_DIM, ties: str = "first", **search
 ) -> DataFrame:
     """Best ``k`` table-sharing statements of each statement, with their rank.
 

@@ -7,19 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from questline.config import LONG_MODEL, LONG_STATEMENT_CHARS, PAGE_ROW_CAP, RERUN_THRESHOLD, SHORT_MODEL
+from questline.config import LONG_MODEL, LONG_STATEMENT_CHARS, RERUN_THRESHOLD, SHORT_MODEL
 from questline.functions.text import extract_tables, word_overlap
 from questline.operators import catalog, enrich, history, references
 from questline.plans import store as names
 from questline.plans.store import Store
+from questline.session import cut_lineage
 from questline.sources import history_pages
 from questline.sources.tables import with_ordinals
 
 
 def land_history(
-    store: Store, folder: str, workspace_id: str | None = None, row_cap: int | None = PAGE_ROW_CAP
+    store: Store, folder: str, workspace_id: str | None = None, row_cap: int | None = None
 ) -> DataFrame:
-    """Landed API pages as the history table; ``row_cap=None`` takes every page."""
+    """Landed API pages as the history table: every page, or those up to ``row_cap`` if it is given."""
     pages = history_pages.read_pages(store.spark, folder)
     if row_cap is not None:
         pages = history_pages.capped_pages(pages, row_cap)
@@ -27,15 +28,18 @@ def land_history(
 
 
 def ingest_catalog(store: Store, tables: DataFrame, columns: DataFrame) -> None:
-    """Unique names, table rows and column rows; their keys are checked."""
+    """Unique names, table rows and column rows; their keys are checked before any is replaced."""
     columns = with_ordinals(columns)
-    store.save(catalog.unique_names(tables), names.UNIQUE_TABLE)
-    rows = store.save(catalog.table_rows(tables, columns), names.TABLE_ROWS)
-    column_rows = store.save(catalog.column_rows(columns), names.COLUMN_ROWS)
+    rows = cut_lineage(catalog.table_rows(tables, columns))
+    column_rows = cut_lineage(catalog.column_rows(columns))
     for df, key in ((rows, "full_table"), (column_rows, "id")):
         broken = catalog.key_violations(df, [key]).select(key).head(5)
         if broken:
             raise ValueError(f"{key} is not a key, for example {[row[0] for row in broken]}")
+    # Only checked rows replace the tables in use.
+    store.save(catalog.unique_names(tables), names.UNIQUE_TABLE)
+    store.save(rows, names.TABLE_ROWS)
+    store.save(column_rows, names.COLUMN_ROWS)
 
 
 def ingest_history(
@@ -47,7 +51,6 @@ def ingest_history(
     model_extraction: bool = False,
     similarity: Callable[[Column, Column], Column] = word_overlap,
     threshold: float = RERUN_THRESHOLD,
-    newest_only: int | None = None,
     long_chars: int = LONG_STATEMENT_CHARS,
     long_model: str = LONG_MODEL,
     short_model: str = SHORT_MODEL,
@@ -62,8 +65,6 @@ def ingest_history(
     # The kept run of each shape with its history columns; the masked text is a view on it.
     unique = store.save(history.latest_per_shape(log, keep=log.columns), names.UNIQUE_HISTORY)
     runs = history.with_next_run(unique.select(*log.columns))
-    if newest_only is not None:
-        runs = history.newest(runs, newest_only)
     runs = store.save(history.drop_reruns(runs, threshold, similarity), names.DISTINCT_RUNS)
 
     text = F.col("statement_text")

@@ -15,10 +15,14 @@ def build_training_set(
     store: Store,
     k: int = NEIGHBOURS,
     dim: int = EMBEDDING_DIM,
-    ties: str = "rank",
+    ties: str = "first",
     json_folder: str | None = None,
 ) -> DataFrame:
-    """Writes the matches and the training rows, and the JSON lines when a folder is given."""
+    """Writes the matches and the training rows, and the JSON lines when a folder is given.
+
+    ``ties="rank"`` keeps all matches tied on the last rank, a square number of rows where many
+    questions are equal; the default keeps exactly ``k``.
+    """
     statements = store.read(names.STATEMENTS)
     matches = store.save(training.top_matches(statements, k, dim, ties), names.TOP_MATCHES)
     rows = training.training_rows(matches, statements, store.read(names.TABLE_ROWS))

@@ -248,7 +248,7 @@ def prompt_build(spark, d):
 
 def _training(spark, d):
     rows = fx.statements(spark, d)
-    matches = cut_lineage(training.top_matches(rows, dim=DIM))
+    matches = cut_lineage(training.top_matches(rows, dim=DIM, ties="first"))
     return training.training_rows(matches, rows, _table_rows(spark, d))
 
 

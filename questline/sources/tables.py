@@ -36,25 +36,6 @@ def preview_json_lines(spark: SparkSession, folder: str, n: int = 5) -> DataFram
     return spark.read.schema("prompt string, response string").json(folder).limit(n)
 
 
-def session_metadata(spark: SparkSession, catalog: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The metastore's tables and columns in the two metadata schemas.
-
-    The driver asks the metastore table by table, as Spark's catalog API does; where a
-    warehouse has metadata views, read those instead.
-    """
-    catalog = catalog or spark.catalog.currentCatalog()
-    tables, columns = [], []
-    for database in spark.catalog.listDatabases():
-        for table in spark.catalog.listTables(database.name):
-            if table.isTemporary:
-                continue
-            tables.append((catalog, database.name, table.name, table.tableType, table.description))
-            for place, column in enumerate(spark.catalog.listColumns(f"{database.name}.{table.name}"), 1):
-                columns.append((catalog, database.name, table.name, column.name, column.dataType,
-                                "YES" if column.nullable else "NO", column.description, place))
-    return spark.createDataFrame(tables, TABLES_SCHEMA), spark.createDataFrame(columns, COLUMNS_SCHEMA)
-
-
 def with_ordinals(columns: DataFrame) -> DataFrame:
     """Columns metadata that lacks an ordinal gets none; lists are then ordered by name."""
     if "ordinal_position" in columns.columns:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_of
+from questline.functions.vectors import cosine
 from questline.operators import nearest as nb
 from questline.operators import training
 
@@ -138,7 +139,7 @@ def test_matches_need_a_shared_table(spark):
 
 def test_ranks_start_at_one_and_keep_ties(spark):
     data = [("q", ["t"], [1.0, 0.0], "", "")] + [(f"n{i}", ["t"], [1.0, 0.5], "", "") for i in range(5)]
-    got = [r for r in training.top_matches(statements(spark, data), k=3, dim=2).collect() if r["statement_id"] == "q"]
+    got = [r for r in training.top_matches(statements(spark, data), k=3, dim=2, ties="rank").collect() if r["statement_id"] == "q"]
     assert [r["question_similarity_rank"] for r in got] == [1] * 5
     first = training.top_matches(statements(spark, data), k=3, dim=2, ties="first").collect()
     assert [r["top_compared_questions"]["compared_statement_id"] for r in first if r["statement_id"] == "q"] == ["n0", "n1", "n2"]
@@ -163,3 +164,26 @@ def test_training_rows(spark):
     assert "/*\nqb\n*/\nsb" in got["a"]["full_prompt"] and "/*\nqa\n*/" in got["a"]["full_prompt"]
     assert got["a"]["response"] == "sa"
     assert {r[0] for r in training.without_prompt(frame, rows_).select("statement_id").collect()} == {"x", "y"}
+
+
+@pytest.mark.parametrize("prune_from", [0, 10**10])
+def test_vectors_with_odd_elements_take_no_part(spark, prune_from):
+    rng = np.random.default_rng(3)
+    good = [(f"g{i:03}", rng.normal(size=8).tolist()) for i in range(300)]
+    odd = [("nan", [float("nan")] + [1.0] * 7), ("inf", [float("inf")] + [1.0] * 7), ("null", [None] + [1.0] * 7)]
+    schema = "id string, vec array<double>"
+    rows, clean = spark.createDataFrame(good + odd, schema), spark.createDataFrame(good, schema)
+
+    def found(corpus):
+        hits = nb.nearest(corpus, corpus, query_id="id", query_vector="vec", corpus_id="id", corpus_vector="vec",
+                          k=3, ties="first", dim=8, block_rows=64, prune_from=prune_from)
+        return sorted(tuple(r) for r in hits.collect())
+
+    assert found(rows) == found(clean) and len(found(clean)) >= 900
+
+
+def test_cosine_of_odd_elements_is_null(spark):
+    rows = spark.createDataFrame(
+        [([1.0, float("nan")],), ([1.0, float("inf")],), ([1.0, None],), ([0.0, 0.0],)], "v array<double>")
+    one = F.array(F.lit(1.0), F.lit(2.0))
+    assert [r[0] for r in rows.select(cosine(F.col("v"), one)).collect()] == [None] * 4
