@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,12 @@ def learnable(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return docs.select("doc_id", "text").join(known, "doc_id")
 
 
+def arrays(rows: DataFrame) -> dict[str, np.ndarray]:
+    """Columns of a table of bounded size, brought to the driver as Arrow batches instead of rows."""
+    table = rows.toArrow()
+    return {name: table[name].to_numpy() for name in table.column_names}
+
+
 def smallest(rows: DataFrame, key: str, n: int) -> DataFrame:
     """The documented, bounded sample for a fit: the ``n`` rows with the lowest hash of ``key``."""
     return rows.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(n)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from questline.llm.common import learnable, words_of
+from questline.llm.common import arrays, learnable, words_of
 from questline.llm.model_text import cached, slot
 
 WORD_BITS = 21       # the model is two arrays of 2^21 and 2^17 slots, whatever the corpus
@@ -58,25 +58,34 @@ def _ids(word: bytes) -> tuple[int, int]:
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """``kind, slot, clean, toxic``: token counts, summed in each task before the shuffle."""
+    """``kind, slot, clean, toxic, prefix``: token counts, summed in each task before the shuffle.
+
+    Kind 0 are words and kind 1 prefixes. ``prefix`` is a word's prefix slot (the smallest, where
+    words share a slot).
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = cached(_ids)
         sums = {(kind, y): np.zeros(1 << bits, dtype=np.int64)
                 for kind, bits in ((0, WORD_BITS), (1, PREFIX_BITS)) for y in (0, 1)}
+        least = np.full(1 << WORD_BITS, 1 << PREFIX_BITS, dtype=np.int32)
         for batch in batches:
             for text, y in zip(batch["text"], batch["y"], strict=True):
                 if ids := set(of(words_of(text))):  # a text counts once for a token
-                    for kind, part in enumerate(np.array(list(ids)).T):
+                    parts = np.array(list(ids)).T
+                    for kind, part in enumerate(parts):
                         np.add.at(sums[kind, y], part, 1)
+                    np.minimum.at(least, parts[0], parts[1].astype(np.int32))
         for kind in (0, 1):
             used = np.flatnonzero(sums[kind, 0] + sums[kind, 1])
-            yield pd.DataFrame({"kind": np.int32(kind), "slot": used, "clean": sums[kind, 0][used],
-                                "toxic": sums[kind, 1][used]})
+            yield pd.DataFrame({"kind": np.int8(kind), "slot": used.astype(np.int32), "clean": sums[kind, 0][used],
+                                "toxic": sums[kind, 1][used], "prefix": least[used] if kind == 0 else np.int32(0)})
 
-    return rows.select("text", "y").mapInPandas(count, "kind int, slot long, clean long, toxic long").groupBy(
-        "kind", "slot"
-    ).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return rows.select("text", "y").mapInPandas(
+        count, "kind byte, slot int, clean long, toxic long, prefix int"
+    ).groupBy("kind", "slot").agg(
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.min("prefix").alias("prefix")
+    )
 
 
 def _log_odds(clean: np.ndarray, toxic: np.ndarray, prior_rate: np.ndarray, strength: float) -> np.ndarray:
@@ -132,14 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     Only arrays of fixed size come to the driver. Without labels every token scores below zero.
     """
     rows = learnable(docs, labels, label)
-    counts = _counts(rows).toPandas()
-    parts = []
-    for kind, bits in ((0, WORD_BITS), (1, PREFIX_BITS)):
-        clean, toxic = np.zeros(1 << bits), np.zeros(1 << bits)
-        own = counts[counts["kind"] == kind]
-        clean[own["slot"]], toxic[own["slot"]] = own["clean"], own["toxic"]
-        parts.append((clean, toxic))
-    (word_clean, word_toxic), (clean, toxic) = parts
+    counts = arrays(_counts(rows))
+    own, word = counts["kind"] == 1, counts["kind"] == 0
+    clean, toxic = np.zeros(1 << PREFIX_BITS), np.zeros(1 << PREFIX_BITS)
+    clean[counts["slot"][own]], toxic[counts["slot"][own]] = counts["clean"][own], counts["toxic"][own]
     base = (toxic.sum() + 0.5) / (clean.sum() + toxic.sum() + 1)
     prefix_rate = _log_odds(clean, toxic, base, PREFIX_PRIOR)
 
@@ -148,36 +153,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
     by_prefix = score(prefix_rate).astype(np.float32)
     scores = np.full(1 << WORD_BITS, np.nan, dtype=np.float32)
-    pairs = _word_prefixes(rows)
-    prefix_of = np.zeros(1 << WORD_BITS, dtype=np.int64)
-    prefix_of[pairs["slot"]] = pairs["prefix"]
-    seen = np.flatnonzero(word_clean + word_toxic)
-    rate = _log_odds(word_clean[seen], word_toxic[seen], prefix_rate[prefix_of[seen]], WORD_PRIOR)
-    scores[seen] = score(rate)
+    rate = _log_odds(counts["clean"][word], counts["toxic"][word], prefix_rate[counts["prefix"][word]], WORD_PRIOR)
+    scores[counts["slot"][word]] = score(rate)
     start = Model(scores, by_prefix, 1.0, 1.0)
     decay, k = _extremes(rows, start)
     return Model(scores, by_prefix, decay, k)
 
 
-def _word_prefixes(rows: DataFrame) -> pd.DataFrame:
-    """A prefix slot of each word slot in use (the smallest, where words share one)."""
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = cached(_ids)
-        least = np.full(1 << WORD_BITS, 1 << PREFIX_BITS, dtype=np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                if ids := of(words_of(text)):
-                    w, p = np.array(ids).T
-                    np.minimum.at(least, w, p)
-        used = np.flatnonzero(least < 1 << PREFIX_BITS)
-        yield pd.DataFrame({"slot": used, "prefix": least[used]})
-
-    return rows.select("text").mapInPandas(pairs, "slot long, prefix long").groupBy("slot").agg(
-        F.min("prefix").alias("prefix")
-    ).toPandas()
-
-
 def _extremes(rows: DataFrame, model: Model) -> tuple[float, float]:
     """lambda and K from the best segments of clean training texts, by moments of the Gumbel law.
 
