@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from questline.llm.common import words_of
+from questline.llm.common import arrays, words_of
 from questline.llm.model_text import cached, mix, slot
 
 WORD_BITS = 18
@@ -82,10 +82,11 @@ def train(docs: DataFrame, text: str = "text", is_target: str = "is_target") ->
     """Target and background counts by slot; only these two arrays of fixed size come to the driver."""
     size = (1 << WORD_BITS) + (1 << BIGRAM_BITS)
     out = np.zeros((2, size), dtype=np.float32)
-    got = counts(docs, text, is_target).select("slot", F.col("target").cast("float").alias("target"),
-                                               F.col("background").cast("float").alias("background")).toPandas()
+    got = arrays(counts(docs, text, is_target).select(
+        "slot", F.col("target").cast("float").alias("target"), F.col("background").cast("float").alias("background")
+    ))
     for i, name in enumerate(("target", "background")):
-        out[i, got["slot"].to_numpy()] = got[name].to_numpy()
+        out[i, got["slot"]] = got[name]
     return out[0], out[1]
 
 
