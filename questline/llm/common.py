@@ -56,18 +56,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT_FOLD, F.lit(False))
 
 
-def learnable(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """``doc_id, text, y``: texts with a 0/1 label that may be learned from.
+def learnable_labels(labels: DataFrame, label: str) -> DataFrame:
+    """``doc_id, y``: the 0/1 labels that may be learned from, one row an id.
 
     Ids that are held out, null labels and ids whose labels disagree teach nothing. A label
     table with repeated rows counts each id once.
     """
-    known = (
+    return (
         labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("_most"))
         .filter(F.col("y") == F.col("_most")).select("doc_id", F.col("y").cast("int").alias("y"))
     )
-    return docs.select("doc_id", "text").join(known, "doc_id")
+
+
+def learnable(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """``doc_id, text, y``: texts with a label that may be learned from.
+
+    Labels grow with the corpus, so they are never broadcast, and the plan is the same at every size.
+    """
+    return docs.select("doc_id", "text").join(learnable_labels(labels, label).hint("merge"), "doc_id")
 
 
 def arrays(rows: DataFrame) -> dict[str, np.ndarray]:

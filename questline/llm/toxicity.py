@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from questline.llm.common import arrays, learnable, words_of
+from questline.llm.common import arrays, learnable, learnable_labels, words_of
 from questline.llm.model_text import cached, slot
 
 WORD_BITS = 21       # the model is two arrays of 2^21 and 2^17 slots, whatever the corpus
@@ -140,8 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
     Only arrays of fixed size come to the driver. Without labels every token scores below zero.
     """
-    rows = learnable(docs, labels, label)
-    counts = arrays(_counts(rows))
+    counts = arrays(_counts(learnable(docs, labels, label)))
     own, word = counts["kind"] == 1, counts["kind"] == 0
     clean, toxic = np.zeros(1 << PREFIX_BITS), np.zeros(1 << PREFIX_BITS)
     clean[counts["slot"][own]], toxic[counts["slot"][own]] = counts["clean"][own], counts["toxic"][own]
@@ -156,20 +155,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     rate = _log_odds(counts["clean"][word], counts["toxic"][word], prefix_rate[counts["prefix"][word]], WORD_PRIOR)
     scores[counts["slot"][word]] = score(rate)
     start = Model(scores, by_prefix, 1.0, 1.0)
-    decay, k = _extremes(rows, start)
+    clean_ids = learnable_labels(labels, label).filter("y = 0").select("doc_id")
+    decay, k = _extremes(docs, clean_ids, start)
     return Model(scores, by_prefix, decay, k)
 
 
-def _extremes(rows: DataFrame, model: Model) -> tuple[float, float]:
+def _extremes(docs: DataFrame, clean_ids: DataFrame, model: Model) -> tuple[float, float]:
     """lambda and K from the best segments of clean training texts, by moments of the Gumbel law.
 
     For a text of n tokens, lambda s - ln n is Gumbel distributed around ln K; lambda comes from
-    the spread of s, each text weighted alike. Three sums come to the driver.
+    the spread of s, each text weighted alike. Texts are scored before the join, so that it moves
+    two numbers a text; four sums come to the driver.
     """
-    best = best_segments(rows.filter("y = 0"), model)
-    got = best.filter("n_words > 0").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("best").alias("mean"), F.coalesce(F.stddev("best"), F.lit(0.0)).alias("sd"),
-        F.avg(F.ln("n_words")).alias("size"),
+    best = best_segments(docs.select("doc_id", "text"), model).select("doc_id", "n_words", "best")
+    some = F.col("n_words") > 0  # in the sums: a filter would be pushed down and score every text twice
+    got = best.join(clean_ids.hint("merge"), "doc_id").agg(
+        F.count_if(some).alias("n"), F.avg(F.when(some, F.col("best"))).alias("mean"),
+        F.coalesce(F.stddev(F.when(some, F.col("best"))), F.lit(0.0)).alias("sd"),
+        F.avg(F.when(some, F.ln("n_words"))).alias("size"),
     ).first()
     if not got["n"]:
         return 1.0, 1.0
