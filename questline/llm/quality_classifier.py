@@ -84,8 +84,11 @@ def _presence(rows: DataFrame) -> DataFrame:
     )
 
 
-def _fit_rows(rows: DataFrame) -> list[tuple[int, np.ndarray]]:
-    """Label and n-gram slots of a bounded sample: half of FIT_ROWS a class, by lowest hash."""
+def _fit_rows(docs: DataFrame, rows: DataFrame) -> list[tuple[int, np.ndarray]]:
+    """Label and n-gram slots of a bounded sample: half of FIT_ROWS a class, by lowest hash.
+
+    The sample is chosen on ids and labels; at most FIT_ROWS of these are broadcast to fetch texts.
+    """
 
     @F.pandas_udf("array<int>")
     def grams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -100,9 +103,9 @@ def _fit_rows(rows: DataFrame) -> list[tuple[int, np.ndarray]]:
             yield pd.Series(out, dtype=object)
 
     chosen = [smallest(rows.filter(F.col("y") == y).select("doc_id", "y"), "doc_id", FIT_ROWS // 2) for y in (0, 1)]
-    ids = chosen[0].unionByName(chosen[1]).select("doc_id").distinct()
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]).distinct())
     # A text that stands several times under one id is taken once.
-    one = rows.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    one = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
     got = one.select("doc_id", "y", grams("text").alias("g")).toPandas().sort_values("doc_id")
     return [(int(y), np.asarray(g, dtype=np.int64)) for y, g in zip(got["y"], got["g"], strict=True)]
 
@@ -155,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     bad[own["slot"]], good[own["slot"]] = own["bad"], own["good"]
     ratio = np.log((good + SMOOTHING) / (n_good + 2 * SMOOTHING)) - np.log((bad + SMOOTHING) / (n_bad + 2 * SMOOTHING))
     ratio[(bad + good) < 2] = 0.0  # one text alone shows no ratio
-    sample = _fit_rows(rows)
+    sample = _fit_rows(docs, rows)
     y = np.array([1.0 if q else -1.0 for q, _ in sample])
     x = [g for _, g in sample]
     costs = COST * len(y) / 2 / np.where(y > 0, max((y > 0).sum(), 1), max((y < 0).sum(), 1))
