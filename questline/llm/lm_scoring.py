@@ -2,124 +2,205 @@
 
 A target and a background bigram model of the same form score each document; the difference of
 their losses per token tells how much more a document is like the target texts than like the corpus.
-Both share one vocabulary: words and bigrams hashed into tables of fixed size, counted over all
-documents, so the models stay bounded whatever the corpus.
+Words are known by 64-bit hashes and bigrams by two of them, so different n-grams don't share a
+count. The counts are tables that grow with the corpus. Only the most frequent bigrams,
+at most 2^18, are sent to all tasks; the others of each document are joined to the tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from questline.llm.common import arrays, words_of
-from questline.llm.model_text import cached, mix, slot
+from questline.llm.model_text import cached
+from questline.session import cut_lineage
 
-WORD_BITS = 18
-BIGRAM_BITS = 21   # with the words' 2^18, under 20 MB for both models
+WORD_BITS = 18     # at least 2^18 words share the unigrams' pseudo-counts, more where the corpus has more
+HOT_BITS = 18      # a bigram is hot from a 2^18th of all bigrams on, so there are at most 2^18 of these
 BACKOFF = 2.0      # pseudo-counts of the unigram model in a bigram's
-UNIGRAM = 0.5      # pseudo-count of every word slot
+UNIGRAM = 0.5      # pseudo-count of every word
+HELD = 1 << 20     # bigrams a task gathers before it sums them
+START = 0          # the mark before a text's first word; no word has this hash
 
 
-def _ids(word: bytes) -> tuple[int]:
-    return (slot(word.lower(), WORD_BITS),)
+@dataclass(frozen=True)
+class Models:
+    """Losses of both models: ``rare`` has v, w, target_loss, background_loss of each bigram that isn't hot."""
 
+    rare: DataFrame
+    hot: np.ndarray     # sorted keys of the hot bigrams
+    losses: np.ndarray  # two rows: their losses under the target and the background model
 
-def _slots(text: str | None, of) -> tuple[np.ndarray, np.ndarray]:
-    """Word slots with a start mark before them (slot 0), and the slots of the bigrams."""
-    words = words_of(text)
-    w = np.zeros(len(words) + 1, dtype=np.int64)
-    if words:
-        w[1:] = np.array(of(words), dtype=np.int64)[:, 0]
-    return w, mix(w[:-1], w[1:], bits=BIGRAM_BITS) + (1 << WORD_BITS)
+
+def _id(word: bytes) -> int:
+    h = xxhash.xxh64_intdigest(word.lower())
+    return (h - (1 << 64) if h >> 63 else h) or 1
+
+
+def _bigrams(text: str | None, of) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each word and of the one before it."""
+    w = np.array([START, *of(words_of(text))], dtype=np.int64)
+    return w[:-1], w[1:]
+
+
+def _keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit keys of bigrams; order matters."""
+    x = np.zeros(len(v), dtype=np.uint64)
+    for part in (v, w):
+        x = (x ^ part.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    return x.view(np.int64)
 
 
 def counts(docs: DataFrame, text: str, is_target: str) -> DataFrame:
-    """``slot, target, background``: counts of words and bigrams over all documents.
+    """``v, w, target, background``: counts of all bigrams over all documents.
 
     Background counts are of the whole corpus, target texts included. Each task sums its own
     documents before the shuffle.
     """
 
+    def summed(parts: list[tuple[np.ndarray, np.ndarray, bool]]) -> pd.DataFrame:
+        v, w = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        mark = np.repeat([float(p[2]) for p in parts], [len(p[0]) for p in parts])
+        _, first, at = np.unique(_keys(v, w), return_index=True, return_inverse=True)
+        return pd.DataFrame({"v": v[first], "w": w[first], "target": np.bincount(at, mark).astype(np.int64),
+                             "background": np.bincount(at)})
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = cached(_ids)
-        sums = np.zeros((2, (1 << WORD_BITS) + (1 << BIGRAM_BITS)), dtype=np.int64)
-        size = sums.shape[1]
+        of = cached(_id)
+        waiting, held = [], 0
         for batch in batches:
-            waiting: dict[bool, list[np.ndarray]] = {True: [], False: []}
-            held = 0
             for value, mark in zip(batch["text"], batch["mark"], strict=True):
-                w, b = _slots(value, of)
-                if len(b):
-                    waiting[bool(mark)] += [w[:-1], b]  # a word counts as the history of the next
-                    held += 2 * len(b)
-                if held > 1 << 20:
-                    held = _flush(waiting, sums, size)
-            _flush(waiting, sums, size)
-        used = np.flatnonzero(sums[1])
-        yield pd.DataFrame({"slot": used, "target": sums[0, used], "background": sums[1, used]})
+                v, w = _bigrams(value, of)
+                if len(w):
+                    waiting.append((v, w, bool(mark)))
+                    held += len(w)
+                if held > HELD:
+                    yield summed(waiting)
+                    waiting, held = [], 0
+        if held:
+            yield summed(waiting)
 
     return docs.select(F.col(text).alias("text"), F.col(is_target).alias("mark")).mapInPandas(
-        count, "slot int, target long, background long"
-    ).groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def _flush(waiting: dict[bool, list[np.ndarray]], sums: np.ndarray, size: int) -> int:
-    for mark, parts in waiting.items():
-        if parts:
-            n = np.bincount(np.concatenate(parts), minlength=size)
-            sums[1] += n
-            if mark:
-                sums[0] += n
-            parts.clear()
-    return 0
-
-
-def train(docs: DataFrame, text: str = "text", is_target: str = "is_target") -> tuple[np.ndarray, np.ndarray]:
-    """Target and background counts by slot; only these two arrays of fixed size come to the driver."""
-    size = (1 << WORD_BITS) + (1 << BIGRAM_BITS)
-    out = np.zeros((2, size), dtype=np.float32)
-    got = arrays(counts(docs, text, is_target).select(
-        "slot", F.col("target").cast("float").alias("target"), F.col("background").cast("float").alias("background")
-    ))
-    for i, name in enumerate(("target", "background")):
-        out[i, got["slot"]] = got[name]
-    return out[0], out[1]
+        count, "v long, w long, target long, background long"
+    ).groupBy("v", "w").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+def train(docs: DataFrame, text: str = "text", is_target: str = "is_target") -> Models:
+    """Losses of all bigrams of ``docs``. The driver gets totals and at most 2^HOT_BITS bigrams."""
+    pairs = cut_lineage(counts(docs, text, is_target))
+    sums = [F.sum(c).alias(c) for c in ("target", "background")]
+    before = cut_lineage(pairs.groupBy("v").agg(*sums))  # as the word before
+    words = cut_lineage(pairs.groupBy("w").agg(*sums))   # every word, the last of a text too
+    known = words.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(s, F.lit(0)).alias(c) for s, c in
+                                                      zip(sums, ("target", "background"), strict=True)]).first()
+    least = max(1, -(-known["background"] // (1 << HOT_BITS)))
 
+    def losses(rows: DataFrame) -> DataFrame:
+        # Alike at every size, so never broadcast; a frequent word's rows are dealt out as a skewed join.
+        both = rows.join(before.select("v", *[F.col(c).alias(f"_v_{c}") for c in ("target", "background")]).hint("merge"), "v")
+        both = both.join(words.select("w", *[F.col(c).alias(f"_w_{c}") for c in ("target", "background")]).hint("merge"), "w")
+        return both.select("v", "w", *[
+            loss(F.col(c), F.col(f"_v_{c}"), F.col(f"_w_{c}"), known[c], max(known["n"], 1 << WORD_BITS)).alias(f"{c}_loss")
+            for c in ("target", "background")
+        ])
 
-def loss(model: np.ndarray, words: np.ndarray, bigrams: np.ndarray, total: float) -> np.ndarray:
-    """-log2 of each word's chance after the one before: a bigram's, drawn towards the word's own."""
-    own = (model[words[1:]] + UNIGRAM) / (total + UNIGRAM * (1 << WORD_BITS))
-    return -np.log2((model[bigrams] + BACKOFF * own) / (model[words[:-1]] + BACKOFF))
+    got = arrays(losses(pairs.filter(F.col("background") >= least)))
+    keys = _keys(got["v"], got["w"])
+    order = np.argsort(keys)
+    return Models(losses(pairs.filter(F.col("background") < least)), keys[order],
+                  np.stack([got["target_loss"], got["background_loss"]])[:, order])
 
 
-def score(docs: DataFrame, models: tuple[np.ndarray, np.ndarray], text: Column) -> DataFrame:
-    """``docs`` with n_words, target_loss, background_loss (bits a word) and difference.
+def loss(pair: Column, before: Column, word: Column, total: int, vocabulary: int) -> Column:
+    """-log2 of a word's chance after the one before: the bigram's, drawn towards the word's own."""
+    own = (word + UNIGRAM) / (total + UNIGRAM * vocabulary)
+    return -F.log2((pair + BACKOFF * own) / (before + BACKOFF))
 
-    Low differences are like the target. Texts without words, null ones included, have null
-    losses and difference. Columns of these names are replaced.
+
+_ROWS = pa.schema([("text_key", pa.int64()), ("v", pa.int64()), ("w", pa.int64()), ("n", pa.int32()),
+                   ("target", pa.float64()), ("background", pa.float64()), ("words", pa.int64()), ("docs", pa.int32())])
+
+
+def _parts(docs: DataFrame, models: Models) -> DataFrame:
+    """``text_key, v, w, n, target, background, words, docs``: what each document's losses are summed from.
+
+    One row a document has the losses of its hot bigrams (n = 0, at a random place of the join),
+    and one row each rare bigram, which has its losses still to come, n times.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(models)
-
-    @F.pandas_udf("n_words long, target_loss double, background_loss double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        of = cached(_ids)
-        both = shipped.value
-        totals = [float(m[: 1 << WORD_BITS].sum(dtype=np.float64)) for m in both]
-        for texts in batches:
-            out = []
-            for value in texts:
-                w, b = _slots(value, of)
-                losses = [float(loss(m, w, b, t).mean(dtype=np.float64)) if len(b) else None
-                          for m, t in zip(both, totals, strict=True)]
-                out.append((len(b), *losses))
-            yield pd.DataFrame(out, columns=["n_words", "target_loss", "background_loss"]).astype(
-                {"target_loss": "float64", "background_loss": "float64"}
-            )
+    shipped = docs.sparkSession.sparkContext.broadcast((models.hot, models.losses))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = cached(_id)
+        hot, known = shipped.value
+        place = np.random.default_rng(0)
 
+        def rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=t) for c, t in
+                                               zip(zip(*parts, strict=True), _ROWS.types, strict=True)], schema=_ROWS)
+
+        for batch in batches:
+            waiting, held = [], 0
+            for key, text in zip(batch["text_key"].to_numpy(), batch["text"], strict=True):
+                v, w = _bigrams(text.as_py(), of)
+                keys, first, n = np.unique(_keys(v, w), return_index=True, return_counts=True)
+                at = np.minimum(np.searchsorted(hot, keys), max(len(hot) - 1, 0))
+                is_hot = hot[at] == keys if len(hot) else np.zeros(len(keys), dtype=bool)
+                summed = known[:, at[is_hot]] @ n[is_hot] if len(hot) else np.zeros(2)
+                first, n = first[~is_hot], n[~is_hot]
+                size, anywhere = len(n), place.integers(-(1 << 62), 1 << 62, 2)
+                none = np.zeros(size)
+                waiting.append((
+                    np.full(size + 1, key), np.r_[v[first], anywhere[0]], np.r_[w[first], anywhere[1]], np.r_[n, 0],
+                    np.r_[none, summed[0]], np.r_[none, summed[1]],
+                    np.r_[none, len(w)].astype(np.int64), np.r_[none, 1].astype(np.int32),
+                ))
+                held += size + 1
+                if held > HELD:
+                    yield rows(waiting)
+                    waiting, held = [], 0
+            if held:
+                yield rows(waiting)
+
+    return docs.mapInArrow(run, "text_key long, v long, w long, n int, target double, background double, words long, docs int")
+
+
+def score(docs: DataFrame, models: Models, text: Column) -> DataFrame:
+    """``docs`` with n_words, target_loss, background_loss (bits a word) and difference, in their order.
+
+    ``docs`` are of the texts that were counted; a bigram that wasn't is an error. Low differences
+    are like the target. Texts without words, null ones included, have null losses and difference.
+    Columns of these names are replaced.
+    """
     names = ("n_words", "target_loss", "background_loss", "difference")
-    found = docs.withColumn("_lm", run(text)).select(*[c for c in docs.columns if c not in names], "_lm.*")
-    return found.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
+    key = F.xxhash64(text, F.octet_length(text))
+    rare = models.rare.withColumnsRenamed({"target_loss": "_target", "background_loss": "_background"})
+    parts = _parts(docs.select(key.alias("text_key"), text.alias("text")), models).join(
+        rare.hint("merge"), ["v", "w"], "left")
+
+    def lost(known: str, rest: str) -> Column:
+        missing = (F.col("n") > 0) & F.col(rest).isNull()
+        return F.col(known) + F.when(F.col("n") == 0, 0.0).when(
+            missing, F.raise_error(F.lit("a bigram was not counted")).cast("double")).otherwise(F.col("n") * F.col(rest))
+
+    # Equal texts are summed together, and the means stay the same.
+    words = F.sum("words")
+    sums = cut_lineage(parts.groupBy("text_key").agg(
+        (words / F.sum("docs")).cast("long").alias("n_words"),
+        F.when(words > 0, F.sum(lost("target", "_target")) / words).alias("target_loss"),
+        F.when(words > 0, F.sum(lost("background", "_background")) / words).alias("background_loss"),
+    ))
+    kept = [c for c in docs.columns if c not in names]
+    rows = docs.select(*kept, key.alias("_text_key"), F.monotonically_increasing_id().alias("_row"))
+    return rows.join(sums.withColumnRenamed("text_key", "_text_key").hint("merge"), "_text_key").orderBy("_row").select(
+        *kept, "n_words", "target_loss", "background_loss",
+        (F.col("target_loss") - F.col("background_loss")).alias("difference"),
+    )

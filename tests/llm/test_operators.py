@@ -313,6 +313,37 @@ def test_lm_odd_input(odd, nothing):
         assert lm_scoring.score(docs, lm_scoring.train(marked), F.col("text")).count() == docs.count()
 
 
+@pytest.mark.parametrize("hot_bits", [0, 3, 18])
+def test_every_ngram_has_its_own_count(spark, monkeypatch, hot_bits):
+    """Losses against exact counts: more words than hash slots, one-word texts, equal texts, hot and rare bigrams."""
+    monkeypatch.setattr(lm_scoring, "HOT_BITS", hot_bits)
+    monkeypatch.setattr(lm_scoring, "WORD_BITS", 4)
+    pick = random.Random(9)
+    docs = [(" ".join(f"w{int(pick.paretovariate(0.7))}" for _ in range(pick.randint(1, 60))), i % 3 == 0) for i in range(150)]
+    docs += [("only", False), ("Only", True)] + [docs[0]] * 20
+    rows = spark.createDataFrame(docs, "text string, is_target boolean").repartition(3)
+    got = lm_scoring.score(rows, lm_scoring.train(rows), F.col("text")).collect()
+    word, before, pairs = ({0: Counter(), 1: Counter()} for _ in range(3))
+    for text, target in docs:
+        w = ["^", *text.lower().split()]
+        for m in ({0, 1} if target else {0}):
+            word[m].update(w[1:])
+            before[m].update(w[:-1])
+            pairs[m].update(itertools.pairwise(w))
+    size = max(len(word[0]), 1 << lm_scoring.WORD_BITS)
+
+    def want(text, m):
+        w = ["^", *text.lower().split()]
+        total = sum(word[m].values()) + lm_scoring.UNIGRAM * size
+        return sum(-math.log2((pairs[m][a, b] + lm_scoring.BACKOFF * (word[m][b] + lm_scoring.UNIGRAM) / total)
+                              / (before[m][a] + lm_scoring.BACKOFF)) for a, b in itertools.pairwise(w)) / (len(w) - 1)
+
+    assert len(got) == len(docs)
+    for r in got:
+        assert r.n_words == len(r.text.split())
+        assert abs(r.background_loss - want(r.text, 0)) < 1e-9 and abs(r.target_loss - want(r.text, 1)) < 1e-9
+
+
 # --- 10 --------------------------------------------------------------------------------------
 
 def test_search_equals_direct_comparison(spark, monkeypatch):
