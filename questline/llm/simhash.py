@@ -11,6 +11,9 @@ ones neighbours only; the links it finds tie dense groups together. In the large
 those cut by the border of two partitions, pairs of *different* components then meet: the rows
 outside a bucket's largest component meet the others. Pairs within a component can't change
 the result.
+
+Stages that ask for a share of common shingles take their candidates from MinHash bands
+(Broder, 1997) instead: texts with a band of minima in common meet in its bucket, large ones as above.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ PAIR, NEAR, RUN = 0, 1, 2
 # What near-duplicate stages ask of word shingles.
 SIMILARITY = 0.8
 SIMILARITY_WORDS = 5
+BANDS, BAND_ROWS = 32, 5  # texts that share 0.8 of their shingles miss each other once in 300,000 pairs
 
 
 def shingles(text: str | None, n: int) -> list[bytes]:
@@ -66,6 +70,36 @@ def fingerprint(text: str | None, n: int, distinct: bool) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+_MINHASH = np.random.default_rng(SEED).integers(1 << 63, size=(2, BANDS * BAND_ROWS), dtype=np.uint64)
+
+
+def bands(text: str | None, n: int) -> list[int]:
+    """``BANDS`` signed 64-bit keys, each of ``BAND_ROWS`` minima of hashes of the distinct shingles; no words: none."""
+    grams = set(shingles(text, n))
+    if not grams:
+        return []
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64, count=len(grams))
+    times, plus = _MINHASH[0] | np.uint64(1), _MINHASH[1]
+    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 4096):
+        x = hashes[at:at + 4096, None] * times + plus
+        x ^= x >> np.uint64(32)  # the low bits of a product know only the low bits of its factors
+        np.minimum(least, (x * np.uint64(0x9E3779B97F4A7C15)).min(0), out=least)
+    return [xxhash.xxh64_intdigest(band.tobytes(), i) - (1 << 63)
+            for i, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def with_bands(docs: DataFrame, text: str = "text", n: int = SIMILARITY_WORDS, name: str = "bands") -> DataFrame:
+    """``docs`` with an array of the MinHash bands of its text."""
+
+    @F.pandas_udf("array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([bands(t, n) for t in texts], dtype=object)
+
+    return docs.withColumn(name, run(F.col(text)))
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text", n: int = 4, distinct: bool = False,
                      name: str = "fp") -> DataFrame:
     """``docs`` with a long column; fingerprints follow from the text alone (null: zero)."""
@@ -103,7 +137,10 @@ def variants(fp: Column, distance: int) -> Column:
     return F.array(*keys)
 
 
-def _index(nodes: DataFrame, distance: int) -> DataFrame:
+def _index(nodes: DataFrame, distance: int | None) -> DataFrame:
+    """A row for each key of a node: its bands, or the variants of its fingerprint."""
+    if distance is None:
+        return nodes.select("node", "fp", F.explode("bands").alias("key"))
     return nodes.withColumn("key", F.explode(variants(F.col("fp"), distance)))
 
 
@@ -173,7 +210,7 @@ def _swept(index: DataFrame, reach: int) -> DataFrame:
     ).mapInArrow(sweep, "kind byte, a long, b long, bits byte")
 
 
-def _across(nodes: DataFrame, placed: DataFrame, keys: DataFrame, distance: int, reach: int) -> DataFrame:
+def _across(nodes: DataFrame, placed: DataFrame, keys: DataFrame, distance: int | None, reach: int) -> DataFrame:
     """``a, b``: all pairs in the given buckets, within reach and of different components.
 
     ``placed``: node, component. A bucket with one component has nothing to compare.
@@ -193,7 +230,8 @@ def _across(nodes: DataFrame, placed: DataFrame, keys: DataFrame, distance: int,
     return others.join(
         everyone,
         (F.col("key") == F.col("key2")) & (F.col("comp") != F.col("comp2"))
-        & (F.col("in_top") | (F.col("node") < F.col("node2"))) & _close(F.col("key"), distance, reach),
+        & (F.col("in_top") | (F.col("node") < F.col("node2")))
+        & (F.lit(True) if distance is None else _close(F.col("key"), distance, reach)),
     ).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
@@ -212,15 +250,18 @@ def _close(key: Column, distance: int, reach: int) -> Column:
     return (F.bit_count(x) <= reach) & once
 
 
-def classes(nodes: DataFrame, distance: int, reach: int | None = None, verify=None) -> DataFrame:
+def classes(nodes: DataFrame, distance: int | None, reach: int | None = None, verify=None) -> DataFrame:
     """``node, component`` of all nodes that are linked to another.
 
     ``nodes``: node long and fp long, each node once. All pairs within ``distance`` bits are
     found, and of those within ``reach`` bits (default: the same) the ones that agree in a
     segment up to one bit. ``verify`` takes pairs ``a, b`` and returns those that are links;
     None: the bits alone decide. Nodes without a link have no row; no nodes, no rows.
+
+    A ``distance`` of None takes the keys from the nodes' ``bands``; all pairs with one in common are
+    candidates, and fp only sorts large buckets so that neighbours are likely links.
     """
-    reach = distance if reach is None else reach
+    reach = (BITS if distance is None else distance) if reach is None else reach
     check = verify or (lambda pairs: pairs)
     swept = cut_lineage(_swept(_index(nodes, distance), reach))
     near = swept.filter(F.col("kind") == NEAR).groupBy("a").agg(F.min_by("b", "bits").alias("b"))
@@ -287,14 +328,13 @@ def _only(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.join(chosen, ["_node", "_id"]).dropDuplicates(["_node", "_id"])
 
 
-def one_per_group(docs: DataFrame, distance: int = 5, reach: int = 9, n: int = 1,
-                  similarity: float = SIMILARITY, similarity_words: int = SIMILARITY_WORDS) -> DataFrame:
+def one_per_group(docs: DataFrame, n: int = 1, similarity: float = SIMILARITY,
+                  similarity_words: int = SIMILARITY_WORDS) -> DataFrame:
     """``docs`` with one document of each group of copies and near copies, all columns kept.
 
     Equal texts are a group (null texts too). Groups are joined where two texts share at
-    least ``similarity`` of their five-word shingles; the candidates come from the fingerprints of
-    their distinct words, which a few changed words move less than those of shingles. The
-    document with the smallest id stays; one without an id stays only if the group has no other.
+    least ``similarity`` of their five-word shingles; the candidates share a MinHash band of the
+    same shingles, and large buckets are sorted by fingerprints of distinct words. The document with the smallest id stays; one without an id stays only if the group has no other.
     Of repeated rows one stays. An empty table stays empty.
     """
     last = F.lit((1 << 63) - 1)
@@ -304,7 +344,7 @@ def one_per_group(docs: DataFrame, distance: int = 5, reach: int = 9, n: int = 1
     texts = rows.groupBy("_node").agg(F.min("_id").alias("_id"))
     texts = cut_lineage(texts)
     kept = with_fingerprint(_only(rows.select("_node", "_id", "text"), texts), n=n, distinct=True)
-    nodes = cut_lineage(kept.select(F.col("_node").alias("node"), "_id", "fp"))
+    nodes = cut_lineage(with_bands(kept, n=similarity_words).select(F.col("_node").alias("node"), "_id", "fp", "bands"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut_lineage(pairs)
@@ -312,7 +352,7 @@ def one_per_group(docs: DataFrame, distance: int = 5, reach: int = 9, n: int = 1
         found = _only(rows.select("_node", "_id", "text"), asked)
         return similar_enough(pairs, found.select(F.col("_node").alias("node"), "text"), similarity, similarity_words)
 
-    found = classes(nodes.select("node", "fp"), distance, reach, verify)
+    found = classes(nodes.select("node", "fp", "bands"), None, verify=verify)
     groups = nodes.join(found, "node", "left").select(
         F.coalesce("component", "node").alias("group"), F.col("node").alias("_node"), "_id"
     )

@@ -227,6 +227,32 @@ def test_near_copies_go(spark):
     assert {r.doc_id // 5 for r in kept} == set(range(20)) and len(kept) <= 22
 
 
+def test_near_copies_of_all_lengths_and_similarities(spark):
+    """Copies with words added or changed, down to 0.8 of the shingles; brute force knows the similarity."""
+    pick = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows, due = [], {}
+    for size in (30, 100, 300):
+        for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.97)):
+            made = 0
+            while made < 25:
+                text = [pick.choice(vocabulary) for _ in range(size)]
+                copy = list(text)
+                if made % 2:
+                    copy += [pick.choice(vocabulary) for _ in range(pick.randint(1, size // 4))]
+                else:
+                    for at in pick.sample(range(size), pick.randint(1, max(1, size // 40))):
+                        copy[at] = pick.choice(vocabulary)
+                a, b = (set(simhash.shingles(" ".join(x), 5)) for x in (text, copy))
+                if low <= len(a & b) / len(a | b) < high or (not made % 2 and size == 30):
+                    at = len(rows)
+                    rows += [(at, " ".join(text)), (at + 1, " ".join(copy))]
+                    due[at] = len(a & b) / len(a | b) >= 0.8
+                    made += 1
+    kept = {r.doc_id for r in simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(at in kept and (at + 1 not in kept) == gone for at, gone in due.items())
+
+
 def test_components(spark):
     pick = random.Random(2)
     chain = [(i, i + 1) for i in range(100, 400)]
