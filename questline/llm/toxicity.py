@@ -2,12 +2,13 @@
 
 A token's score is the log-odds of being toxic, with a hierarchical Dirichlet prior: a word's
 rate is drawn towards that of words with the same beginning or doubled mark, and this towards the corpus's.
-Texts are counted, not occurrences, and a word that comes again in a text is no new
-evidence. Less a drift, tokens of clean text score below zero; one linear pass (Ruzzo and Tompa,
+Texts are counted, not occurrences. Less a drift, tokens of clean text score below zero; one linear pass (Ruzzo and Tompa,
 1999) then finds all maximal-scoring segments of a text. The chance of segments so good is
 calibrated by extreme-value statistics (Karlin and Altschul, 1990): in clean text of n tokens,
 K n exp(-lambda s) segments of a score over s are expected, with lambda and K fitted to the
-clean training texts. A text's score follows from its segments' sum statistic.
+clean training texts. A text's score follows from its segments' sum statistic. For the score a word
+that comes again in a text is no new evidence and counts as clean; passages are reported from the
+plain log-odds, repeated or not, with their own lambda and K.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ class Model:
     rates: np.ndarray  # by prefix, for words that training didn't show
     decay: float
     k: float
+    passage_decay: float  # the same two for the plain log-odds
+    passage_k: float
 
 
 def _token(word: bytes) -> bytes:
@@ -124,13 +127,15 @@ def _scorer(scores: np.ndarray, rates: np.ndarray):
 
     of = cached(one)
 
-    def run(words: list[bytes]) -> np.ndarray:
-        s = np.array([x[0] for x in of(words)], dtype=np.float64)
+    def run(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of the words, and the same with words that come again as clean."""
+        plain = np.array([x[0] for x in of(words)], dtype=np.float64)
+        s = plain.copy()
         if len(first := dict(zip(reversed(words), range(len(words) - 1, -1, -1), strict=True))) < len(words):
             again = np.ones(len(words), dtype=bool)
             again[list(first.values())] = False
             s[again] = np.minimum(s[again], -DRIFT)
-        return s
+        return plain, s
 
     return run
 
@@ -154,51 +159,63 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     scores = np.full(1 << WORD_BITS, np.nan, dtype=np.float32)
     rate = _log_odds(counts["clean"][word], counts["toxic"][word], prefix_rate[counts["prefix"][word]], WORD_PRIOR)
     scores[counts["slot"][word]] = score(rate)
-    start = Model(scores, by_prefix, 1.0, 1.0)
+    start = Model(scores, by_prefix, 1.0, 1.0, 1.0, 1.0)
     clean_ids = learnable_labels(labels, label).filter("y = 0").select("doc_id")
-    decay, k = _extremes(docs, clean_ids, start)
-    return Model(scores, by_prefix, decay, k)
+    return Model(scores, by_prefix, *_extremes(docs, clean_ids, start))
 
 
-def _extremes(docs: DataFrame, clean_ids: DataFrame, model: Model) -> tuple[float, float]:
+def _extremes(docs: DataFrame, clean_ids: DataFrame, model: Model) -> tuple[float, float, float, float]:
     """lambda and K from the best segments of clean training texts, by moments of the Gumbel law.
 
+    First those of the scored segments, then those of the passages.
+
     For a text of n tokens, lambda s - ln n is Gumbel distributed around ln K; lambda comes from
     the spread of s, each text weighted alike. Texts are scored before the join, so that it moves
-    two numbers a text; four sums come to the driver.
+    three numbers a text; six sums come to the driver.
     """
-    best = best_segments(docs.select("doc_id", "text"), model).select("doc_id", "n_words", "best")
+    best = best_segments(docs.select("doc_id", "text"), model).select("doc_id", "n_words", "best", "best_passage")
     some = F.col("n_words") > 0  # in the sums: a filter would be pushed down and score every text twice
     got = best.join(clean_ids.hint("merge"), "doc_id").agg(
-        F.count_if(some).alias("n"), F.avg(F.when(some, F.col("best"))).alias("mean"),
-        F.coalesce(F.stddev(F.when(some, F.col("best"))), F.lit(0.0)).alias("sd"),
-        F.avg(F.when(some, F.ln("n_words"))).alias("size"),
+        F.count_if(some).alias("n"), F.avg(F.when(some, F.ln("n_words"))).alias("size"),
+        *[F.avg(F.when(some, F.col(c))).alias(f"{c}_mean") for c in ("best", "best_passage")],
+        *[F.coalesce(F.stddev(F.when(some, F.col(c))), F.lit(0.0)).alias(f"{c}_sd") for c in ("best", "best_passage")],
     ).first()
     if not got["n"]:
-        return 1.0, 1.0
-    # A clean text without any positive token scores 0; the floor keeps lambda from running off.
-    decay = math.pi / (math.sqrt(6.0) * max(got["sd"], 0.5))
-    return decay, math.exp(decay * got["mean"] - np.euler_gamma - got["size"])
+        return 1.0, 1.0, 1.0, 1.0
+    out = []
+    for c in ("best", "best_passage"):
+        # A clean text without any positive token scores 0; the floor keeps lambda from running off.
+        decay = math.pi / (math.sqrt(6.0) * max(got[f"{c}_sd"], 0.5))
+        out += [decay, math.exp(decay * got[f"{c}_mean"] - np.euler_gamma - got["size"])]
+    return tuple(out)
 
 
 def best_segments(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with n_words, the best segment's score, and all segments' spans in words."""
+    """``docs`` with n_words, and the best score and all segments: for the score, and as passages.
+
+    ``scored`` are the segments' scores where words that come again are clean; ``passages`` are the
+    spans in words of those over plain log-odds, ``best_passage`` is the best of their scores.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast((model.scores, model.rates))
 
-    @F.pandas_udf("n_words long, best double, passages array<struct<start:int,end:int,score:double>>")
+    names = ["n_words", "best", "scored", "best_passage", "passages"]
+
+    @F.pandas_udf("n_words long, best double, scored array<double>, best_passage double, "
+                  "passages array<struct<start:int,end:int,score:double>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         of = _scorer(*shipped.value)
         for texts in batches:
             out = []
             for text in texts:
                 words = words_of(text)
-                found = segments(of(words)) if words else []
-                out.append((len(words), max((x[2] for x in found), default=0.0),
-                            [{"start": s, "end": e, "score": x} for s, e, x in found]))
-            yield pd.DataFrame(out, columns=["n_words", "best", "passages"])
+                plain, once = map(segments, of(words)) if words else ([], [])
+                out.append((len(words), max((x[2] for x in once), default=0.0), [x[2] for x in once],
+                            max((x[2] for x in plain), default=0.0),
+                            [{"start": s, "end": e, "score": x} for s, e, x in plain]))
+            yield pd.DataFrame(out, columns=names)
 
     return docs.withColumn("_found", run(F.col("text"))).select(
-        *[c for c in docs.columns if c not in ("n_words", "best", "passages")], "_found.*"
+        *[c for c in docs.columns if c not in names], "_found.*"
     )
 
 
@@ -206,14 +223,14 @@ def score(docs: DataFrame, model: Model, max_chance: float = MAX_CHANCE) -> Data
     """``docs`` with n_words, score (0 to 1) and the significant passages (spans in words).
 
     A passage's evidence is -ln(K n exp(-lambda s)), what chance leaves unexplained; it is
-    significant from -ln(max_chance) on. All positive evidence is summed, less ln(r!) for r
-    passages, as in the sum statistic; score = 1 - exp(-x ln 2 / m) with m the mark a single passage
+    significant from -ln(max_chance) on. For the score all positive evidence of segments in which
+    no word counts again is summed, less ln(r!) for r segments, as in the sum statistic; score = 1 - exp(-x ln 2 / m) with m the mark a single passage
     must reach, so a document at the mark scores 0.5. Empty texts score 0.
     """
     mark = -math.log(max_chance)
     found = best_segments(docs, model)
     offset = F.log(F.col("n_words").cast("double") * model.k)
-    evidence = F.transform("passages", lambda p: p["score"] * model.decay - offset)
+    evidence = F.transform("scored", lambda s: s * model.decay - offset)
     good = F.filter(evidence, lambda e: e > 0)
     more = F.aggregate(good, F.lit(0.0), lambda acc, e: acc + e) - F.when(
         F.size(good) > 1, F.aggregate(F.sequence(F.lit(1), F.size(good)), F.lit(0.0),
@@ -222,7 +239,8 @@ def score(docs: DataFrame, model: Model, max_chance: float = MAX_CHANCE) -> Data
     best = F.col("best") * model.decay - offset
     total = F.when(F.size(good) > 0, F.greatest(more, best)).otherwise(best)
     strong = 1 - F.exp(-total * math.log(2) / mark)
-    kept = F.filter("passages", lambda p: p["score"] * model.decay - offset >= mark)
+    passage_offset = F.log(F.col("n_words").cast("double") * model.passage_k)
+    kept = F.filter("passages", lambda p: p["score"] * model.passage_decay - passage_offset >= mark)
     return found.withColumn("score", F.when((F.col("n_words") == 0) | (total <= 0), 0.0).otherwise(strong)).withColumn(
         "passages", F.when(F.col("n_words") > 0, kept).otherwise(F.col("passages"))
-    )
+    ).drop("scored", "best_passage")

@@ -151,6 +151,24 @@ def test_toxicity_on_held_out(spark):
     assert sum(r.predicted for r in rows if r.toxic == 0) <= 2
 
 
+def test_repeated_passages_are_all_found(spark):
+    """A toxic passage that comes again in a text is reported at each of its places."""
+    pick = random.Random(4)
+    calm, bad = [f"calm{i}" for i in range(400)], [f"vile{i}" for i in range(12)]
+    rows = []
+    for i in range(300):
+        words = [pick.choice(calm) for _ in range(80)]
+        if i % 3 == 0:
+            words[20:20] = pick.sample(bad, 9)
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    taught = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(taught.drop("toxic"), taught.drop("text"))
+    clean = [pick.sample(calm, 150) for _ in range(20)]
+    texts = [(i, " ".join([*w[:50], *bad[:9], *w[50:100], *bad[:9], *w[100:]])) for i, w in enumerate(clean)]
+    found = toxicity.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
+    assert all([(p.start, p.end) for p in r.passages] == [(50, 59), (109, 118)] for r in found)
+
+
 def test_models_odd_input(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (5, None, None), (None, 1, 1), (7, 1, 0), (7, 0, 1)],
                                    "doc_id long, quality int, toxic int")
