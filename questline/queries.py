@@ -248,7 +248,8 @@ def prompt_build(spark, d):
 
 def _training(spark, d):
     rows = fx.statements(spark, d)
-    matches = cut_lineage(training.top_matches(rows, dim=DIM, ties="first"))
+    # As in the SQL, all statements tied on the third rank are samples.
+    matches = cut_lineage(training.top_matches(rows, dim=DIM, ties="rank"))
     return training.training_rows(matches, rows, _table_rows(spark, d))
 
 

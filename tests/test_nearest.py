@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_of
+from questline import queries
 from questline.functions.vectors import cosine
 from questline.operators import nearest as nb
 from questline.operators import training
@@ -187,3 +188,16 @@ def test_cosine_of_odd_elements_is_null(spark):
         [([1.0, float("nan")],), ([1.0, float("inf")],), ([1.0, None],), ([0.0, 0.0],)], "v array<double>")
     one = F.array(F.lit(1.0), F.lit(2.0))
     assert [r[0] for r in rows.select(cosine(F.col("v"), one)).collect()] == [None] * 4
+
+
+def test_train_set_keeps_ties_as_its_sql_does(spark, monkeypatch):
+    """Equal questions share a rank, and rank() <= 3 in the SQL of train_set keeps all of them."""
+    vector = [1.0] + [0.0] * (queries.DIM - 1)
+    frame = statements(spark, [(f"n{i}", ["c.s.t"], vector, f"question {i}", f"sql {i}") for i in range(8)])
+    tables = spark.createDataFrame([("c.s.t", None, "  i INT")], "full_table string, comment string, column_description_list string")
+    monkeypatch.setattr(queries.fx, "statements", lambda *_: frame)
+    monkeypatch.setattr(queries, "_table_rows", lambda *_: tables)
+    prompts = {r["statement_id"]: r["full_prompt"] for r in queries.train_set(spark, "unused").collect()}
+    for i in range(8):
+        assert all((f"\nsql {j}" in prompts[f"n{i}"]) == (j != i) for j in range(8))
+    assert queries.train_jsonl(spark, "unused").count() == 8
