@@ -18,7 +18,8 @@ SEED = "mix-1"
 RANGE = 12.0       # standard deviations around the mean that the distribution is tabled for
 HEX_DIGITS = 13    # of MD5 for a uniform number: 52 bits
 
-# Production weights: the share of the mix in UTF-8 bytes. Other sources share the rest by size.
+# Production weights: the share of the mix in UTF-8 bytes. Other sources share the rest by size;
+# what nobody is there for goes to the sources that occur, in proportion to their shares.
 WEIGHTS = {"src0": 0.20, "src1": 0.06, "src2": 0.06, "src3": 0.06}
 
 
@@ -58,7 +59,9 @@ def rates(docs: DataFrame, weights: dict[str, float], source: str, size: Column,
     """``_source, rate``: mean repetitions of each source's documents.
 
     Named sources get their weight of the total (default: the present size), the others share
-    what is left in proportion to their sizes. Sources are combined before the shuffle.
+    what is left in proportion to their sizes. Shares of named sources without rows, or the rest
+    where all sources are named, are dealt to those that occur, in proportion to their shares; if
+    their weights are all zero they get nothing. Sources are combined before the shuffle.
     """
     if any(w < 0 for w in weights.values()) or sum(weights.values()) > 1 + 1e-9:
         raise ValueError("weights are shares of the whole")
@@ -69,10 +72,13 @@ def rates(docs: DataFrame, weights: dict[str, float], source: str, size: Column,
     whole = sums.agg(
         F.sum("_size").cast("double").alias("_all"),
         F.coalesce(F.sum(F.when(F.col("_weight").isNull(), F.col("_size"))), F.lit(0)).cast("double").alias("_rest"),
+        F.coalesce(F.sum("_weight"), F.lit(0.0)).alias("_named"),
     )
-    left = 1 - sum(weights.values())
+    left = max(0.0, 1 - sum(weights.values()))
     goal = F.col("_all") if total is None else F.lit(float(total))
+    dealt = F.col("_named") + F.when(F.col("_rest") > 0, F.lit(left)).otherwise(0.0)
     share = F.coalesce(F.col("_weight") / F.col("_size"), F.lit(left) / F.col("_rest"))
+    share = F.when(dealt > 0, share / dealt).otherwise(0.0)
     return sums.crossJoin(F.broadcast(whole)).select("_source", (goal * share).alias("rate"))  # one row
 
 
@@ -83,7 +89,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     Weights are shares of UTF-8 bytes (plus one a document, so that empty and null texts count).
     Null sources are one source. ``place`` is a hash of the key, the copy and the row's text, so the
     global order is random but repeatable; rows are dealt into ranges of it. Documents drawn zero
-    times have no row: with a mean m that is a share exp(-m) of them. Repeated rows draw alike.
+    times have no row: with a mean m that is a share exp(-m) of them. Repeated rows draw alike,
+    rows of one key (or without one) and different texts each for themselves.
     Columns called rate, copies, copy_no or place are replaced. An empty table gives an empty one.
     """
     weights = WEIGHTS if weights is None else weights
@@ -92,10 +99,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
         "_table", F.when(F.col("rate") > 0, poisson_table(F.col("rate")))
     )
     rows = docs.drop("rate", "copies", "copy_no", "place").withColumn("_source", F.coalesce(F.col(source), F.lit("")))
-    drawn = look_up(rows, tables, "_source", key).withColumn("_u", uniform(F.col(key))).withColumn(
+    content = F.md5(F.col(text).cast("binary"))
+    drawn = look_up(rows, tables, "_source", key).withColumn("_u", uniform(F.col(key), content)).withColumn(
         "copies",
         F.coalesce(F.col("_table.first") + F.size(F.filter("_table.upto", lambda c: c < F.col("_u"))), F.lit(0)).cast("int"),
     ).filter("copies > 0").drop("_source", "_table", "_u")
     copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    placed = copies.withColumn("place", uniform(F.col(key), F.col("copy_no"), F.lit("place")))
+    placed = copies.withColumn("place", uniform(F.col(key), content, F.col("copy_no"), F.lit("place")))
     return placed.repartitionByRange("place", key).sortWithinPartitions("place", key, "copy_no")

@@ -97,6 +97,25 @@ def test_mix_meets_weights(spark):
     assert abs(total / 40_000 - 1) < 0.03 and abs(got["hot"] / total - 0.1) < 0.01 and abs(got["s1"] / total - 0.4) < 0.02
 
 
+@pytest.mark.parametrize("names", [("other", "more"), ("src0", "src1"), ("src0", "other")])
+def test_mix_keeps_the_size_where_sources_are_missing(spark, names):
+    docs = spark.range(20_000).select(
+        F.col("id").alias("doc_id"), F.lit("0123456789").alias("text"), F.when(F.col("id") % 4 == 0, names[0]).otherwise(names[1]).alias("source"))
+    got = {r.source: r["count"] for r in mixing.mix(docs).groupBy("source").count().collect()}
+    shares = [mixing.WEIGHTS.get(n, 0.0) for n in names]
+    left = 1 - sum(mixing.WEIGHTS.values())
+    rest = [size if n not in mixing.WEIGHTS else 0 for n, size in zip(names, (1, 3), strict=True)]
+    shares = [w + left * r / (sum(rest) or 1) for w, r in zip(shares, rest, strict=True)]
+    assert abs(sum(got.values()) / 20_000 - 1) < 0.03
+    assert all(abs(got[n] / 20_000 - x / sum(shares)) < 0.03 for n, x in zip(names, shares, strict=True))
+
+
+def test_rows_without_id_are_drawn_each_for_itself(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("a").alias("source"))
+    kept = mixing.mix(docs, {}).select("text").distinct().count()
+    assert abs(kept / 3000 - (1 - math.exp(-1))) < 0.05
+
+
 def test_mix_odd_input(spark, odd, nothing):
     assert mixing.mix(nothing).count() == 0
     mixed = mixing.mix(odd, {"a": 0.5}, total=1e7)
