@@ -98,12 +98,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     tables = rates(docs, weights, source, size, total).withColumn(
         "_table", F.when(F.col("rate") > 0, poisson_table(F.col("rate")))
     )
-    rows = docs.drop("rate", "copies", "copy_no", "place").withColumn("_source", F.coalesce(F.col(source), F.lit("")))
-    content = F.md5(F.col(text).cast("binary"))
-    drawn = look_up(rows, tables, "_source", key).withColumn("_u", uniform(F.col(key), content)).withColumn(
+    rows = docs.drop("rate", "copies", "copy_no", "place").withColumns({
+        "_source": F.coalesce(F.col(source), F.lit("")),
+        # Both before the join, so that they are hashed once and not for each number of the table.
+        "_content": F.xxhash64(text), "_u": uniform(F.col(key), F.xxhash64(text)),
+    })
+    drawn = look_up(rows, tables, "_source", key).withColumn(
         "copies",
         F.coalesce(F.col("_table.first") + F.size(F.filter("_table.upto", lambda c: c < F.col("_u"))), F.lit(0)).cast("int"),
     ).filter("copies > 0").drop("_source", "_table", "_u")
     copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    placed = copies.withColumn("place", uniform(F.col(key), content, F.col("copy_no"), F.lit("place")))
+    placed = copies.withColumn("place", uniform(F.col(key), F.col("_content"), F.col("copy_no"), F.lit("place"))).drop("_content")
     return placed.repartitionByRange("place", key).sortWithinPartitions("place", key, "copy_no")
