@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from plan_text import plan_of
 from questline import fixtures as fx
 from questline.operators import history
 from questline.sources import history_pages as pages

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from plan_text import plan_of
 from questline import queries
 from questline.functions.vectors import cosine
 from questline.operators import nearest as nb

@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from plan_text import plan_of
 from questline.functions import text
 from questline.functions.sql_functions import register_definition_lookup, register_functions
 from questline.functions.vectors import cosine
