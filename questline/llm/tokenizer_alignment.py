@@ -5,9 +5,9 @@ Both tokenizers cut the same bytes. Where a token of each ends, a group ends, an
 vocabularies gives the B id for an A id, so these links are counted in a vector as long as the A
 vocabulary. Only links of irregular groups become pairs that are shuffled.
 
-Texts are cut into units at single spaces between two other characters, where neither tokenizer can join
-what stands on both sides; a task remembers how it has aligned a unit. Linked ids are written once for each
-document, so no text is tokenised twice.
+Linked ids are written once for each document, so no text is tokenised twice. Very long texts are encoded in
+pieces, cut at a single space between two other characters, where neither tokenizer can join what stands on
+both sides.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -30,8 +29,7 @@ from questline.session import cut_lineage
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 FOLDER = "/opt/tokenizers"
 SPACE = "▁"               # how pieces of B write a space
-CACHED_UNITS = 200_000    # units whose alignment a task remembers; it forgets them all when full
-CACHED_CHARS = 64         # longer units are not remembered
+PIECE_CHARS = 1 << 18     # of a text that is encoded at once, about
 HELD_PAIRS = 1 << 20      # different irregular pairs a task adds up before it hands them on
 
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -70,8 +68,8 @@ class Tokenizers:
         known = {x: i for i, x in enumerate(self.b_bytes) if self.b.is_byte(i)}
         known |= {x: i for i, x in reversed(list(enumerate(self.b_bytes))) if not self.b.is_byte(i)}
         self.same = np.array([known.get(x, -1) for x in self.a_bytes], dtype=np.int64)
-        # Units are safe if no piece of B goes on past a space that follows something else.
-        self.in_units = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
+        # Pieces are safe if no entry of B goes on past a space that follows something else.
+        self.in_pieces = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
         self.kind = np.uint32 if len(self.a_bytes) * len(self.b_bytes) < 1 << 32 else np.uint64
 
     def possible_pairs(self) -> int:
@@ -86,59 +84,52 @@ class Tokenizers:
         ends_in_b = sum(n * in_b.get(x[k:], 0) for x, n in in_a.items() for k in range(len(x)))
         return ends_in_b + sum(n * in_a.get(x[k:], 0) for x, n in in_b.items() for k in range(1, len(x)))
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
+    def pieces(self, text: str) -> Iterator[str]:
+        at = 0
+        while self.in_pieces and len(text) - at > PIECE_CHARS and (cut := _BETWEEN.search(text, at + PIECE_CHARS)):
+            yield text[at:cut.start()]
+            at = cut.end()
+        yield text[at:]
+
+    def encode(self, text: str) -> tuple[list[int], list[int]] | None:
         """Ids of space+text in A and of the text in B; None where the bytes of either differ from space+text."""
-        ours = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        for t, one, b_ids in zip(texts, ours, self.b.encode(texts, num_threads=1), strict=True):
-            whole, a_ids = (" " + t).encode(), one.ids
-            same = b"".join(map(self.a_bytes.__getitem__, a_ids)) == whole == b"".join(map(self.b_bytes.__getitem__, b_ids))
-            yield (a_ids, b_ids) if same else None
-
-    def aligned(self, a_ids: list[int], b_ids: list[int]) -> tuple[int, int, int, str, bytes]:
-        """Number of A ids, of B ids and of groups, the groups as text, and one link a group."""
-        a_ends = list(accumulate(len(self.a_bytes[i]) for i in a_ids))
-        b_at = {end: j for j, end in enumerate(accumulate(len(self.b_bytes[i]) for i in b_ids), 1)}
-        groups, links, a_from, b_from = [], [], 0, 0
-        for a_to, end in enumerate(a_ends, 1):
-            b_to = b_at.get(end)
-            if b_to is not None:
-                groups.append(",".join(map(str, a_ids[a_from:a_to])) + "|" + ",".join(map(str, b_ids[b_from:b_to])))
-                links.append(a_ids[a_to - 1] * len(self.b_bytes) + b_ids[b_to - 1])
-                a_from, b_from = a_to, b_to
-        return len(a_ids), len(b_ids), len(groups), ";".join(groups), np.array(links, dtype=self.kind).tobytes()
+        a_ids, b_ids = [], []
+        for piece in self.pieces(text):
+            a_ids += self.a.encode_batch_fast([" " + piece], add_special_tokens=False)[0].ids
+            b_ids += self.b.encode(piece)
+        whole = (" " + text).encode()
+        same = b"".join(map(self.a_bytes.__getitem__, a_ids)) == whole == b"".join(map(self.b_bytes.__getitem__, b_ids))
+        return (a_ids, b_ids) if same else None
 
 
 class Aligner:
-    """Aligns whole texts, unit by unit."""
+    """Aligns texts; holds what that takes for each id."""
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
-        self.known: dict[str, tuple | None] = {}
+        sizes = [len(x) for x in tokenizers.a_bytes], [len(x) for x in tokenizers.b_bytes]
+        self.a_size, self.b_size = (np.array(x, dtype=np.int64) for x in sizes)
+        self.names = {end: np.array([f"{i}{end}" for i in range(max(map(len, sizes)))], dtype=object) for end in ",|;"}
 
     def __call__(self, text: str | None) -> tuple[int, int, int, str, bytes]:
-        if not text:
-            return 0, 0, 0, "", b""
-        units = _BETWEEN.split(text) if self.tokenizers.in_units else [text]
-        found = self._units(units)
-        if None in found and len(units) > 1:  # decided by the text as a whole
-            found = self._units([text])
-        if None in found:
+        """Number of A ids, of B ids and of groups, the digest of all groups, and one link a group."""
+        ids = self.tokenizers.encode(text) if text else None
+        if ids is None:
             return 0, 0, 0, "", b""
-        n_a, n_b, n_groups, groups, links = zip(*found, strict=True)
-        digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-        return sum(n_a), sum(n_b), sum(n_groups), digest, b"".join(links)
-
-    def _units(self, units: list[str]) -> list[tuple | None]:
-        new = list(dict.fromkeys(u for u in units if u not in self.known))
-        if not new:
-            return [self.known[u] for u in units]
-        if len(self.known) >= CACHED_UNITS:
-            self.known.clear()
-            new = list(dict.fromkeys(units))
-        fresh = {u: ids and self.tokenizers.aligned(*ids) for u, ids in zip(new, self.tokenizers.encode(new), strict=True)}
-        out = [fresh[u] if u in fresh else self.known[u] for u in units]
-        self.known.update((u, x) for u, x in fresh.items() if len(u) <= CACHED_CHARS)
-        return out
+        a, b = (np.array(x, dtype=np.int64) for x in ids)
+        a_ends, b_ends = self.a_size[a].cumsum(), self.b_size[b].cumsum()
+        ends = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_last, b_last = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+        links = a[a_last] * len(self.b_size) + b[b_last]
+        # Each id with what follows it, the A ids of a group before its B ids.
+        a_names, b_names = self.names[","][a], self.names[","][b]
+        a_names[a_last], b_names[b_last] = self.names["|"][a[a_last]], self.names[";"][b[b_last]]
+        b_before = np.r_[0, b_last[:-1] + 1]
+        out = np.empty(len(a) + len(b), dtype=object)
+        out[np.arange(len(a)) + b_before[np.searchsorted(a_last, np.arange(len(a)))]] = a_names
+        out[np.arange(len(b)) + a_last[np.searchsorted(b_last, np.arange(len(b)))] + 1] = b_names
+        digest = hashlib.sha256("".join(out.tolist())[:-1].encode()).hexdigest()
+        return len(a), len(b), len(ends), digest, links.astype(self.tokenizers.kind).tobytes()
 
 
 def aligned_texts(docs: DataFrame, folder: str = FOLDER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
