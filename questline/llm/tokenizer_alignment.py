@@ -13,6 +13,7 @@ both sides.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections import defaultdict
@@ -20,14 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 
 from questline.llm.common import arrays, bound_batches
 from questline.session import cut_lineage
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 FOLDER = "/opt/tokenizers"
+# Fixed value: how a byte-level vocabulary of this kind cuts text before merging.
+A_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE = "▁"               # how pieces of B write a space
 PIECE_CHARS = 1 << 18     # of a text that is encoded at once, about
 HELD_PAIRS = 1 << 20      # different irregular pairs a task adds up before it hands them on
@@ -50,17 +55,20 @@ class Tokenizers:
     """The two tokenizers, the bytes of their ids, and the identity map from A ids to B ids."""
 
     def __init__(self, folder: str = FOLDER, a_file: str = A_FILE, b_file: str = B_FILE):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(os.path.join(folder, a_file))
-        self.a.encode_special_tokens = True
-        self.b = SentencePieceProcessor(model_file=os.path.join(folder, b_file))
-        symbols, vocabulary = byte_of_symbol(), self.a.get_vocab(with_added_tokens=True)
+        with open(os.path.join(folder, a_file), encoding="utf-8") as file:
+            spec = json.load(file)
+        model, added = spec["model"], {x["content"]: x["id"] for x in spec["added_tokens"]}
+        symbols, vocabulary = byte_of_symbol(), model["vocab"] | added
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(symbols[c] for c in token)
+        merged = [x.replace(" ", "", 1) if isinstance(x, str) else "".join(x) for x in model["merges"]]
+        if [vocabulary[x] for x in merged] != list(range(256, 256 + len(merged))):
+            raise ValueError("the ids of A must follow the order of its merges")
+        ranks = {self.a_bytes[i]: i for token, i in model["vocab"].items() if token not in added}
+        # Ids in the order of merges are ranks; special tokens are ordinary text.
+        self.a = tiktoken.Encoding(a_file, pat_str=A_WORDS, mergeable_ranks=ranks, special_tokens={})
+        self.b = SentencePieceProcessor(model_file=os.path.join(folder, b_file))
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode()
                         for i, p in enumerate(pieces)]
@@ -95,7 +103,7 @@ class Tokenizers:
         """Ids of space+text in A and of the text in B; None where the bytes of either differ from space+text."""
         a_ids, b_ids = [], []
         for piece in self.pieces(text):
-            a_ids += self.a.encode_batch_fast([" " + piece], add_special_tokens=False)[0].ids
+            a_ids += self.a.encode_ordinary(" " + piece)
             b_ids += self.b.encode(piece)
         whole = (" " + text).encode()
         same = b"".join(map(self.a_bytes.__getitem__, a_ids)) == whole == b"".join(map(self.b_bytes.__getitem__, b_ids))
