@@ -65,39 +65,6 @@ def parse_table_list(output: Column) -> Column:
     return F.coalesce(parsed, F.array(F.lit(PARSING_ERROR), F.coalesce(cleaned, F.lit(""))))
 
 
-# Patterns of the native table extraction, in Java and RE2 syntax alike.
-_NAME = r"[`\w]+(?:\.[`\w]+)*(?:\s*\()?"
-_ALIASED = rf"{_NAME}(?:\s+(?:as\s+)?\w+)?"
-FROM_LIST = rf"(?i)\b(?:from|join)\s+({_ALIASED}(?:\s*,\s*{_ALIASED})*)"
-CTE_NAME = r"(?i)(?:\bwith(?:\s+recursive)?|[,)])\s*([`\w]+)\s*(?:\([^()]*\)\s*)?as\s*\("
-COMMENTS = r"(?s)--[^\n]*|/\*.*?\*/"
-LITERALS = r"""'[^']*'|"[^"]*\""""
-
-
-def extract_tables(statement: Column) -> Column:
-    """Table names after FROM, JOIN and the commas of a FROM list, without CTE names.
-
-    A text heuristic, not a parser: comments and quoted text are blanked first, names
-    followed by ``(`` count as table functions, ``extract(x from y)`` is taken for a FROM
-    clause, and a CTE hides a table of the same name everywhere in the statement.
-    """
-
-    def clean(x: Column) -> Column:
-        return F.lower(F.replace(F.trim(x), F.lit("`"), F.lit("")))
-
-    def found(plain: Column) -> Column:
-        lists = F.regexp_extract_all(plain, F.lit(FROM_LIST), F.lit(1))
-        items = F.flatten(F.transform(lists, lambda x: F.split(x, r"\s*,\s*")))
-        names = F.transform(items, lambda x: F.regexp_extract(x, rf"^({_NAME})", 1))
-        tables = F.transform(F.filter(names, lambda x: ~x.endswith("(")), clean)
-        ctes = F.transform(F.regexp_extract_all(plain, F.lit(CTE_NAME), F.lit(1)), clean)
-        return F.array_sort(F.filter(F.array_except(tables, ctes), lambda x: x != ""))
-
-    # Bound in a lambda, so that the text is cleaned once for both patterns.
-    plain = F.regexp_replace(F.regexp_replace(statement, COMMENTS, " "), LITERALS, "''")
-    return F.transform(F.array(plain), found)[0]
-
-
 def quote_text(text: Column) -> Column:
     """``text`` as it must stand between single quotes."""
     return F.replace(text, F.lit("'"), F.lit("''"))
@@ -131,7 +98,7 @@ def build_prompt(
 ) -> Column:
     """Prompt text in five marked sections; used for training rows and for answering alike.
 
-    ``samples`` is an array of structs with ``question`` and ``sql``.
+    The section marks are fixed values. ``samples`` is an array of structs with ``question`` and ``sql``.
     """
     sample_text = F.transform(
         samples,

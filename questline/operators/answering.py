@@ -138,13 +138,11 @@ def answers(
 ) -> DataFrame:
     """Adds ``sql`` and ``answer_error``.
 
-    With a system prompt, the provider gets it on top of the prompt, a blank line between.
+    With a system prompt, the client gets it as an argument of its own.
     ``completion=True`` reads the text out of a completion endpoint's JSON response.
     """
-    prompt = F.col("full_prompt")
-    if "system_prompt" in prompted.columns:
-        prompt = F.concat(F.col("system_prompt"), F.lit("\n\n"), prompt)
-    asked = prompted.withColumn("_reply", generate(prompt, F.lit(model), provider))
+    system = F.col("system_prompt") if "system_prompt" in prompted.columns else None
+    asked = prompted.withColumn("_reply", generate(F.col("full_prompt"), F.lit(model), provider, system=system))
     text = F.col("_reply.text")
     return asked.select(
         *prompted.columns,

@@ -1,8 +1,8 @@
 """Text generation and embedding over rows, and the tables built from them.
 
 A *provider* is a function that returns a client; it runs once per task, so connections
-live as long as the task. A text client is ``client(model, prompts) -> texts``, an
-embedding client ``client(texts) -> matrix``. Only the prompt and model columns go to
+live as long as the task. A text client is ``client(model, prompts) -> texts``, where rows have a
+system text ``client(model, prompts, system=text)``; an embedding client ``client(texts) -> matrix``. Only the prompt and model columns go to
 Python, in Arrow batches; the rest of the row stays in the JVM.
 """
 
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from questline.config import QUESTION_WORDS, SUMMARY_WORDS
 
 ROWS_PER_CALL = 512  # most rows handed to a client at once
+WORD = r"[^ \t\n\f\r]+"
 
-TextClient = Callable[[str, list[str]], list[str]]
+TextClient = Callable[..., list[str]]
 EmbeddingClient = Callable[[list[str]], np.ndarray]
 
 
@@ -47,31 +48,34 @@ def _tried(call: Callable[[list], list], items: list, attempts: int) -> tuple[li
 
 def generate(
     prompt: Column, model: Column, provider: Callable[[], TextClient], attempts: int = 2,
-    rows_per_call: int = ROWS_PER_CALL,
+    rows_per_call: int = ROWS_PER_CALL, system: Column | None = None,
 ) -> Column:
     """Struct ``text, error`` from a text provider; null prompts give null text.
 
+    ``system`` is the system text of a row, an argument of its own to the client; null and None: it gets none.
     The function is marked non-deterministic, so Spark never evaluates it twice for a row
     by copying the expression. Write the result to a table right after it: a lost
     executor then repeats only its own calls.
     """
 
     @F.pandas_udf("text string, error string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         client = provider()
-        for prompts, models in batches:
+        for prompts, models, systems in batches:
             out = pd.DataFrame({"text": None, "error": None}, index=prompts.index, dtype=object)
             lost = prompts.notna() & models.isna()
             out.loc[lost, "error"] = "no model given"
-            for name, rows in prompts[prompts.notna()].groupby(models):
+            asked = pd.DataFrame({"prompt": prompts, "model": models, "system": systems})[prompts.notna() & models.notna()]
+            for (name, text), rows in asked.groupby(["model", "system"], dropna=False, sort=False)["prompt"]:
+                more = {} if pd.isna(text) else {"system": text}
                 for start in range(0, len(rows), rows_per_call):
                     part = rows.iloc[start:start + rows_per_call]
-                    texts, errors = _tried(lambda p, m=name: client(m, p), list(part), attempts)
+                    texts, errors = _tried(lambda p, m=name, s=more: client(m, p, **s), list(part), attempts)
                     out.loc[part.index, "text"] = texts
                     out.loc[part.index, "error"] = errors
             yield out
 
-    return run.asNondeterministic()(prompt, model)
+    return run.asNondeterministic()(prompt, model, F.lit(None).cast("string") if system is None else system)
 
 
 def embed(
@@ -97,20 +101,15 @@ def embed(
     return run.asNondeterministic()(text)
 
 
-def head_words_provider() -> TextClient:
-    """Offline stand-in for a text model: the first words after the prompt's first line.
+def whole_text_provider() -> TextClient:
+    """Offline stand-in for a text model: number of words and MD5 of the whole prompt, in double quotes.
 
-    The prompt's ``at most N words`` sets how many; the answer comes in double quotes.
+    A system text counts as if it stood before the prompt, a blank line between.
     """
 
-    def client(model: str, prompts: list[str]) -> list[str]:
-        answers = []
-        for prompt in prompts:
-            request, _, body = prompt.partition("\n")
-            limit = re.search(r"at most (\d+) words", request)
-            count = int(limit.group(1)) if limit else QUESTION_WORDS
-            answers.append('"' + " ".join(re.split(r"[ \t\n\f\r]+", body.strip(" "))[:count]) + '"')
-        return answers
+    def client(model: str, prompts: list[str], system: str | None = None) -> list[str]:
+        whole = prompts if system is None else [f"{system}\n\n{p}" for p in prompts]
+        return [f'"{len(re.findall(WORD, p))} words, digest {hashlib.md5(p.encode()).hexdigest()}"' for p in whole]
 
     return client
 

@@ -99,14 +99,19 @@ def match_references(split: DataFrame, unique_table: DataFrame, strict: bool = F
     catalog never matches, and a name without a schema matches whatever its catalog.
     """
     catalog, schema = F.col("valid_catalog_name"), F.col("valid_schema_name")
-    ask_catalog = F.coalesce(catalog, F.lit(""))
+
+    def asked_part(part: Column) -> Column:
+        # The blank form stands for a part that is left out; an empty part, as in c..t, finds nothing.
+        return F.when(part.isNull(), "").when(part != "", part)
+
+    ask_catalog = asked_part(catalog)
     if strict:
         # Not the blank form: a schema without a catalog must find nothing.
-        ask_catalog = F.when(schema.isNull(), "").otherwise(catalog)
+        ask_catalog = F.when(schema.isNull(), "").otherwise(F.when(catalog != "", catalog))
     asked = (
         split.filter(F.col("valid_table_name").isNotNull())
         .withColumn("ask_catalog", ask_catalog)
-        .withColumn("ask_schema", F.coalesce(schema, F.lit("")))
+        .withColumn("ask_schema", asked_part(schema))
         .withColumn("ask_table", F.col("valid_table_name"))
     )
     joined = lookup(asked, _name_index(unique_table, strict), _ASKED, F.col("statement_id"))

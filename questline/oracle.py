@@ -11,8 +11,7 @@ from questline.config import (
     LONG_STATEMENT_CHARS, PARSING_ERROR, QUESTION_WORDS, RERUN_THRESHOLD, SUMMARY_WORDS,
 )
 from questline.functions.text import (
-    COMMENTS, CTE_NAME, DOUBLE_QUOTED, DOUBLE_QUOTED_SAFE, FROM_LIST, INSTRUCTIONS, LITERALS,
-    SINGLE_QUOTED, SINGLE_QUOTED_SAFE, SYSTEM_INSTRUCTION, _NAME,
+    DOUBLE_QUOTED, DOUBLE_QUOTED_SAFE, INSTRUCTIONS, SINGLE_QUOTED, SINGLE_QUOTED_SAFE, SYSTEM_INSTRUCTION,
 )
 
 
@@ -104,6 +103,14 @@ _PAGE = "cast(floor(event_id / 1000) as bigint)"
 
 # --- references ------------------------------------------------------------------------------
 
+# Patterns that find the names in the statements derived here; the library folds tokens instead.
+_NAME = r"[`\w]+(?:\.[`\w]+)*(?:\s*\()?"
+_ALIASED = rf"{_NAME}(?:\s+(?:as\s+)?\w+)?"
+FROM_LIST = rf"(?i)\b(?:from|join)\s+({_ALIASED}(?:\s*,\s*{_ALIASED})*)"
+CTE_NAME = r"(?i)(?:\bwith(?:\s+recursive)?|[,)])\s*([`\w]+)\s*(?:\([^()]*\)\s*)?as\s*\("
+COMMENTS = r"(?s)--[^\n]*|/\*.*?\*/"
+LITERALS = r"""'[^']*'|"[^"]*\""""
+
 _PLAIN = (f"regexp_replace(regexp_replace(statement_text, {q(COMMENTS)}, ' ', 'g'), {q(LITERALS)}, '''''', 'g')")
 
 
@@ -304,8 +311,18 @@ _ANSWER = (STATEMENTS, QUESTIONS, ASKED, FILTERED, MINED, TABLES, COLUMNS, TABLE
 
 # --- enrichment ------------------------------------------------------------------------------
 
-def _head_words(text: str, count: int) -> str:
-    return f"array_to_string(string_split_regex(trim({text}, ' '), '[ \\t\\n\\f\\r]+')[1:{count}], ' ')"
+def _answer(prompt: str) -> str:
+    """What the stand-in for a text model says to a prompt."""
+    return (f"""'"' || len(regexp_extract_all({prompt}, '[^ \\t\\n\\f\\r]+')) || ' words, digest ' """
+            f"""|| md5({prompt}) || '"'""")
+
+
+def _asked(request: str, count: int, text: str) -> str:
+    return _answer(f"({q(request.format(count))} || {text})")
+
+
+_SUMMARY = "Say in plain English, in at most {} words, what this SQL does:\n"
+_QUESTION = "Write the user request, in at most {} words, that this SQL answers:\n"
 
 
 SUMMARIES = f"""extracted as (select *, {EXTRACT} as parsed_table_list from session),
@@ -315,8 +332,8 @@ parsed as (select * from extracted),
 summaries as (
     select r.statement_id, r.executed_by, round(r.next_similarity_score, 6) as next_similarity_score, r.statement_text,
         case when length(r.statement_text) >= {LONG_STATEMENT_CHARS} then 'long-context' else 'short-context' end as extraction_model,
-        '"' || {_head_words('r.statement_text', SUMMARY_WORDS)} || '"' as manual_summarization,
-        trim({_head_words('r.statement_text', QUESTION_WORDS)}, '"') as generated_question,
+        {_asked(_SUMMARY, SUMMARY_WORDS, 'r.statement_text')} as manual_summarization,
+        trim({_asked(_QUESTION, QUESTION_WORDS, 'r.statement_text')}, '"') as generated_question,
         cast(null as varchar) as generation_error
     from session r join resolved t on r.statement_id = t.statement_id and t.matched_ind)"""
 _INGEST = (HISTORY, SHAPES, SESSION, TABLES, UNIQUE, SUMMARIES)
@@ -369,10 +386,6 @@ _PAGED = f"""select cast(null as varchar) as account_id, 'w1' as workspace_id, s
     case when cast(substr(statement_id, 2) as bigint) % 2 = 0 then 'web' end as warehouse_channel,
     cast(null as varchar) as client_application, epoch_us(start_time) // 1000 as start_time, epoch_us(end_time) // 1000 as end_time
     from history"""
-_ANSWER_WORDS = _head_words(
-    "substr(p, instr(p, chr(10)) + 1)", QUESTION_WORDS
-)
-
 ORACLE: dict[str, str] = {
     "hist_pages": _with(HISTORY, body=_PAGED),
     "hist_page_cap": f"""select page_no, n_rows from (
@@ -443,13 +456,13 @@ ORACLE: dict[str, str] = {
         generated_question, manual_summarization from hits"""),
     "mine_tables": _with(STATEMENTS, QUESTIONS, ASKED, FILTERED, MINED, body="select question_id, tables, sample_sql from mined"),
     "answer_prompts": _with(*_ANSWER, body="select * from prompts"),
-    "answer_batch": _with(*_ANSWER, body=f"""select question_id, '"' || {_ANSWER_WORDS} || '"' as sql,
+    "answer_batch": _with(*_ANSWER, body=f"""select question_id, {_answer('p')} as sql,
         cast(null as varchar) as answer_error
         from (select question_id, system_prompt || chr(10) || chr(10) || full_prompt as p from prompts)"""),
     "response_text": "select conv_id, turn, case when role = 'user' then text end as response_text from conversations",
     "gen_questions": _with(HISTORY, body=f"""select statement_id,
-        '"' || {_head_words('statement_text', SUMMARY_WORDS)} || '"' as manual_summarization,
-        trim({_head_words('statement_text', QUESTION_WORDS)}, '"') as generated_question,
+        {_asked(_SUMMARY, SUMMARY_WORDS, 'statement_text')} as manual_summarization,
+        trim({_asked(_QUESTION, QUESTION_WORDS, 'statement_text')}, '"') as generated_question,
         cast(null as varchar) as generation_error from history"""),
     "embed_text": _with(_hashed("v", "conversations", "conv_id, turn", "text"),
         body=f"select conv_id, turn, {_rounded('vector')} as vector from v"),

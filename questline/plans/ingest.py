@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from questline.config import LONG_MODEL, LONG_STATEMENT_CHARS, RERUN_THRESHOLD, SHORT_MODEL
-from questline.functions.text import extract_tables, word_overlap
+from questline.functions.table_names import extract_tables
+from questline.functions.text import word_overlap
 from questline.operators import catalog, enrich, history, references
 from questline.plans import store as names
 from questline.plans.store import Store

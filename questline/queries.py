@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from questline import fixtures as fx
 from questline.functions.sql_functions import register_definition_lookup
-from questline.functions.text import build_prompt, completion_text, extract_tables, mask_literals
+from questline.functions.table_names import extract_tables
+from questline.functions.text import build_prompt, completion_text, mask_literals
 from questline.functions.vectors import cosine
 from questline.operators import answering, catalog, enrich, history, references, training
 from questline.session import cut_lineage, new_path
@@ -19,7 +20,7 @@ from questline.streaming.refresh import read_index, refresh
 
 DIM = fx.DIM
 PAGE_CAP = 3500
-TEXT_PROVIDER = enrich.head_words_provider
+TEXT_PROVIDER = enrich.whole_text_provider
 EMBED_PROVIDER = enrich.hashed_words_provider(DIM)
 
 Query = Callable[[SparkSession, str], DataFrame]

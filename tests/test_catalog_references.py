@@ -122,6 +122,12 @@ def test_resolve(spark, unique):
     }
 
 
+def test_empty_parts_find_nothing(spark, unique):
+    rows = [("empty", "from c1..only", ["c1..only"]), ("start", "from .s1.only", [".s1.only"]), ("end", "from c1.s1.", ["c1.s1."])]
+    for strict in (False, True):
+        assert not any(matched for _, matched, _ in resolve(spark, unique, rows, strict).values())
+
+
 def test_resolve_strict_needs_a_catalog_with_a_schema_and_equal_case(spark, unique):
     assert resolve(spark, unique, CASES, strict=True) == {
         "full": (["c1.s1.only"], True, False), "bare": (["c1.s1.only"], True, True),

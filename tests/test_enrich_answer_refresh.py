@@ -39,12 +39,24 @@ def test_calls_are_bounded(spark):
     assert sorted(r["r"]["text"] for r in got) == ["2"] * 2 + ["4"] * 8
 
 
-def test_generated_text_is_limited_and_trimmed(spark):
+def test_generated_text_depends_on_every_word(spark):
     words = " ".join(f"w{i}" for i in range(200))
-    frame = spark.createDataFrame([("a", words, "m")], "statement_id string, statement_text string, extraction_model string")
-    row = enrich.with_generated_text(frame, enrich.head_words_provider).first()
-    assert len(row["manual_summarization"].split()) == 100 and row["manual_summarization"].startswith('"')
-    assert len(row["generated_question"].split()) == 50 and '"' not in row["generated_question"]
+    frame = spark.createDataFrame([("a", words, "m"), ("b", words + "0", "m")],
+                                  "statement_id string, statement_text string, extraction_model string")
+    one, two = enrich.with_generated_text(frame, enrich.whole_text_provider).orderBy("statement_id").collect()
+    assert one["manual_summarization"].startswith('"21') and '"' not in one["generated_question"]
+    assert one["manual_summarization"] != two["manual_summarization"]
+    assert one["generated_question"] != two["generated_question"]
+
+
+def test_system_text_is_an_argument_of_its_own(spark):
+    def provider():
+        return lambda model, prompts, system=None: [f"{model}/{system}/{p}" for p in prompts]
+
+    frame = spark.createDataFrame([("p", "s"), ("q", None), (None, "s")], "full_prompt string, system_prompt string")
+    assert [r["sql"] for r in answering.answers(frame.coalesce(1), provider, "m").collect()] == ["m/s/p", "m/None/q", None]
+    assert [r["sql"] for r in answering.answers(frame.drop("system_prompt").coalesce(1), provider, "m").collect()] == [
+        "m/None/p", "m/None/q", None]
 
 
 def test_hashed_words(spark):
@@ -105,16 +117,16 @@ def test_jobs_end_to_end(spark, sf, tmp_path):
     log = fx.history(spark, sf)
     embed = enrich.hashed_words_provider(32)
     ingest.ingest_catalog(store, fx.tables(spark, sf), fx.columns(spark, sf))
-    statements = ingest.ingest_history(store, log, enrich.head_words_provider, embed)
+    statements = ingest.ingest_history(store, log, enrich.whole_text_provider, embed)
     assert statements.count() == store.read(names.SUMMARIES).count() > 0
     assert set(log.columns) < set(store.read(names.DISTINCT_RUNS).columns)
     rows = train.build_training_set(store, dim=32, ties="first", json_folder=str(tmp_path / "pairs"))
     assert preview_json_lines(spark, str(tmp_path / "pairs")).count() == min(5, rows.count())
     questions = spark.createDataFrame([("1", "count orders", None), ("2", "list items", "sales.main.orders_1")],
                                       "question_id string, prompt string, table_filter string")
-    got = answer.answer_questions(store, questions, enrich.head_words_provider, embed, "m", dim=32).collect()
+    got = answer.answer_questions(store, questions, enrich.whole_text_provider, embed, "m", dim=32).collect()
     assert {r["question_id"] for r in got} == {"1", "2"} and all(r["sql"] for r in got)
-    plain = answer.answer_questions(store, questions.drop("table_filter"), enrich.head_words_provider, embed, "m",
+    plain = answer.answer_questions(store, questions.drop("table_filter"), enrich.whole_text_provider, embed, "m",
                                     dim=32, filtered=False, system=None)
     assert plain.count() == 2 and "system_prompt" not in plain.columns
 

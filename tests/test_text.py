@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from plan_text import plan_of
 from questline.functions import text
 from questline.functions.sql_functions import register_definition_lookup, register_functions
+from questline.functions.table_names import extract_tables
 from questline.functions.vectors import cosine
 
 ERROR = "PARSING ERROR"
@@ -57,20 +58,6 @@ def test_parse_table_list(spark, output, tables):
     assert frame.selectExpr("pull_tables_from_json(o)").first()[0] == tables
 
 
-@pytest.mark.parametrize("statement, tables", [
-    ("select 1", []),
-    ("select * from A.B.c", ["a.b.c"]),
-    ("select * from `my`.`t` x join u on x.i = u.i", ["my.t", "u"]),
-    ("select * from a x, b as y, c", ["a", "b", "c"]),
-    ("with r as (select * from t), s (i) as (select 1 from r) select * from r join s", ["t"]),
-    ("select 'from x' from y -- from z\n/* join w */", ["y"]),
-    ("select * from range(10)", []),
-    ("select * from (select * from inner_t) q", ["inner_t"]),
-])
-def test_extract_tables(spark, statement, tables):
-    assert one(spark, text.extract_tables(F.col("t")), t=statement) == tables
-
-
 def test_word_overlap(spark):
     overlap = text.word_overlap(F.col("a"), F.col("b"))
     assert one(spark, overlap, a="select  A b", b="a c") == pytest.approx(1 / 4)
@@ -135,6 +122,6 @@ def test_text_functions_stay_in_the_jvm(spark):
     frame = spark.createDataFrame([("x", ["y"])], "t string, d array<string>")
     nothing = F.array().cast("array<struct<question: string, sql: string>>")
     plan = plan_of(frame.select(
-        text.parse_table_list(F.col("t")), text.extract_tables(F.col("t")), text.mask_literals(F.col("t")),
+        text.parse_table_list(F.col("t")), extract_tables(F.col("t")), text.mask_literals(F.col("t")),
         text.table_definition(F.col("t"), F.col("t"), F.col("t")), text.build_prompt(F.col("t"), F.col("d"), nothing)))
     assert "Python" not in plan
