@@ -13,7 +13,7 @@ from questline.functions.text import SYSTEM_INSTRUCTION, build_prompt, completio
 from questline.operators.catalog import definitions_for
 from questline.operators.enrich import EmbeddingClient, TextClient, embed, generate
 from questline.operators.lookup import lookup
-from questline.operators.nearest import nearest
+from questline.operators.nearest import nearest, nearest_marked
 from questline.session import cut_lineage
 
 
@@ -62,25 +62,21 @@ def retrieve(
 
     ``questions`` has ``question_id, question_embeddings`` and, when ``filtered``, the
     arrays of :func:`with_filters`. A filter lets a statement in when any of its schemas
-    (or tables) is named; the statement may use others too. Filters become groups of
-    the neighbour join, and only groups some question asks for are built.
+    (or tables) is named; the statement may use others too. Each vector lies in the index
+    once, with its names beside it; questions with a filter visit the blocks that hold one of theirs.
     """
     names = dict(query_id="question_id", corpus_id="statement_id",
                  query_vector="question_embeddings", corpus_vector="question_embeddings")
     if filtered:
-        wanted = (
-            F.when(F.size("schema_filter") > 0, _marked("schema ", "schema_filter"))
-            .when(F.size("table_filter") > 0, _marked("table ", "table_filter"))
-            .otherwise(F.array(F.lit("any")))
-        )
-        asked = questions.select("question_id", "question_embeddings", F.explode(wanted).alias("wanted"))
-        carried = F.concat(F.array(F.lit("any")), _marked("schema ", "schema_list"), _marked("table ", "table_list"))
-        offered = statements.select("statement_id", "question_embeddings", F.explode(carried).alias("wanted"))
-        groups = asked.select("wanted").distinct()
-        # "any" holds every statement: the hottest key there can be.
-        offered = lookup(offered, groups, ["wanted"], F.col("statement_id"), how="inner")
-        found = nearest(asked, offered, **names, query_group="wanted", corpus_group="wanted",
-                        k=k, ties="first", dim=dim, **search)
+        wanted = F.concat(_marked("schema ", "schema_filter"), _marked("table ", "table_filter"))
+        wanted = F.when(F.size("schema_filter") > 0, _marked("schema ", "schema_filter")).otherwise(wanted)
+        asked = cut_lineage(questions.select("question_id", "question_embeddings", wanted.alias("wanted")))
+        carried = F.concat(_marked("schema ", "schema_list"), _marked("table ", "table_list"))
+        offered = statements.select("statement_id", "question_embeddings", carried.alias("carried"))
+        found = nearest(asked.filter(F.size("wanted") == 0), statements, **names, k=k, ties="first", dim=dim, **search)
+        found = found.unionByName(nearest_marked(
+            asked.filter(F.size("wanted") > 0), offered, **names, query_marks="wanted", corpus_marks="carried", k=k,
+            dim=dim, **{name: v for name, v in search.items() if name == "block_rows"}))
     else:
         found = nearest(questions, statements, **names, k=k, ties="first", dim=dim, **search)
     hits = cut_lineage(found.select(

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from questline.config import QUESTION_WORDS, SUMMARY_WORDS
+from questline.operators.answered import asked_once
 
 ROWS_PER_CALL = 512  # most rows handed to a client at once
 WORD = r"[^ \t\n\f\r]+"
@@ -46,6 +47,18 @@ def _tried(call: Callable[[list], list], items: list, attempts: int) -> tuple[li
     return results, errors
 
 
+def _when_needed(provider: Callable[[], Callable]) -> Callable:
+    """The provider's client, made at its first call: a task without requests needs no connection."""
+    made: list[Callable] = []
+
+    def call(*args, **more):
+        if not made:
+            made.append(provider())
+        return made[0](*args, **more)
+
+    return call
+
+
 def generate(
     prompt: Column, model: Column, provider: Callable[[], TextClient], attempts: int = 2,
     rows_per_call: int = ROWS_PER_CALL, system: Column | None = None,
@@ -60,7 +73,7 @@ def generate(
 
     @F.pandas_udf("text string, error string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        client = provider()
+        client = _when_needed(provider)
         for prompts, models, systems in batches:
             out = pd.DataFrame({"text": None, "error": None}, index=prompts.index, dtype=object)
             lost = prompts.notna() & models.isna()
@@ -86,7 +99,7 @@ def embed(
 
     @F.pandas_udf("vector array<float>, error string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        client = provider()
+        client = _when_needed(provider)
         for texts in batches:
             vectors, errors = [None] * len(texts), [None] * len(texts)
             asked = [i for i, known in enumerate(texts.notna()) if known]
@@ -173,13 +186,18 @@ def tables_prompt(statement: Column) -> Column:
 
 
 def with_generated_text(
-    statements: DataFrame, provider: Callable[[], TextClient], model: str = "extraction_model"
+    statements: DataFrame, provider: Callable[[], TextClient], model: str = "extraction_model", folder: str | None = None,
 ) -> DataFrame:
     """Adds ``manual_summarization``, ``generated_question`` (outer double quotes trimmed)
-    and ``generation_error`` in one pass, each row with the model its ``model`` column names."""
-    text = F.col("statement_text")
-    asked = statements.withColumn("_s", generate(summary_prompt(text), F.col(model), provider))
-    asked = asked.withColumn("_q", generate(question_prompt(text), F.col(model), provider))
+    and ``generation_error``, each row with the model its ``model`` column names.
+
+    Equal requests are asked once; ``folder`` keeps replies for later runs (:func:`asked_once`).
+    """
+    text, name = F.col("statement_text"), F.col(model)
+    asked = asked_once(
+        statements, [[name, summary_prompt(text)], [name, question_prompt(text)]],
+        lambda m, p: generate(p, m, provider), ["_s", "_q"], folder,
+    )
     return asked.select(
         *statements.columns,
         F.col("_s.text").alias("manual_summarization"),
@@ -196,12 +214,17 @@ def matched_statements(runs: DataFrame, references: DataFrame) -> DataFrame:
     )
 
 
-def with_embeddings(summaries: DataFrame, provider: Callable[[], EmbeddingClient]) -> DataFrame:
-    """``statement_id`` with the embeddings of its question and its text."""
-    embedded = summaries.select(
-        "statement_id", "generated_question", "statement_text",
-        embed(F.col("generated_question"), provider).alias("_q"),
-        embed(F.col("statement_text"), provider).alias("_s"),
+def with_embeddings(
+    summaries: DataFrame, provider: Callable[[], EmbeddingClient], model: str = "", folder: str | None = None,
+) -> DataFrame:
+    """``statement_id`` with the embeddings of its question and its text.
+
+    Equal texts are embedded once; ``folder`` keeps vectors for later runs, under the name of the ``model``.
+    """
+    rows = summaries.select("statement_id", "generated_question", "statement_text")
+    embedded = asked_once(
+        rows, [[F.lit(model), F.col("generated_question")], [F.lit(model), F.col("statement_text")]],
+        lambda m, t: embed(t, provider), ["_q", "_s"], folder,
     )
     return embedded.select(
         "statement_id", "generated_question", "statement_text",

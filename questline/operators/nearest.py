@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,9 +36,9 @@ SLACK = 1e-5           # more than single-precision products can be off
 _FOUND = "qid string, cid string, score double, bound double"
 
 
-def _vectors(df: DataFrame, key: str, vector: str, group: str | None, dim: int | None) -> DataFrame:
+def _vectors(df: DataFrame, key: str, vector: str, group: str | None, dim: int | None, *more: Column) -> DataFrame:
     grp = F.lit("") if group is None else F.col(group).cast("string")
-    rows = df.select(F.col(key).cast("string").alias("id"), grp.alias("grp"), F.col(vector).alias("vec"))
+    rows = df.select(F.col(key).cast("string").alias("id"), grp.alias("grp"), F.col(vector).alias("vec"), *more)
     # Every element must be a number: one NaN or null would spoil the block it lies in.
     usable = F.col("grp").isNotNull() & F.exists("vec", lambda x: x != 0) & F.forall(
         "vec", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))
@@ -95,7 +95,7 @@ def _placed(rows: DataFrame, pivots: np.ndarray | None) -> DataFrame:
 
     raw = as_bytes("vec").alias("raw")
     if pivots is None:
-        return rows.select("id", "grp", raw, F.lit(0).alias("cell"))
+        return rows.withColumn("raw", as_bytes("vec")).withColumn("cell", F.lit(0)).drop("vec")
     placed = rows.select("id", "grp", raw, place("vec").alias("at"))
     return placed.select("id", "grp", "raw", "at.cell", "at.theta")
 
@@ -380,3 +380,51 @@ def nearest(
         pairs = pairs.filter(F.col("place") <= k)
     names = {"query_id": "qid", "corpus_id": "cid", "score": "score", "place": "place"}
     return pairs.select(*[F.col(c).alias(n) for n, c in names.items() if c in pairs.columns])
+
+
+def nearest_marked(
+    queries: DataFrame, corpus: DataFrame, *, query_id: str, corpus_id: str, query_vector: str, corpus_vector: str,
+    query_marks: str, corpus_marks: str, k: int, dim: int | None = None, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``query_id, corpus_id, score, place``: the ``k`` best corpus rows that bear one of a query's marks, ties by id.
+
+    Marks are arrays of strings; a query without marks finds nothing. Every corpus vector is packed into just one block.
+    Only marks are exploded: each lists the blocks it occurs in, and a block of queries with the same marks visits
+    just those, where rows without any of the marks are passed over.
+    """
+    def sorted_marks(name: str) -> Column:
+        none = F.array().cast("array<string>")
+        return F.coalesce(F.array_sort(F.array_distinct(F.array_compact(F.col(name)))), none).alias("mark")
+
+    offered = _placed(_vectors(corpus, corpus_id, corpus_vector, None, dim, sorted_marks(corpus_marks)), None)
+    asked = _placed(_vectors(queries, query_id, query_vector, None, dim, sorted_marks(query_marks)), None)
+    # Queries with the same marks form a group.
+    asked = asked.filter(F.size("mark") > 0).withColumn("grp", F.to_json("mark")).drop("mark")
+    query_rows = min(QUERY_BLOCK, block_rows)
+    c_blocks = cut_lineage(_packed(offered, _large_cells(offered, block_rows), extra=["mark"]))
+    q_blocks = cut_lineage(
+        _packed(asked, _large_cells(asked, query_rows)).withColumn("wanted", F.from_json("grp", "array<string>")))
+    holds = c_blocks.select(F.col("block").alias("c_block"), F.explode(F.array_distinct(F.flatten("marks"))).alias("mark"))
+    wants = q_blocks.select("grp", "block", F.explode("wanted").alias("mark"))
+    visits = wants.join(holds, "mark").select("grp", "block", "c_block").distinct()
+    met = visits.join(q_blocks, ["grp", "block"]).select(
+        "c_block", "wanted", F.struct("grp", "block").cast("string").alias("block_name"),
+        F.col("ids").alias("qids"), F.col("raws").alias("qraws"),
+    ).join(c_blocks.select(F.col("block").alias("c_block"), F.col("ids").alias("cids"), F.col("raws").alias("craws"), "marks"), "c_block")
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bests: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                wanted = set(row.wanted)
+                at = [i for i, marks in enumerate(row.marks) if not wanted.isdisjoint(marks)]
+                if len(bests) > BLOCKS_REMEMBERED:
+                    bests.clear()
+                best = bests.setdefault(row.block_name, np.full((len(row.qids), k), -np.inf))
+                cids, craws = _lowest_copies([row.cids[i] for i in at], [row.craws[i] for i in at], k)
+                yield from _score_block((list(row.qids), list(row.qraws), None), (cids, craws), best, k, None, "first", False)
+
+    pairs = met.mapInPandas(score, _FOUND).select("qid", "cid", "score")
+    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("cid"))
+    return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select(
+        F.col("qid").alias("query_id"), F.col("cid").alias("corpus_id"), "score", "place")

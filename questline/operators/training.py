@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from questline.config import EMBEDDING_DIM, NEIGHBOURS
@@ -46,16 +46,67 @@ def similar_pairs(statements: DataFrame, min_score: float, dim: int = EMBEDDING_
     )
 
 
+def match_classes(statements: DataFrame, dim: int = EMBEDDING_DIM) -> tuple[DataFrame, DataFrame]:
+    """Statements of equal embedding and equal tables as classes: ``classes`` and ``members``, both written.
+
+    ``classes``: class_id (the lowest statement_id), n, question_embeddings, table_list. ``members``: statement_id and
+    class_id. Statements without tables or a full embedding have neither. Copies are combined before the shuffle.
+    """
+    fit = (F.array_size("table_list") > 0) & (F.array_size("question_embeddings") == dim)
+    tables = F.array_sort(F.array_distinct(F.array_compact("table_list")))
+    able = cut_lineage(statements.filter(fit).select("statement_id", "question_embeddings", tables.alias("table_list")))
+    key = ["question_embeddings", "table_list"]
+    classes = cut_lineage(able.groupBy(*key).agg(F.min("statement_id").alias("class_id"), F.count(F.lit(1)).alias("n")))
+    # One class may hold a third of all statements: a hot key of this lookup.
+    members = lookup(able, classes.select(*key, "class_id"), key, F.col("statement_id"), how="inner")
+    return classes, cut_lineage(members.select("statement_id", "class_id"))
+
+
+def class_matches(classes: DataFrame, k: int = NEIGHBOURS, dim: int = EMBEDDING_DIM, **search) -> DataFrame:
+    """``class_id, compared_class_id, n_compared, question_similarity_score, question_similarity_rank``.
+
+    The classes in which a member of a class finds its best ``k`` statements, ties on the last rank included. Ranks are those of the
+    statements: they follow from the sizes of the classes above. A class of several members is its own first
+    match, with one statement less. n equal statements give one row here instead of n * (n - 1).
+    """
+    reps = classes.withColumnRenamed("class_id", "statement_id")
+    found = _table_sharing(reps, dim, k=k, ties="rank", **search).select(
+        F.col("query_id").alias("class_id"), F.col("corpus_id").alias("compared_class_id"), "score"
+    )
+    # A class may be a match of very many others.
+    sized = lookup(cut_lineage(found), classes.select(F.col("class_id").alias("compared_class_id"), "n"),
+                   ["compared_class_id"], F.col("class_id"), how="inner")
+    own = classes.filter("n > 1").select("class_id", F.col("class_id").alias("compared_class_id"),
+                                         F.lit(1.0).alias("score"), (F.col("n") - 1).alias("n"))
+    both = sized.select("class_id", "compared_class_id", "score", "n").unionByName(own)
+    of_class = Window.partitionBy("class_id")
+    upto = F.sum("n").over(of_class.orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    tied = F.sum("n").over(Window.partitionBy("class_id", "score"))
+    return both.select(
+        "class_id", "compared_class_id", F.col("n").alias("n_compared"), F.col("score").alias("question_similarity_score"),
+        (upto - tied + 1).cast("int").alias("question_similarity_rank"),
+    ).filter(F.col("question_similarity_rank") <= k)
+
+
 def top_matches(
     statements: DataFrame, k: int = NEIGHBOURS, dim: int = EMBEDDING_DIM, ties: str = "first", **search
 ) -> DataFrame:
     """Best ``k`` table-sharing statements of each statement, with their rank.
 
-    ``ties="rank"`` keeps every partner tied on the last rank. Among many statements with
-    one and the same question that is every pair of them; ``ties="first"`` keeps exactly
-    ``k``, the lowest ids first.
+    ``ties="first"`` keeps exactly ``k``, the lowest ids first. ``ties="rank"`` keeps every partner tied on the last
+    rank; it is found by :func:`class_matches` and expanded at the end, so only this last join grows with
+    the square of the number of equal statements. Those who can do with classes take them instead.
     """
-    found = _table_sharing(statements, dim, k=k, ties=ties, **search)
+    if ties == "rank":
+        classes, members = match_classes(statements, dim)
+        matches = cut_lineage(class_matches(classes, k, dim, **search))
+        partners = members.select(F.col("statement_id").alias("corpus_id"), F.col("class_id").alias("compared_class_id"))
+        found = matches.join(members, "class_id").join(partners, "compared_class_id").filter(
+            "statement_id != corpus_id").select(
+            F.col("statement_id").alias("query_id"), "corpus_id", F.col("question_similarity_score").alias("score"),
+            F.col("question_similarity_rank").alias("place"))
+    else:
+        found = _table_sharing(statements, dim, k=k, ties=ties, **search)
     return found.select(
         F.col("query_id").alias("statement_id"),
         F.struct(

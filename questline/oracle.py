@@ -239,6 +239,11 @@ top3 as (
             cast(rank() over (partition by first_statement_id order by question_similarity_score desc) as integer)
                 as question_similarity_rank
         from pairs) where question_similarity_rank <= 3)"""
+FIRST3 = """first3 as (
+    select first_statement_id as statement_id, second_statement_id as compared_statement_id, question_similarity_score,
+        cast(n as integer) as question_similarity_rank
+    from (select *, row_number() over (partition by first_statement_id
+            order by question_similarity_score desc, second_statement_id) as n from pairs) where n <= 3)"""
 
 
 def _prompt(question: str, definitions: str, samples: str) -> str:
@@ -259,10 +264,10 @@ def _sample(question: str, sql: str) -> str:
 TRAINING = f"""sampled as (
     select m.statement_id, list({_sample('p.generated_question', 'p.statement_text')}
         order by m.question_similarity_rank, p.statement_id) as samples
-    from top3 m join statements p on m.compared_statement_id = p.statement_id group by m.statement_id),
+    from first3 m join statements p on m.compared_statement_id = p.statement_id group by m.statement_id),
 sample_tables as (
     select distinct m.statement_id, unnest(p.table_list) as full_table
-    from top3 m join statements p on m.compared_statement_id = p.statement_id),
+    from first3 m join statements p on m.compared_statement_id = p.statement_id),
 described as (
     select s.statement_id, list(d.table_definition order by d.full_table) as table_definitions
     from sample_tables s join definitions d on s.full_table = d.full_table group by s.statement_id),
@@ -271,7 +276,7 @@ training as (
         t.statement_text as response
     from sampled s join described d on s.statement_id = d.statement_id
         join statements t on s.statement_id = t.statement_id)"""
-_TRAIN = (STATEMENTS, FIT, PAIRS, TABLES, COLUMNS, TABLE_ROWS, DEFINITIONS, TRAINING)
+_TRAIN = (STATEMENTS, FIT, PAIRS, FIRST3, TABLES, COLUMNS, TABLE_ROWS, DEFINITIONS, TRAINING)
 
 
 def _hits(condition: str) -> str:
@@ -440,11 +445,15 @@ ORACLE: dict[str, str] = {
         from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""",
     "sim_pairs": _with(STATEMENTS, FIT, PAIRS, body="select * from pairs where question_similarity_score >= 0.3"),
     "sim_top3": _with(STATEMENTS, FIT, PAIRS, body="select * from top3"),
-    "sim_top3_first": _with(STATEMENTS, FIT, PAIRS, body="""
-        select first_statement_id as statement_id, second_statement_id as compared_statement_id, question_similarity_score,
-            cast(n as integer) as question_similarity_rank
-        from (select *, row_number() over (partition by first_statement_id
-                order by question_similarity_score desc, second_statement_id) as n from pairs) where n <= 3"""),
+    "sim_top3_first": _with(STATEMENTS, FIT, PAIRS, FIRST3, body="select * from first3"),
+    "sim_top3_classes": _with(STATEMENTS, FIT, PAIRS, """placed as (
+        select statement_id, min(statement_id) over (partition by question_embeddings, list_sort(table_list)) as class_id
+        from fit)""", body="""
+        select q.class_id, p.class_id as compared_class_id, count(*) as n_compared,
+            any_value(question_similarity_score) as question_similarity_score,
+            any_value(question_similarity_rank) as question_similarity_rank
+        from top3 t join placed q on t.statement_id = q.statement_id and q.statement_id = q.class_id
+            join placed p on t.compared_statement_id = p.statement_id group by all"""),
     "prompt_build": _with(STATEMENTS, body=f"""select statement_id, {_prompt('generated_question', 'table_list',
         f"[{_sample('generated_question', 'statement_text')}, {_sample('generated_question', 'statement_text')}]")} as prompt
         from (select * replace ({_listed(fx.STATEMENT_TABLES, _NONE).replace('vec_id', 'cast(substr(statement_id, 2) as bigint)').replace('label', "cast(regexp_extract(generated_question, '[0-9]+$') as bigint)")} as table_list) from statements)"""),

@@ -56,12 +56,15 @@ def ingest_history(
     long_model: str = LONG_MODEL,
     short_model: str = SHORT_MODEL,
     strict: bool = False,
+    replies: str | None = None,
+    embedding_model: str = "",
 ) -> DataFrame:
     """All history tables up to the unified one, which is returned.
 
     Each table is written before the next reads it, so the dedupe runs once and no model
     call is repeated when executors are lost later. ``model_extraction`` asks the text
-    provider for table names instead of reading them out of the statement.
+    provider for table names instead of reading them out of the statement. ``replies`` is a folder in which replies
+    are kept by request, so that a later run asks only what is new.
     """
     # The kept run of each shape with its history columns; the masked text is a view on it.
     unique = store.save(history.latest_per_shape(log, keep=log.columns), names.UNIQUE_HISTORY)
@@ -86,6 +89,9 @@ def ingest_history(
         references.resolve_references(parsed, store.read(names.UNIQUE_TABLE), strict), names.RESOLVED
     )
     matched = enrich.matched_statements(runs, resolved)
-    summaries = store.save(enrich.with_generated_text(matched, text_provider), names.SUMMARIES)
-    vectors = store.save(enrich.with_embeddings(summaries, embedding_provider), names.EMBEDDINGS)
+    texts, embedded = (None, None) if replies is None else (f"{replies}/texts", f"{replies}/vectors")
+    summaries = store.save(
+        enrich.with_generated_text(cut_lineage(matched), text_provider, folder=texts), names.SUMMARIES)
+    vectors = store.save(
+        enrich.with_embeddings(summaries, embedding_provider, embedding_model, embedded), names.EMBEDDINGS)
     return store.save(enrich.unified_statements(summaries, vectors, resolved), names.STATEMENTS)

@@ -238,6 +238,11 @@ def sim_top3_first(spark, d):
     return _top3(spark, d, "first")
 
 
+def sim_top3_classes(spark, d):
+    classes, _ = training.match_classes(fx.statements(spark, d), DIM)
+    return training.class_matches(classes, dim=DIM)
+
+
 def prompt_build(spark, d):
     rows = fx.statements(spark, d)
     sample = F.struct(F.col("generated_question").alias("question"), F.col("statement_text").alias("sql"))
@@ -249,8 +254,7 @@ def prompt_build(spark, d):
 
 def _training(spark, d):
     rows = fx.statements(spark, d)
-    # As in the SQL, all statements tied on the third rank are samples.
-    matches = cut_lineage(training.top_matches(rows, dim=DIM, ties="rank"))
+    matches = cut_lineage(training.top_matches(rows, dim=DIM))
     return training.training_rows(matches, rows, _table_rows(spark, d))
 
 
@@ -337,7 +341,7 @@ def _ingested(spark, d):
         extract_tables(F.col("statement_text")).alias("parsed_table_list"),
     ))
     found = cut_lineage(references.resolve_references(extracted, catalog.unique_names(fx.tables(spark, d))))
-    return found, enrich.with_generated_text(enrich.matched_statements(runs, found), TEXT_PROVIDER)
+    return found, enrich.with_generated_text(cut_lineage(enrich.matched_statements(runs, found)), TEXT_PROVIDER)
 
 
 def summary_join(spark, d):
@@ -400,7 +404,7 @@ QUERIES: dict[str, Query] = {
         extract_route, extract_route_anti, extract_tables_query, extract_parse, extract_errors,
         refs_split, refs_resolve, refs_resolve_strict,
         cat_unique, cat_levels, cat_tables, cat_columns, ddl_format, ddl_fn, ddl_lookup, col_lookup, table_lookup, dq_keys,
-        cosine_pairs, sim_pairs, sim_top3, sim_top3_first, prompt_build, train_set, train_jsonl,
+        cosine_pairs, sim_pairs, sim_top3, sim_top3_first, sim_top3_classes, prompt_build, train_set, train_jsonl,
         retrieve_topk, retrieve_filter, mine_tables, answer_prompts, answer_batch, response_text,
         gen_questions, embed_text, summary_join, pre_index, search_tables, search_columns, search_questions,
         index_refresh,

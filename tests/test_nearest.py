@@ -9,6 +9,7 @@ from questline import queries
 from questline.functions.vectors import cosine
 from questline.operators import nearest as nb
 from questline.operators import training
+from questline.operators.lookup import lookup
 
 SCHEMA = "id string, grp string, v array<float>"
 
@@ -190,8 +191,8 @@ def test_cosine_of_odd_elements_is_null(spark):
     assert [r[0] for r in rows.select(cosine(F.col("v"), one)).collect()] == [None] * 4
 
 
-def test_train_set_keeps_ties_as_its_sql_does(spark, monkeypatch):
-    """Equal questions share a rank, and rank() <= 3 in the SQL of train_set keeps all of them."""
+def test_train_set_takes_three_samples_of_equal_questions(spark, monkeypatch):
+    """Among equal questions the lowest ids are samples, as row_number() in the SQL of train_set takes them."""
     vector = [1.0] + [0.0] * (queries.DIM - 1)
     frame = statements(spark, [(f"n{i}", ["c.s.t"], vector, f"question {i}", f"sql {i}") for i in range(8)])
     tables = spark.createDataFrame([("c.s.t", None, "  i INT")], "full_table string, comment string, column_description_list string")
@@ -199,5 +200,84 @@ def test_train_set_keeps_ties_as_its_sql_does(spark, monkeypatch):
     monkeypatch.setattr(queries, "_table_rows", lambda *_: tables)
     prompts = {r["statement_id"]: r["full_prompt"] for r in queries.train_set(spark, "unused").collect()}
     for i in range(8):
-        assert all((f"\nsql {j}" in prompts[f"n{i}"]) == (j != i) for j in range(8))
-    assert queries.train_jsonl(spark, "unused").count() == 8
+        samples = {j for j in range(8) if f"\nsql {j}" in prompts[f"n{i}"]}
+        assert samples == set([j for j in range(8) if j != i][:3])
+
+
+def test_classes_of_equal_questions_are_linear(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"s{i:05d}", [1.0, 0.0, 0.5, 0.25], ["a.b.t"]) for i in range(5000)]
+    rows += [(f"o{i:03d}", [float(x) for x in rng.normal(size=4)], ["a.b.t"]) for i in range(30)]
+    rows += [("twin", [2.0, 0.0, 1.0, 0.5], ["a.b.t", "a.b.u"]), ("none", [1.0, 0.0, 0.5, 0.25], [])]
+    frame = spark.createDataFrame(rows, "statement_id string, question_embeddings array<float>, table_list array<string>")
+    classes, members = training.match_classes(frame, 4)
+    found = training.class_matches(classes, dim=4)
+    assert members.count() == 5031 and classes.count() == 32
+    ranked = {(r["class_id"], r["compared_class_id"]): (r["n_compared"], r["question_similarity_rank"]) for r in found.collect()}
+    assert len(ranked) < 150
+    assert ranked["s00000", "s00000"] == (4999, 1) and ranked["s00000", "twin"] == (1, 1)
+    assert not [other for one, other in ranked if one == "s00000" and other.startswith("o")]
+    assert ranked["twin", "s00000"] == (5000, 1) and len([1 for one, _ in ranked if one == "twin"]) == 1
+
+
+def test_ties_by_rank_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    base = [[float(x) for x in rng.normal(size=3)] for _ in range(6)]
+    rows = [(f"s{i:02d}", base[i % 6], [["t"], ["t", "u"], ["u"]][i % 3]) for i in range(40)]
+    frame = spark.createDataFrame(rows, "statement_id string, question_embeddings array<float>, table_list array<string>")
+    got = {(r["statement_id"], r["c"], r["question_similarity_rank"]) for r in training.top_matches(frame, dim=3, ties="rank").select(
+        "statement_id", F.col("top_compared_questions.compared_statement_id").alias("c"), "question_similarity_rank").collect()}
+    want = set()
+    for i, v, t in rows:
+        v32 = np.float32(v).astype(float)
+        scores = {j: round(float(v32 @ (w := np.float32(x).astype(float)) / np.linalg.norm(v32) / np.linalg.norm(w)), 6)
+                  for j, x, u in rows if j != i and set(t) & set(u)}
+        for j, score in scores.items():
+            rank = 1 + sum(other > score for other in scores.values())
+            if rank <= 3:
+                want.add((i, j, rank))
+    assert got == want
+
+
+def test_marked_search_equals_brute_force_and_keeps_vectors_once(spark):
+    rng = np.random.default_rng(7)
+    marks = ["a", "b", "c", "rare"]
+    corpus = [(f"c{i:03d}", [float(x) for x in rng.normal(size=8)], [m for m in marks[:3] if rng.random() < 0.4] + (["rare"] if i == 77 else []))
+              for i in range(300)] + [("copy", [0.0] * 8, ["a"]), ("null", [1.0] * 8, None)]
+    corpus += [(f"d{i:03d}", corpus[0][1], ["a"]) for i in range(20)]
+    queries = [(f"q{i:02d}", [float(x) for x in rng.normal(size=8)], [["a"], ["b", "c"], ["rare"], ["absent"], []][i % 5]) for i in range(50)]
+    schema = "id string, v array<float>, m array<string>"
+    q, c = spark.createDataFrame(queries, schema), spark.createDataFrame(corpus, schema)
+    found = nb.nearest_marked(q, c, query_id="id", corpus_id="id", query_vector="v", corpus_vector="v",
+                              query_marks="m", corpus_marks="m", k=3, dim=8, block_rows=16)
+    plan = plan_of(found)
+    got = {(r["query_id"], r["place"]): r["corpus_id"] for r in found.collect()}
+    want = {}
+    for name, v, wanted in queries:
+        v = np.float32(v).astype(float)
+        scored = sorted((-round(float(v @ (w := np.float32(x).astype(float)) / np.linalg.norm(v) / np.linalg.norm(w)), 6), i)
+                        for i, x, m in corpus if m and set(m) & set(wanted) and any(x))
+        want |= {(name, place): i for place, (_, i) in enumerate(scored[:3], 1)}
+    assert got == want
+    assert plan.count("Generate explode") == 2  # of names only; vectors are read from the written blocks
+    assert all("raw" not in line and "vec" not in line for line in plan.splitlines() if "Generate explode" in line)
+
+
+def test_hot_key_is_never_in_one_task_without_broadcasts(spark):
+    left = spark.range(10_000).select(F.when(F.col("id") % 5 < 2, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    right = spark.range(10_000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v")).unionByName(
+        spark.createDataFrame([("hot", -1)], "k string, v long"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", 50)
+    try:
+        joined = lookup(left, right, ["k"], F.col("id"), hot_rows=100)
+        plan = plan_of(joined)
+        sizes = [r["n"] for r in joined.filter("k = 'hot'").groupBy(F.spark_partition_id().alias("p")).agg(F.count("v").alias("n")).collect()]
+        assert joined.filter("v is null").count() == 0
+    finally:
+        for key, value in keep.items():
+            spark.conf.set(key, value)
+    assert sum(sizes) == 4000 and max(sizes) <= 600
+    assert "hashpartitioning(k" in plan and plan.index("_salt") < plan.index("Exchange hashpartitioning")
