@@ -14,6 +14,7 @@ from questline.operators.catalog import definitions_for
 from questline.operators.enrich import EmbeddingClient, TextClient, embed, generate
 from questline.operators.lookup import lookup
 from questline.operators.nearest import nearest, nearest_marked
+from questline.operators.vector_file import nearest_coded
 from questline.session import cut_lineage
 
 
@@ -154,17 +155,19 @@ def with_vectors(rows: DataFrame, text: str, provider: Callable[[], EmbeddingCli
 
 def search_rows(
     questions: DataFrame, rows: DataFrame, key: str, vector: str, k: int = RETRIEVAL_K,
-    dim: int = EMBEDDING_DIM, **search,
+    dim: int = EMBEDDING_DIM, coded: bool = False, **search,
 ) -> DataFrame:
     """The ``k`` rows most similar to each question, ties by ``key``; both sides embedded.
 
+    ``coded`` searches a vector-approximation file, which moves a quarter of the bytes and suits wide vectors.
     For table rows (``full_table``), column rows (``id``) and past questions
     (``statement_id``).
     """
-    found = nearest(
-        questions, rows, query_id="question_id", corpus_id=key, query_vector="question_embeddings",
-        corpus_vector=vector, k=k, ties="first", dim=dim, **search,
-    )
+    names = dict(query_id="question_id", corpus_id=key, query_vector="question_embeddings", corpus_vector=vector)
+    if coded:
+        found = nearest_coded(questions, rows, **names, k=k, dim=dim, **search)
+    else:
+        found = nearest(questions, rows, **names, k=k, ties="first", dim=dim, **search)
     return found.select(
         F.col("query_id").alias("question_id"), F.col("corpus_id").alias(key), "score", "place"
     )

@@ -485,6 +485,7 @@ ORACLE: dict[str, str] = {
     "search_tables": _search("table_rows", "full_table", "table_search", TABLES, COLUMNS, TABLE_ROWS),
     "search_columns": _search("column_rows", "id", "column_search", COLUMNS, COLUMN_ROWS),
     "search_questions": _search("statements", "statement_id", "generated_question", STATEMENTS),
+    "search_coded": _with(STATEMENTS, QUESTIONS, ASKED, _hits("true"), body="select question_id, statement_id, score, place from hits"),
     "index_refresh": f"""select doc_id, cast(case when revised then 1 else 0 end as integer) as version,
         md5(text || case when revised then ' (revised)' else '' end) as text_md5, {fx.DIM} as width
         from (select doc_id, text, doc_id in (select doc_id from labels) as revised from documents)""",

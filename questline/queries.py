@@ -381,6 +381,13 @@ def search_questions(spark, d):
     return _search(spark, d, fx.statements(spark, d), "statement_id", "generated_question")
 
 
+def search_coded(spark, d):
+    """The same answer as retrieve_topk, from the vector-approximation file."""
+    asked = fx.questions(spark, d).select("question_id", "question_embeddings")
+    rows = fx.statements(spark, d).select("statement_id", F.col("question_embeddings").alias("vector"))
+    return answering.search_rows(asked, rows, "statement_id", "vector", dim=DIM, coded=True)
+
+
 def index_refresh(spark, d):
     docs = fx.read(spark, d, "documents").select("doc_id", "text")
     revised = docs.join(fx.read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").withColumn(
@@ -406,7 +413,7 @@ QUERIES: dict[str, Query] = {
         cat_unique, cat_levels, cat_tables, cat_columns, ddl_format, ddl_fn, ddl_lookup, col_lookup, table_lookup, dq_keys,
         cosine_pairs, sim_pairs, sim_top3, sim_top3_first, sim_top3_classes, prompt_build, train_set, train_jsonl,
         retrieve_topk, retrieve_filter, mine_tables, answer_prompts, answer_batch, response_text,
-        gen_questions, embed_text, summary_join, pre_index, search_tables, search_columns, search_questions,
+        gen_questions, embed_text, summary_join, pre_index, search_tables, search_columns, search_questions, search_coded,
         index_refresh,
     )
 }
