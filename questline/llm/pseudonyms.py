@@ -3,7 +3,8 @@
 Personal numbers and dates are found by pattern and validated: cards by their check digit, IP
 addresses by range, dates by the calendar, telephone numbers by their grouping. A value is read as
 symbols, each with its own base, and permuted by Feistel rounds over the two halves, so the
-result has the same format and is valid again (cards get their new check digit). The same value
+result has the same format and is valid again (cards get their new check digit). Runs of digits that fail
+the check are other numbers and stay. The same value
 has the same pseudonym in every document, whatever its separators; the key turns it back.
 """
 
@@ -20,7 +21,8 @@ DAYS = DAY_BASES[0] * DAY_BASES[1]
 
 # One pattern a kind, tried in this order at each position.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    # A local part has 64 characters at most and a domain 127 labels, which also bounds the search at each place.
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,126}",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./-][0-9])",
     "phone": r"(?<![0-9])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -130,7 +132,7 @@ def _card(value: Column, key: str, undo: bool) -> Column:
         return F.concat(body, F.pmod(-_luhn_sum(body, 1), F.lit(10)).cast("string"))
 
     return F.when(F.pmod(let(digits, lambda d: _luhn_sum(d, 0)), F.lit(10)) == 0,
-                  _refilled(value, let(new, with_check))).otherwise(_plain(value, "number", key, undo))
+                  _refilled(value, let(new, with_check))).otherwise(value)
 
 
 def _phone(value: Column, key: str, undo: bool) -> Column:
