@@ -22,7 +22,6 @@ from questline.llm.model_text import cached, mix, slot
 
 BITS = 18            # slots of the n-gram table
 FIT_ROWS = 6000      # labelled texts, at most, that the hinge loss is fitted to, half of each class
-FIT_FEATURES = 2000  # n-grams of a fitted text, at most (by hash); scoring takes all of them
 SMOOTHING = 1.0
 COST = 0.1
 EPOCHS = 12
@@ -94,33 +93,34 @@ def _fit_rows(docs: DataFrame, rows: DataFrame) -> list[tuple[int, np.ndarray]]:
     def grams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = cached(_feature)
         for texts in batches:
-            out = []
-            for text in texts:
-                g = _grams(text, of)
-                if len(g) > FIT_FEATURES:
-                    g = g[np.argsort(mix(g, bits=30), kind="stable")[:FIT_FEATURES]]
-                out.append(g.astype(np.int32))
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([_grams(text, of).astype(np.int32) for text in texts], dtype=object)
 
     chosen = [smallest(rows.filter(F.col("y") == y).select("doc_id", "y"), "doc_id", FIT_ROWS // 2) for y in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]).distinct())
     # A text that stands several times under one id is taken once.
     one = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
     got = one.select("doc_id", "y", grams("text").alias("g")).toPandas().sort_values("doc_id")
-    return [(int(y), np.asarray(g, dtype=np.int64)) for y, g in zip(got["y"], got["g"], strict=True)]
+    return [(int(y), np.asarray(g, dtype=np.int32)) for y, g in zip(got["y"], got["g"], strict=True)]
 
 
-def _dual_descent(x: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, costs: np.ndarray) -> np.ndarray:
-    """Weights (bias last) of the hinge loss, one dual variable a text, in a seeded order."""
+def _dual_descent(x: list[np.ndarray], ratio: np.ndarray, lengths: np.ndarray, y: np.ndarray, costs: np.ndarray) -> np.ndarray:
+    """Weights (bias last) of the hinge loss, one dual variable a text, in a seeded order.
+
+    A text's values are the ratios of its n-grams by its length, and 1 for the bias; they are taken anew at each visit.
+    """
     w = np.zeros((1 << BITS) + 1)
-    alpha, norms = np.zeros(len(x)), np.array([v @ v for v in values])
+    alpha = np.zeros(len(x))
+    norms = np.array([(v := ratio[g] / n) @ v + 1.0 for g, n in zip(x, lengths, strict=True)])
     order = np.random.default_rng(0)
     for _ in range(EPOCHS):
         for i in order.permutation(len(x)):
-            gradient = y[i] * (w[x[i]] @ values[i]) - 1
+            values = ratio[x[i]] / lengths[i]
+            gradient = y[i] * (w[x[i]] @ values + w[-1]) - 1
             new = min(max(alpha[i] - gradient / norms[i], 0.0), costs[i])
             if new != alpha[i]:
-                w[x[i]] += (new - alpha[i]) * y[i] * values[i]
+                step = (new - alpha[i]) * y[i]
+                w[x[i]] += step * values
+                w[-1] += step
                 alpha[i] = new
     return w
 
@@ -162,12 +162,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     y = np.array([1.0 if q else -1.0 for q, _ in sample])
     x = [g for _, g in sample]
     costs = COST * len(y) / 2 / np.where(y > 0, max((y > 0).sum(), 1), max((y < 0).sum(), 1))
-    # Long texts hold many n-grams, so each is brought to unit length; the last value is the bias's.
-    values = [np.append(ratio[g] / max(np.linalg.norm(ratio[g]), 1e-9), 1.0) for g in x]
-    w = _dual_descent([np.append(g, 1 << BITS) for g in x], values, y, costs)
+    # Long texts hold many n-grams, so each is brought to unit length.
+    lengths = np.array([max(np.linalg.norm(ratio[g]), 1e-9) for g in x])
+    w = _dual_descent(x, ratio, lengths, y, costs)
     bias, w = float(w[-1]), w[:-1]
     w = (1 - BLEND) * w + BLEND * np.abs(w).mean()
-    margin = np.array([w[g] @ v[:-1] + bias for g, v in zip(x, values, strict=True)])
+    margin = np.array([w[g] @ ratio[g] / n + bias for g, n in zip(x, lengths, strict=True)])
     slope, offset = _sigmoid_fit(margin, y)
     return Model(w.astype(np.float32), ratio.astype(np.float32), bias, slope, offset)
 

@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -316,6 +317,24 @@ def test_pseudonyms_keep_format_and_turn_back(spark):
     assert got[4].text[5:-1] in new and "10.1.2.3" not in new.replace("10.0.0.256", "")
 
 
+def test_pseudonyms_end_on_hard_texts(spark):
+    """Long tokens, domains of many labels and many numbers: no stack overflow and no quadratic search."""
+    texts = ["a1@x" + ".a" * 20_000, "a" * 1_000_000 + " 1", "a.b+c-" * 100_000 + "1", "1" * 500_000, "1." * 200_000,
+             "x" * 80 + "@long.org", " ".join(f"10.{i % 256}.3.4" for i in range(10_000)), "a@b" * 50_000, "12-" * 100_000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(len(texts))
+    start = time.time()
+    got = {r.doc_id: r for r in pseudonyms.with_pseudonyms(rows).collect()}
+    assert time.time() - start < 240
+    assert got[0].n_values >= 1 and got[0].text != texts[0] and len(got[0].text) == len(texts[0])
+    assert got[1].text == texts[1] and got[5].n_values == 1 and got[5].text.endswith("@long.org") and got[6].n_values == 10_000
+
+
+def test_only_validated_numbers_change(spark):
+    text = "order 4041894974608796 isbn 9783161484100 card 4041894974608795"
+    new = spark.createDataFrame([(text,)], "text string").select(pseudonyms.pseudonymise(F.col("text"))).first()[0]
+    assert new.startswith("order 4041894974608796 isbn 9783161484100 card ") and new != text
+
+
 def test_feistel_is_a_permutation(spark):
     rows = spark.range(189 * 7).select(F.array((F.col("id") / 7).cast("int"), (F.col("id") % 7).cast("int")).alias("s"))
     new = rows.select(pseudonyms.feistel(F.col("s"), F.array(F.lit(189), F.lit(7)), F.lit("t"), "k").alias("n")).distinct()
