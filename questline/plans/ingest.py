@@ -19,10 +19,17 @@ from questline.sources.tables import with_ordinals
 
 
 def land_history(
-    store: Store, folder: str, workspace_id: str | None = None, row_cap: int | None = None
+    store: Store, folder: str, workspace_id: str | None = None, row_cap: int | None = None,
+    max_broken: float = history_pages.MAX_BROKEN,
 ) -> DataFrame:
-    """Landed API pages as the history table: every page, or those up to ``row_cap`` if it is given."""
+    """Landed API pages as the history table: every page, or those up to ``row_cap`` if it is given.
+
+    Lines that are no pages go to a table of their own, with their file; more than ``max_broken`` of all
+    lines end the job before the history table is replaced.
+    """
     pages = history_pages.read_pages(store.spark, folder)
+    broken = store.save(history_pages.broken_pages(store.spark, folder), names.BROKEN_PAGES)
+    history_pages.check_pages(pages, broken, max_broken)
     if row_cap is not None:
         pages = history_pages.capped_pages(pages, row_cap)
     return store.save(history_pages.pages_to_history(pages, workspace_id), names.HISTORY)

@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from questline.sources.tables import save, save_table
+from questline.sources.published import publish, read_published
+from questline.sources.tables import save_table
 
 # Names under which the tables are known to their readers.
 UNIQUE_TABLE = "unique_table"
 HISTORY = "query_history_api"
+BROKEN_PAGES = "query_history_api_broken"
 UNIQUE_HISTORY = "query_history_unique"
 DISTINCT_RUNS = "query_history_similarity_filter"
 EXTRACTED = "table_extract"
@@ -30,7 +32,8 @@ TRAINING = "fine_tuning_set"
 class Store:
     """Tables below a folder all executors reach, or in a metastore schema.
 
-    Give ``root`` for parquet folders or ``schema`` for ``saveAsTable``.
+    Give ``root`` for parquet folders or ``schema`` for ``saveAsTable``. Below ``root`` tables are published as
+    versions: readers never see half a table, and a job may replace what it reads.
     """
 
     spark: SparkSession
@@ -39,10 +42,10 @@ class Store:
 
     def save(self, df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
         if self.root is not None:
-            return save(df, os.path.join(self.root, name), mode)
+            return publish(df, os.path.join(self.root, name), mode)
         return save_table(df, f"{self.schema}.{name}", mode)
 
     def read(self, name: str) -> DataFrame:
         if self.root is not None:
-            return self.spark.read.parquet(os.path.join(self.root, name))
+            return read_published(self.spark, os.path.join(self.root, name))
         return self.spark.table(f"{self.schema}.{name}")

@@ -43,9 +43,37 @@ def empty_history(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], HISTORY_SCHEMA)
 
 
+_BROKEN = "_broken"
+MAX_BROKEN = 0.01  # share of unreadable lines from which landing fails
+
+
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    # The filter holds for every line. It keeps all fields in the scan, so that what counts as broken doesn't depend on
+    # the columns a reader asks for.
+    whole = F.hash("page_no", "res", "has_next_page", "next_page_token") >= -(2**31)
+    return spark.read.schema(f"{PAGE_DDL}, {_BROKEN} STRING").option("columnNameOfCorruptRecord", _BROKEN).json(folder).filter(whole)
+
+
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Landed page files, one JSON object per line, in parallel and without inference."""
-    return spark.read.schema(PAGE_DDL).json(folder)
+    """Landed page files, one JSON object per line, in parallel and without inference.
+
+    Lines that can't be read as a page are left to :func:`broken_pages`.
+    """
+    return _lines(spark, folder).filter(F.col(_BROKEN).isNull()).drop(_BROKEN)
+
+
+def broken_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """``file, line``: the lines that are no pages, as they stand, with the file they come from."""
+    return _lines(spark, folder).filter(F.col(_BROKEN).isNotNull()).select(
+        F.col("_metadata.file_path").alias("file"), F.col(_BROKEN).alias("line")
+    )
+
+
+def check_pages(pages: DataFrame, broken: DataFrame, max_broken: float = MAX_BROKEN) -> None:
+    """Raise if more than ``max_broken`` of all lines are broken."""
+    lost, good = broken.count(), pages.count()
+    if lost > max_broken * (lost + good):
+        raise ValueError(f"{lost} of {lost + good} landed lines are no pages")
 
 
 def _prefix_sum(rows: DataFrame, order: str, value: Column, name: str, width: int = 10000) -> DataFrame:
