@@ -31,7 +31,7 @@ def test_matches_sql(spark, sf, key):
 
 def test_all_are_registered():
     assert set(QUERIES) <= set(contract.queries()) and "pipeline" in contract.queries()
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 14))
 
 
 # --- 1 ---------------------------------------------------------------------------------------
