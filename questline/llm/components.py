@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from questline.operators.lookup import lookup
 from questline.session import cut_lineage
 
 MAX_ROUNDS = 60  # rounds grow with the logarithm of the longest chain; this is a guard, not a cut
 
 
 def _hung(edges: DataFrame) -> DataFrame:
-    """Every neighbour of ``u`` hung on the least of them: (u, v) becomes (v, least)."""
+    """Every neighbour of ``u`` hung on the least of them: (u, v) becomes (v, least).
+
+    The hub of a star may hold a third of all edges; its rows are dealt out.
+    """
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+    return lookup(edges, least, ["u"], F.col("v"), "inner")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -44,7 +48,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if seen[0] == 0 or seen == before:
             break
         before = seen
-        at = cut_lineage(_small_star(_large_star(at)))
+        at = cut_lineage(_small_star(cut_lineage(_large_star(at))))
     else:
         raise RuntimeError("components did not settle")
     stars = at.select(F.col("u").alias("node"), F.col("v").alias("component"))

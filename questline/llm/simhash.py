@@ -7,13 +7,10 @@ pair in question, and the fingerprints themselves are then compared.
 
 Large groups. A bucket of the index may hold a third of all fingerprints, so its pairs are
 never listed. One pass over the sorted index compares all pairs of small buckets, and in large
-ones neighbours only; the links it finds tie dense groups together. In the large buckets, and in
-those cut by the border of two partitions, pairs of *different* components then meet: the rows
-outside a bucket's largest component meet the others. Pairs within a component can't change
-the result.
-
-Stages that ask for a share of common shingles take their candidates from MinHash bands
-(Broder, 1997) instead: texts with a band of minima in common meet in its bucket, large ones as above.
+ones neighbours only; the links it finds tie dense groups together. It hands out the rows of the large
+buckets, and of those cut by the border of two partitions, so that the index is made and shuffled
+once. There, pairs of *different* components then meet: the rows outside a bucket's largest component
+meet the others. Pairs within a component can't change the result.
 """
 
 from __future__ import annotations
@@ -30,18 +27,14 @@ from pyspark.sql import functions as F
 
 from questline.llm.common import words_of
 from questline.llm.components import components
+from questline.operators.lookup import lookup
 from questline.session import cut_lineage
 
 BITS = 64
 SEED = 42
 HASHES_AT_ONCE = 1 << 16
 SWEPT = 24  # rows of a bucket whose pairs are all compared while passing over the sorted index
-PAIR, NEAR, RUN = 0, 1, 2
-
-# What near-duplicate stages ask of word shingles.
-SIMILARITY = 0.8
-SIMILARITY_WORDS = 5
-BANDS, BAND_ROWS = 32, 5  # texts that share 0.8 of their shingles miss each other once in 300,000 pairs
+PAIR, NEAR, ROW = 0, 1, 2
 
 
 def shingles(text: str | None, n: int) -> list[bytes]:
@@ -52,14 +45,12 @@ def shingles(text: str | None, n: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))) if n > 1 else words
 
 
-def fingerprint(text: str | None, n: int, distinct: bool) -> int:
+def fingerprint(text: str | None, n: int) -> int:
     """Signed 64-bit SimHash: a bit is set where over half of the shingles' XXH64 have it.
 
-    No words: zero. ``distinct`` counts each shingle once.
+    Repeated shingles count each time. No words: zero.
     """
     grams = shingles(text, n)
-    if distinct:
-        grams = list(set(grams))
     if not grams:
         return 0
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64, count=len(grams))
@@ -70,44 +61,13 @@ def fingerprint(text: str | None, n: int, distinct: bool) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-_MINHASH = np.random.default_rng(SEED).integers(1 << 63, size=(2, BANDS * BAND_ROWS), dtype=np.uint64)
-
-
-def bands(text: str | None, n: int) -> list[int]:
-    """``BANDS`` signed 64-bit keys, each of ``BAND_ROWS`` minima of hashes of the distinct shingles; no words: none."""
-    grams = set(shingles(text, n))
-    if not grams:
-        return []
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64, count=len(grams))
-    times, plus = _MINHASH[0] | np.uint64(1), _MINHASH[1]
-    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
-    for at in range(0, len(hashes), 4096):
-        x = hashes[at:at + 4096, None] * times + plus
-        x ^= x >> np.uint64(32)  # the low bits of a product know only the low bits of its factors
-        np.minimum(least, (x * np.uint64(0x9E3779B97F4A7C15)).min(0), out=least)
-    return [xxhash.xxh64_intdigest(band.tobytes(), i) - (1 << 63)
-            for i, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
-
-
-def with_bands(docs: DataFrame, text: str = "text", n: int = SIMILARITY_WORDS, name: str = "bands") -> DataFrame:
-    """``docs`` with an array of the MinHash bands of its text."""
-
-    @F.pandas_udf("array<long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([bands(t, n) for t in texts], dtype=object)
-
-    return docs.withColumn(name, run(F.col(text)))
-
-
-def with_fingerprint(docs: DataFrame, text: str = "text", n: int = 4, distinct: bool = False,
-                     name: str = "fp") -> DataFrame:
+def with_fingerprint(docs: DataFrame, text: str = "text", n: int = 4, name: str = "fp") -> DataFrame:
     """``docs`` with a long column; fingerprints follow from the text alone (null: zero)."""
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([fingerprint(t, n, distinct) for t in texts], dtype="int64")
+            yield pd.Series([fingerprint(t, n) for t in texts], dtype="int64")
 
     return docs.withColumn(name, run(F.col(text)))
 
@@ -137,25 +97,18 @@ def variants(fp: Column, distance: int) -> Column:
     return F.array(*keys)
 
 
-def _index(nodes: DataFrame, distance: int | None) -> DataFrame:
-    """A row for each key of a node: its bands, or the variants of its fingerprint."""
-    if distance is None:
-        return nodes.select("node", "fp", F.explode("bands").alias("key"))
-    return nodes.withColumn("key", F.explode(variants(F.col("fp"), distance)))
-
-
 def _swept(index: DataFrame, reach: int) -> DataFrame:
-    """One pass over the sorted index: ``kind, a, b, bits``.
+    """One pass over the sorted index: ``kind, a, b, x``.
 
-    ``PAIR``: all pairs within reach of a bucket of at most ``SWEPT`` rows. ``NEAR``: neighbours
-    within reach in a larger bucket. ``RUN``: key and rows of a bucket, or of its part in
-    this partition, that the pass can't finish: it is large, or may go on in the next one.
+    ``PAIR``: all pairs within ``reach`` bits of a bucket of at most ``SWEPT`` rows, x their bits. ``NEAR``:
+    neighbours within reach in a larger bucket. ``ROW``: node, key and fingerprint of each row of a bucket
+    that the pass can't finish: it is large, or may go on in the next partition.
     """
-    shape = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("bits", pa.int8())])
+    shape = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("x", pa.int64())])
 
-    def rows(kind: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    def rows(kind: int, a: np.ndarray, b: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([
-            pa.array(np.full(len(a), kind, dtype=np.int8)), pa.array(a), pa.array(b), pa.array(bits.astype(np.int8)),
+            pa.array(np.full(len(a), kind, dtype=np.int8)), pa.array(a), pa.array(b), pa.array(x.astype(np.int64)),
         ], schema=shape)
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +117,7 @@ def _swept(index: DataFrame, reach: int) -> DataFrame:
         opened = True                             # the next bucket is the first of this partition
 
         def finish(key, fp, node, size, last):
-            """Pairs of the given whole buckets, and the runs to report."""
+            """Pairs of the given whole buckets, and the rows of those to go on with."""
             nonlocal opened
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             for lag in range(1, min(SWEPT, len(key))):
@@ -180,8 +133,8 @@ def _swept(index: DataFrame, reach: int) -> DataFrame:
             report[0] |= opened
             report[-1] |= last
             opened = False
-            at = start[report]
-            yield rows(RUN, key[at], size[at], np.zeros(len(at)))
+            at = np.flatnonzero(np.repeat(report, np.diff(np.r_[start, len(key)])))
+            yield rows(ROW, node[at], key[at], fp[at])
 
         for batch in batches:
             new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "node")]
@@ -200,6 +153,7 @@ def _swept(index: DataFrame, reach: int) -> DataFrame:
                 bits = np.bitwise_count((held[1][1:] ^ held[1][:-1]).view(np.uint64))
                 at = np.flatnonzero(bits <= reach)
                 yield rows(NEAR, held[2][at], held[2][at + 1], bits[at])
+                yield rows(ROW, held[2][:-1], held[0][:-1], held[1][:-1])
                 before += len(held[0]) - 1
                 held = [x[-1:] for x in held]
         if len(held[0]):
@@ -207,36 +161,35 @@ def _swept(index: DataFrame, reach: int) -> DataFrame:
 
     return index.select("key", "fp", "node").repartitionByRange("key", "fp", "node").sortWithinPartitions(
         "key", "fp", "node"
-    ).mapInArrow(sweep, "kind byte, a long, b long, bits byte")
+    ).mapInArrow(sweep, "kind byte, a long, b long, x long")
 
 
-def _across(nodes: DataFrame, placed: DataFrame, keys: DataFrame, distance: int | None, reach: int) -> DataFrame:
-    """``a, b``: all pairs in the given buckets, within reach and of different components.
+def _across(rows: DataFrame, placed: DataFrame, distance: int) -> DataFrame:
+    """``a, b``: all pairs in the given buckets, within ``distance`` bits and of different components.
 
-    ``placed``: node, component. A bucket with one component has nothing to compare.
+    ``rows``: key, node, fp. ``placed``: node, component. A bucket with one component has nothing to compare.
     """
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     known = placed.join(sizes, "component")
-    index = cut_lineage(_index(nodes, distance).join(keys, "key", "left_semi").join(known, "node", "left").select(
+    index = cut_lineage(rows.join(known, "node", "left").select(
         "key", "node", "fp", F.coalesce("component", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size")
     ))
     buckets = index.groupBy("key").agg(
         F.max_by("comp", "size").alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     ).filter("lo != hi").select("key", "top")
-    mixed = cut_lineage(index.join(buckets, "key").select("key", "node", "fp", "comp", "top"))
+    mixed = cut_lineage(lookup(index, buckets, ["key"], F.col("node"), "inner").select("key", "node", "fp", "comp", "top"))
     others = mixed.filter("comp != top").drop("top")
     everyone = mixed.select(F.col("key").alias("key2"), F.col("node").alias("node2"), F.col("fp").alias("fp2"),
                             F.col("comp").alias("comp2"), F.expr("comp = top").alias("in_top"))
     return others.join(
         everyone,
         (F.col("key") == F.col("key2")) & (F.col("comp") != F.col("comp2"))
-        & (F.col("in_top") | (F.col("node") < F.col("node2")))
-        & (F.lit(True) if distance is None else _close(F.col("key"), distance, reach)),
+        & (F.col("in_top") | (F.col("node") < F.col("node2"))) & _close(F.col("key"), distance),
     ).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
-def _close(key: Column, distance: int, reach: int) -> Column:
-    """Whether a pair is within reach; true in just one of the buckets the two meet in."""
+def _close(key: Column, distance: int) -> Column:
+    """Whether a pair is within ``distance`` bits; true in just one of the buckets the two meet in."""
     x = F.col("fp").bitwiseXOR(F.col("fp2"))
     bit = F.shiftrightunsigned(key, 56)
     once, earlier = F.lit(False), F.lit(True)
@@ -247,34 +200,35 @@ def _close(key: Column, distance: int, reach: int) -> Column:
         here = bit.between(o, o + w - 1) & (at_bit | ((off == 0) & (bit == o)))
         once = once | (here & earlier)
         earlier = earlier & (F.bit_count(off) > 1)
-    return (F.bit_count(x) <= reach) & once
+    return (F.bit_count(x) <= distance) & once
 
 
-def classes(nodes: DataFrame, distance: int | None, reach: int | None = None, verify=None) -> DataFrame:
+def classes(nodes: DataFrame, distance: int) -> DataFrame:
     """``node, component`` of all nodes that are linked to another.
 
-    ``nodes``: node long and fp long, each node once. All pairs within ``distance`` bits are
-    found, and of those within ``reach`` bits (default: the same) the ones that agree in a
-    segment up to one bit. ``verify`` takes pairs ``a, b`` and returns those that are links;
-    None: the bits alone decide. Nodes without a link have no row; no nodes, no rows.
-
-    A ``distance`` of None takes the keys from the nodes' ``bands``; all pairs with one in common are
-    candidates, and fp only sorts large buckets so that neighbours are likely links.
+    ``nodes``: node long and fp long, each node once. All pairs within ``distance`` bits are links. Nodes without
+    a link have no row; no nodes, no rows.
     """
-    reach = (BITS if distance is None else distance) if reach is None else reach
-    check = verify or (lambda pairs: pairs)
-    swept = cut_lineage(_swept(_index(nodes, distance), reach))
-    near = swept.filter(F.col("kind") == NEAR).groupBy("a").agg(F.min_by("b", "bits").alias("b"))
+    index = nodes.withColumn("key", F.explode(variants(F.col("fp"), distance)))
+    swept = cut_lineage(_swept(index, distance))
+    near = swept.filter(F.col("kind") == NEAR).groupBy("a").agg(F.min_by("b", "x").alias("b"))
     pairs = swept.filter(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    first = components(check(near.unionByName(pairs).distinct()))
-    open_keys = swept.filter(F.col("kind") == RUN).groupBy(F.col("a").alias("key")).agg(
-        F.sum("b").alias("size"), F.count(F.lit(1)).alias("parts")
-    ).filter((F.col("size") > SWEPT) | (F.col("parts") > 1)).select("key")
-    rest = cut_lineage(check(_across(nodes, first, open_keys, distance, reach)))
+    first = components(near.unionByName(pairs).distinct())
+    rows = swept.filter(F.col("kind") == ROW).select(F.col("b").alias("key"), F.col("a").alias("node"), F.col("x").alias("fp"))
+    rest = cut_lineage(_across(rows, first, distance))
     links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest.select("a", "b"))
     return components(links)
 
 
+def _grouped(own: DataFrame, least: Column, distance: int) -> DataFrame:
+    """``fp, least, comp``: a row for each fingerprint of ``own``, its least row and its group."""
+    nodes = cut_lineage(own.groupBy("fp").agg(least.alias("least")))
+    found = classes(nodes.select(F.col("fp").alias("node"), "fp"), distance)
+    return nodes.join(found, nodes["fp"] == found["node"], "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("comp")
+    )
+
+
 def fingerprint_components(docs: DataFrame, distance: int = 4, n: int = 4, doc_id: str = "doc_id",
                            text: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``.
@@ -288,74 +242,27 @@ def fingerprint_components(docs: DataFrame, distance: int = 4, n: int = 4, doc_i
         with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), n=n)
         .select("doc_id", "fp")
     )
-    nodes = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = classes(nodes.select(F.col("fp").alias("node"), "fp"), distance)
-    placed = nodes.join(found, nodes["fp"] == found["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("comp")
-    )
+    placed = _grouped(own, F.min("doc_id"), distance)
     smallest = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    return own.join(placed.join(smallest, "comp").select("fp", "component_id"), "fp").select(
+    # A fingerprint, that of no words for one, may be that of a third of all rows.
+    return lookup(own, placed.join(smallest, "comp").select("fp", "component_id"), ["fp"], F.col("doc_id"), "inner").select(
         "doc_id", "fp", "component_id"
     )
 
 
-def similar_enough(pairs: DataFrame, texts: DataFrame, similarity: float, n: int) -> DataFrame:
-    """Pairs ``a, b`` whose texts share at least ``similarity`` of their n-word shingles.
-
-    ``texts``: node and text, for each node that occurs. Texts without words are not similar to
-    anything.
-    """
-
-    @F.pandas_udf("double")
-    def jaccard(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
-            out, last, a = [], None, set()
-            for x, y in zip(left, right, strict=True):
-                if x != last:
-                    last, a = x, set(shingles(x, n))
-                b = set(shingles(y, n))
-                both = len(a & b)
-                out.append(both / (len(a) + len(b) - both) if both else 0.0)
-            yield pd.Series(out, dtype="float64")
-
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").filter(jaccard("text_a", "text_b") >= similarity).select("a", "b")
-
-
-def _only(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The row of each chosen (_node, _id); repeated rows of one id and text come once."""
-    return rows.join(chosen, ["_node", "_id"]).dropDuplicates(["_node", "_id"])
-
-
-def one_per_group(docs: DataFrame, n: int = 1, similarity: float = SIMILARITY,
-                  similarity_words: int = SIMILARITY_WORDS) -> DataFrame:
-    """``docs`` with one document of each group of copies and near copies, all columns kept.
+def one_per_group(docs: DataFrame, distance: int = 4, n: int = 4) -> DataFrame:
+    """``docs`` with one document of each group of :func:`fingerprint_components`, all columns kept.
 
-    Equal texts are a group (null texts too). Groups are joined where two texts share at
-    least ``similarity`` of their five-word shingles; the candidates share a MinHash band of the
-    same shingles, and large buckets are sorted by fingerprints of distinct words. The document with the smallest id stays; one without an id stays only if the group has no other.
-    Of repeated rows one stays. An empty table stays empty.
+    The document with the smallest id stays; one without an id stays only if the group has no other. All
+    documents without words, null texts included, are one group. Of repeated rows one stays. An empty table stays
+    empty.
     """
-    last = F.lit((1 << 63) - 1)
     rows = docs.withColumns({
-        "_node": F.xxhash64("text", F.octet_length("text")), "_id": F.coalesce(F.col("doc_id").cast("long"), last),
+        "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)),
+        "_key": F.xxhash64("text", F.octet_length("text")),  # tells rows of one id apart
     })
-    texts = rows.groupBy("_node").agg(F.min("_id").alias("_id"))
-    texts = cut_lineage(texts)
-    kept = with_fingerprint(_only(rows.select("_node", "_id", "text"), texts), n=n, distinct=True)
-    nodes = cut_lineage(with_bands(kept, n=similarity_words).select(F.col("_node").alias("node"), "_id", "fp", "bands"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut_lineage(pairs)
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct().join(texts, "_node")
-        found = _only(rows.select("_node", "_id", "text"), asked)
-        return similar_enough(pairs, found.select(F.col("_node").alias("node"), "text"), similarity, similarity_words)
-
-    found = classes(nodes.select("node", "fp", "bands"), None, verify=verify)
-    groups = nodes.join(found, "node", "left").select(
-        F.coalesce("component", "node").alias("group"), F.col("node").alias("_node"), "_id"
+    own = cut_lineage(with_fingerprint(rows.select("_id", "_key", "text"), n=n).select("_id", "_key", "fp"))
+    stays = _grouped(own, F.min(F.struct("_id", "_key")), distance).groupBy("comp").agg(F.min("least").alias("least"))
+    return rows.join(stays.select("least._id", "least._key"), ["_id", "_key"]).dropDuplicates(["_id", "_key"]).select(
+        *docs.columns
     )
-    stays = groups.groupBy("group").agg(F.min_by("_node", F.struct("_id", "_node")).alias("_node"),
-                                        F.min("_id").alias("_id"))
-    return _only(rows, stays.select("_node", "_id")).select(*docs.columns)

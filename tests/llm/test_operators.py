@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
@@ -243,52 +244,53 @@ def test_fingerprint_components_odd_input(odd, nothing):
     assert {r.component_id for r in rows if r.fp == 0} == {2} and {r.component_id for r in rows if r.doc_id in (1, 5)} == {1}
 
 
-def test_one_per_group(spark, odd, nothing):
-    assert simhash.one_per_group(nothing).count() == 0
-    kept = simhash.one_per_group(odd)
-    assert kept.columns == odd.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 7]
+def _plain_fingerprint(text):
+    """Bit by bit, from the definition."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    if not words:
+        return 0
+    grams = [" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    value = sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+    return value - (1 << 64) if value >> 63 else value
 
 
-def test_near_copies_go(spark):
+def _near_texts():
     pick = random.Random(1)
-    words = [f"w{i}" for i in range(3000)]
-    base = [[pick.choice(words) for _ in range(300)] for _ in range(20)]
+    words = [f"W{i}" for i in range(3000)] + ["Ünï", "\u00a0x", "a\u3000b"]
     rows = []
-    for i, text in enumerate(base):
+    for i in range(30):
+        text = [pick.choice(words) for _ in range(pick.choice([0, 1, 3, 4, 5, 40, 300, 1500]))]
         for c in range(5):
             copy = list(text)
-            for at in pick.sample(range(300), 0 if c == 0 else 2):
+            for at in pick.sample(range(len(text)), min(len(text) // 100, c)):
                 copy[at] = pick.choice(words)
-            rows.append((i * 5 + c, " ".join(copy)))
-    kept = simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id // 5 for r in kept} == set(range(20)) and len(kept) <= 22
-
-
-def test_near_copies_of_all_lengths_and_similarities(spark):
-    """Copies with words added or changed, down to 0.8 of the shingles; brute force knows the similarity."""
-    pick = random.Random(5)
-    vocabulary = [f"w{i}" for i in range(5000)]
-    rows, due = [], {}
-    for size in (30, 100, 300):
-        for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.97)):
-            made = 0
-            while made < 25:
-                text = [pick.choice(vocabulary) for _ in range(size)]
-                copy = list(text)
-                if made % 2:
-                    copy += [pick.choice(vocabulary) for _ in range(pick.randint(1, size // 4))]
-                else:
-                    for at in pick.sample(range(size), pick.randint(1, max(1, size // 40))):
-                        copy[at] = pick.choice(vocabulary)
-                a, b = (set(simhash.shingles(" ".join(x), 5)) for x in (text, copy))
-                if low <= len(a & b) / len(a | b) < high or (not made % 2 and size == 30):
-                    at = len(rows)
-                    rows += [(at, " ".join(text)), (at + 1, " ".join(copy))]
-                    due[at] = len(a & b) / len(a | b) >= 0.8
-                    made += 1
-    kept = {r.doc_id for r in simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(at in kept and (at + 1 not in kept) == gone for at, gone in due.items())
+            rows.append((i * 5 + c, pick.choice([" ", "\t", "\n"]).join(copy)))
+    return [*rows, (1000, None), (1001, "\x0b \x0c")]
+
+
+def test_fingerprints_and_groups_from_texts(spark):
+    """Fingerprints, classes and the kept documents against brute force over the texts."""
+    rows = _near_texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    fps = {i: _plain_fingerprint(t) for i, t in rows}
+    root = _linked(set(fps.values()), 4)
+    least = {}
+    for i in sorted(fps):
+        least.setdefault(root[fps[i]], i)
+    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.fingerprint_components(docs).collect()}
+    assert got == {i: (f, least[root[f]]) for i, f in fps.items()}
+    assert sorted(r.doc_id for r in simhash.one_per_group(docs).collect()) == sorted(least.values())
+    assert len(least) < len({t for _, t in rows})
+
+
+def test_one_per_group_odd_input(spark, odd, nothing):
+    assert simhash.one_per_group(nothing).count() == 0
+    kept = simhash.one_per_group(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 7]
+    same_id = spark.createDataFrame([(1, "a b c d e"), (1, "v w x y z"), (None, "p q r s"), (None, None)], "doc_id long, text string")
+    assert simhash.one_per_group(same_id).count() == 4
 
 
 def test_components(spark):
@@ -476,7 +478,11 @@ def test_pipeline(spark, sf):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     assert sum(labels.get(i, 1) == 0 for i in got["quality"]) <= 2
     assert sum(i in got["quality"] for i, q in labels.items() if q == 1) / sum(labels.values()) > 0.97
-    assert len({texts[i] for i in got["near_dedup"]}) == len(got["near_dedup"])
+    fps = {i: _plain_fingerprint(texts[i]) for i in got["quality"]}
+    root, least = _linked(set(fps.values()), 4), {}
+    for i in sorted(fps):
+        least.setdefault(root[fps[i]], i)
+    assert sorted(got["near_dedup"]) == sorted(least.values())
     items = [decontaminate.item_words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     windows = {tuple(w[i:i + 10]) for w in items for i in range(len(w) - 9)}
 
