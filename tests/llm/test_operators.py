@@ -293,7 +293,9 @@ def test_one_per_group_odd_input(spark, odd, nothing):
     assert simhash.one_per_group(same_id).count() == 4
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot_rows", [components.HOT_ROWS, 100])
+def test_components(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(components, "HOT_ROWS", hot_rows)
     pick = random.Random(2)
     chain = [(i, i + 1) for i in range(100, 400)]
     edges = chain + [(1000, i) for i in range(1001, 1300)] + [(7, 7), (pick.randint(2000, 2005), 2006)]
