@@ -146,3 +146,22 @@ def key_violations(df: DataFrame, key: list[str]) -> DataFrame:
     for name in key:
         missing = missing | F.col(name).isNull()
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows")).filter((F.col("n_rows") > 1) | missing)
+
+
+def check_key(df: DataFrame, key: list[str]) -> None:
+    """Raise if the key is null or repeated somewhere.
+
+    Rows are counted by a hash of the key, which is summed before the shuffle and 8 bytes wide; the keys themselves are
+    looked at only where a hash comes more than once.
+    """
+    missing = F.lit(False)
+    for name in key:
+        missing = missing | F.col(name).isNull()
+    hashed = df.select(F.xxhash64(*key).alias("h"), missing.cast("int").alias("missing"))
+    suspects = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("missing").alias("missing")).filter("n > 1 or missing = 1")
+    if suspects.isEmpty():
+        return
+    asked = df.select(*key, F.xxhash64(*key).alias("h")).join(suspects.select("h"), "h", "left_semi")
+    broken = key_violations(asked, key).select(*key).head(5)
+    if broken:
+        raise ValueError(f"{', '.join(key)} is not a key, for example {[tuple(row) for row in broken]}")

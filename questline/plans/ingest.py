@@ -69,12 +69,13 @@ def ingest_history(
     """All history tables up to the unified one, which is returned.
 
     Each table is written before the next reads it, so the dedupe runs once and no model
-    call is repeated when executors are lost later. ``model_extraction`` asks the text
+    call is repeated when executors are lost later. A ``statement_id`` that is null or repeated after the dedupe ends the job
+    before its table is replaced. ``model_extraction`` asks the text
     provider for table names instead of reading them out of the statement. ``replies`` is a folder in which replies
     are kept by request, so that a later run asks only what is new.
     """
     # The kept run of each shape with its history columns; the masked text is a view on it.
-    unique = store.save(history.latest_per_shape(log, keep=log.columns), names.UNIQUE_HISTORY)
+    unique = store.save(history.latest_per_shape(log, keep=log.columns), names.UNIQUE_HISTORY, key=["statement_id"])
     runs = history.with_next_run(unique.select(*log.columns))
     runs = store.save(history.drop_reruns(runs, threshold, similarity), names.DISTINCT_RUNS)
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from questline.operators.catalog import check_key
+from questline.session import cut_lineage
 from questline.sources.published import publish, read_published
 from questline.sources.tables import save_table
 
@@ -40,9 +42,18 @@ class Store:
     root: str | None = None
     schema: str | None = None
 
-    def save(self, df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
+    def save(self, df: DataFrame, name: str, mode: str = "overwrite", key: list[str] | None = None) -> DataFrame:
+        """Write and return a table; with ``key``, rows for which it is no key are an error.
+
+        Below ``root`` the written version is checked before it is published, from its key columns alone. In a schema the
+        rows are checked before they are written.
+        """
         if self.root is not None:
-            return publish(df, os.path.join(self.root, name), mode)
+            audit = None if key is None else lambda rows: check_key(rows, key)
+            return publish(df, os.path.join(self.root, name), mode, audit)
+        if key is not None:
+            df = cut_lineage(df)
+            check_key(df, key)
         return save_table(df, f"{self.schema}.{name}", mode)
 
     def read(self, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ reads. Old versions stay until :func:`drop_old` is called.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,25 @@ def _files(spark: SparkSession, path: str):
     return context, lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder, name = path.rsplit("/", 1)
+    context, at = _files(spark, folder)
+    return context.util().exists(at(name))
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it isn't there."""
+    if not exists(spark, path):
+        return []
+    context, _ = _files(spark, path)
+    return [status.getPath().getName() for status in context.util().listStatus(spark._jvm.org.apache.hadoop.fs.Path(path))]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    context, _ = _files(spark, path)
+    context.delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 def current(spark: SparkSession, path: str) -> str | None:
     """Folder of the table's current version; None if nothing has been published."""
     context, at = _files(spark, path)
@@ -35,10 +55,12 @@ def current(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def publish(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+def publish(df: DataFrame, path: str, mode: str = "overwrite",
+            audit: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Write ``df`` as the new version of the table and return it.
 
     ``append`` adds the rows to the current version as a new one; ``errorifexists`` fails if there is one.
+    ``audit`` gets the written version before readers do; if it raises, they keep the one before.
     """
     spark = df.sparkSession
     now = current(spark, path)
@@ -49,6 +71,8 @@ def publish(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     version = uuid.uuid4().hex
     rows = spark.read.parquet(now).unionByName(df) if mode == "append" and now is not None else df
     rows.write.parquet(f"{path}/{_VERSIONS}/{version}")
+    if audit is not None:
+        audit(spark.read.parquet(f"{path}/{_VERSIONS}/{version}"))
     context, at = _files(spark, path)
     jvm = spark._jvm
     flags = jvm.java.util.EnumSet.of(jvm.org.apache.hadoop.fs.CreateFlag.CREATE)

@@ -10,7 +10,8 @@ from questline.plans import answer, ingest, train
 from questline.plans import store as names
 from questline.plans.store import Store
 from questline.sources.tables import preview_json_lines, save
-from questline.streaming.refresh import read_index, refresh
+from questline.sources.published import current
+from questline.streaming.refresh import drop_merged, read_index, refresh, runs
 
 
 def test_one_bad_row_fails_alone(spark):
@@ -175,10 +176,45 @@ def test_refresh_is_incremental_and_replay_safe(spark, tmp_path):
     assert go() == {"a": ("newer", 1, 8), "b": ("two", 0, 8)}
     land(("b", "three", 2), ("a", "late old", 0))
     want = {"a": ("newer", 1, 8), "b": ("three", 2, 8)}
-    assert go() == want and sorted(os.listdir(index)) == ["batch_id=0", "batch_id=1"]
+    assert go() == want and runs(spark, index) == [(0, 1)]
     assert go() == want
+    written = sorted(os.listdir(index))
     # The last batch fails after its write: its commit is missing, so it runs again.
     for name in ("1", ".1.crc"):
         os.remove(f"{progress}/commits/{name}")
-    assert go() == want and sorted(os.listdir(index)) == ["batch_id=0", "batch_id=1"]
-    assert spark.read.parquet(index).count() == 4
+    before = current(spark, f"{index}/run-0-1")
+    assert go() == want and sorted(os.listdir(index)) == written and current(spark, f"{index}/run-0-1") == before
+    with pytest.raises(ValueError):
+        go(str(tmp_path / "other"))
+
+
+def test_index_stays_in_levels_and_forgets_deleted_keys(spark, tmp_path):
+    landing, index, progress = (str(tmp_path / n) for n in ("landing", "index", "progress"))
+    calls = enrich.hashed_words_provider(8)
+    shape, want = "k int, t string, v int, gone boolean", {}
+    rows = []
+    for v in range(13):
+        for k in {v, v // 2, 3}:
+            gone = (k + v) % 5 == 0
+            rows.append((k, f"text {k} {v}", v, gone))
+            want[k] = None if gone else (f"text {k} {v}", v)
+    for v in range(13):
+        spark.createDataFrame([r for r in rows if r[2] == v], shape).coalesce(1).write.mode("append").parquet(landing)
+    refresh(spark, landing, shape, index, progress, "k", "t", "v", calls, files_per_batch=1, deleted="gone")
+    live = runs(spark, index)
+    assert live == [(0, 7), (8, 11), (12, 12)]
+    got = read_index(spark, index, "k", "v", "gone")
+    assert got.columns == ["k", "v", "t", "embedding", "embedding_error"]
+    expected = {k: x for k, x in want.items() if x}
+    assert len(expected) < len(want)
+    vectors = {k: calls()([x[0]])[0] for k, x in expected.items()}
+    found = {r["k"]: ((r["t"], r["v"]), r["embedding"]) for r in got.collect()}
+    assert {k: x[0] for k, x in found.items()} == expected
+    assert all(np.allclose(found[k][1], vectors[k]) for k in vectors)
+    assert drop_merged(spark, index) > 0 and runs(spark, index) == live
+    assert read_index(spark, index, "k", "v", "gone").count() == len(expected)
+    # A late row of an older version does not bring a deleted key back.
+    dead = next(k for k, x in want.items() if x is None)
+    spark.createDataFrame([(dead, "late", -1, False)], shape).write.mode("append").parquet(landing)
+    refresh(spark, landing, shape, index, progress, "k", "t", "v", calls, deleted="gone")
+    assert {r["k"] for r in read_index(spark, index, "k", "v", "gone").collect()} == set(expected)

@@ -55,3 +55,12 @@ def test_broken_pages_are_set_aside(spark, tmp_path):
     with pytest.raises(ValueError, match="3 of 12"):
         ingest.land_history(store, str(tmp_path / "in"))
     assert store.read(names.HISTORY).count() == 9
+
+
+def test_a_table_without_its_key_is_not_published(spark, tmp_path):
+    store = Store(spark, root=str(tmp_path))
+    store.save(spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int"), "t", key=["k"])
+    for rows in ([("a", 1), ("a", 2)], [("a", 1), (None, 2)]):
+        with pytest.raises(ValueError, match="k is not a key"):
+            store.save(spark.createDataFrame(rows, "k string, n int"), "t", key=["k"])
+        assert {tuple(r) for r in store.read("t").collect()} == {("a", 1), ("b", 2)}
