@@ -6,22 +6,33 @@ table tells how far the search may move on when a block ends here, the words tha
 pattern select the few patterns to test, and direct comparison confirms an occurrence.
 Patterns of one length form one table.
 
-The benchmark is searched in blocks of about BLOCK_CHARS characters and BLOCK_ITEMS items at most, so that what
-is sent to the executors is bounded; each block's search passes over all documents.
+Equal item texts are one item with several names. The benchmark is searched in blocks of at most BLOCK_CHARS
+characters and BLOCK_ITEMS texts, names counted too (a longer single item is a block of its own). One block at a time is
+in the driver and with the executors. A benchmark of one block is searched in the pass that reads
+the documents; of more blocks, each writes its hits, by the documents' texts, before the next is fetched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from questline.operators.lookup import lookup
+from questline.session import cut_lineage, new_path
+
 WINDOW = 10
 BLOCK_ITEMS = 50_000
 BLOCK_CHARS = 64 * 1024 * 1024
 
+SPANS = "array<struct<start:int,end:int>>"
+FOUND = f"n_words long, spans {SPANS}, items array<string>"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # as item_words, before A-Z are lower-cased
+
 # Bytes that are no part of a word turn into blanks, A-Z into a-z; bytes of other scripts stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -77,16 +88,27 @@ def tables(items: list[tuple[int, str]]) -> list[Table]:
     return [by_length[length] for length in sorted(by_length)]
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFrame, int]:
-    """``item, text, block``, and the number of blocks: whole items are dealt out by hash, to twice
-    as many blocks as the bounds ask for.
-    """
-    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).filter(
-        F.col("text").isNotNull()
-    )
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("c")).first()
-    count = 1 + max(size["n"] // (BLOCK_ITEMS // 2), (size["c"] or 0) // (BLOCK_CHARS // 2))
-    return rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(count)).cast("int")), int(count)
+Items = list[tuple[list[str], str]]  # names and text
+
+
+def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """``text, names, size``: each text once, with the sorted names of its items."""
+    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
+    grouped = rows.filter(F.col("text").isNotNull()).groupBy("text").agg(F.sort_array(F.collect_set("item")).alias("names"))
+    return cut_lineage(grouped.withColumn("size", F.length("text") + F.length(F.array_join("names", ",")).cast("long")))
+
+
+def _blocks(items: DataFrame, level: int = 0) -> Iterator[Items]:
+    """Blocks within the bounds, fetched one by one: what is too large is dealt out by a hash, and its parts again."""
+    total = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("c")).first()
+    if total["n"] <= BLOCK_ITEMS and (total["c"] <= BLOCK_CHARS or total["n"] == 1):
+        if total["n"] or not level:
+            yield [(row["names"], row["text"]) for row in items.collect()]
+        return
+    parts = 1 + max(2 * total["n"] // BLOCK_ITEMS, 2 * total["c"] // BLOCK_CHARS)  # half full on average
+    part = F.pmod(F.xxhash64(F.lit(level), "text"), F.lit(parts))
+    for number in range(parts):
+        yield from _blocks(items.filter(part == number), level + 1)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text",
@@ -98,28 +120,48 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     Repeated items and repeated rows change nothing and get a row each. An empty benchmark
     hits nothing.
     """
-    rows, count = _blocks(benchmark, item_id, item_text)
-    found = docs
-    for block in range(count):
-        items = [(row["item"] or "", row["text"]) for row in rows.filter(F.col("block") == block).collect()]
-        found = found.withColumn(f"_hits{block}", _search(docs, items)(F.col(text)))
-    blocks = [F.col(f"_hits{block}") for block in range(count)]
-    merged = F.struct(
-        F.col("_hits0.n_words").alias("n_words"),
-        F.flatten(F.array(*[b["spans"] for b in blocks])).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.array(*[b["items"] for b in blocks])))).alias("items"),
-    )
+    blocks = _blocks(_items(benchmark, item_id, item_text))
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        found = docs.withColumn("_merged", _search(_shipped(docs, block))(F.col(text)))
+    else:
+        found = _joined(docs, F.col(text), chain([block, following], blocks))
     extra = ("n_words", "n_hit", "items", "spans")
-    out = found.withColumn("_merged", merged).select(*[c for c in docs.columns if c not in extra], "_merged.*")
-    if count > 1:
-        out = out.withColumn("spans", _union(F.col("spans")))
+    out = found.select(*[c for c in docs.columns if c not in extra], "_merged.*")
     return out.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]))
 
 
+def _joined(docs: DataFrame, text: Column, blocks: Iterable[Items]) -> DataFrame:
+    """``docs`` with the hits of all blocks as ``_merged``.
+
+    A block's hits are kept by the SHA-256 of the text they are in, equal texts once, and its
+    broadcast goes before the next block is fetched. They are joined back to all documents, texts that many of these share
+    spread over tasks.
+    """
+    spark = docs.sparkSession
+    path = new_path(spark, "hits")
+    key = F.sha2(text.cast("binary"), 256)
+    for block in blocks:
+        shipped = _shipped(docs, block)
+        hits = docs.select(key.alias("_key"), _search(shipped)(text).alias("_hit")).filter(F.size("_hit.spans") > 0)
+        hits.groupBy("_key").agg(F.any_value("_hit").alias("_hit")).write.mode("append").parquet(path)
+        shipped.destroy()
+    hits = spark.read.schema(f"_key string, _hit struct<{FOUND}>").parquet(path).groupBy("_key").agg(
+        _union(F.flatten(F.collect_list("_hit.spans"))).alias("_spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_hit.items")))).alias("_items"),
+    )
+    found = lookup(docs.withColumn("_key", key), cut_lineage(hits), ["_key"], F.spark_partition_id())
+    return found.withColumn("_merged", F.struct(
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
+        F.coalesce("_spans", F.array().cast(SPANS)).alias("spans"),
+        F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
+    ))
+
+
 def _union(spans):
     """Sorted spans with overlapping and touching ones made one."""
     ordered = F.array_sort(spans)
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+    empty = F.array().cast(SPANS)
     return F.aggregate(ordered, empty, lambda done, s: F.when(
         (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]),
         F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
@@ -128,14 +170,15 @@ def _union(spans):
     ).otherwise(F.concat(done, F.array(s))))
 
 
-def _search(docs: DataFrame, items: list[tuple[str, str]]):
-    shipped = docs.sparkSession.sparkContext.broadcast(items)
+def _shipped(docs: DataFrame, items: Items) -> Broadcast:
+    return docs.sparkSession.sparkContext.broadcast(items)
+
 
-    @F.pandas_udf("n_words long, spans array<struct<start:int,end:int>>, items array<string>")
+def _search(shipped: Broadcast):
+    @F.pandas_udf(FOUND)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = sorted({name for name, _ in shipped.value})
-        number = {name: i for i, name in enumerate(names)}
-        searched = tables([(number[name], text) for name, text in shipped.value])
+        names = [of for of, _ in shipped.value]
+        searched = tables([(number, text) for number, (_, text) in enumerate(shipped.value)])
         for texts in batches:
             out = []
             for text in texts:
@@ -151,7 +194,7 @@ def _search(docs: DataFrame, items: list[tuple[str, str]]):
                         spans[-1][1] = max(spans[-1][1], end)
                     else:
                         spans.append([start, end])
-                out.append((len(words), [{"start": s, "end": e} for s, e in spans], sorted(names[i] for i in got)))
+                out.append((len(words), [{"start": s, "end": e} for s, e in spans], sorted({name for i in got for name in names[i]})))
             yield pd.DataFrame(out, columns=["n_words", "spans", "items"])
 
     return run
