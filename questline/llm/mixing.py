@@ -3,8 +3,9 @@
 A source's target weight and its present size give the mean number of times each of its
 documents should appear. A document's own number is drawn from the Poisson distribution with
 that mean by inverting it at a hash of the document and a seed, so the draw needs no state, no
-order and no second pass, and a retried task draws the same. Documents are then exploded by
-their number and shuffled globally.
+order and no second pass, and a retried task draws the same. The distribution function is tabled at
+some numbers only, as many as lie between two of them, and summed on from there for each document. Documents are then
+exploded by their number, in chunks, and shuffled globally.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from questline.llm.common import look_up
 SEED = "mix-1"
 RANGE = 12.0       # standard deviations around the mean that the distribution is tabled for
 HEX_DIGITS = 13    # of MD5 for a uniform number: 52 bits
+CHUNK = 1000       # copies of a document that are made in one go
 
 # Production weights: the share of the mix in UTF-8 bytes. Other sources share the rest by size;
 # what nobody is there for goes to the sources that occur, in proportion to their shares.
@@ -38,21 +40,46 @@ def log_factorial(k: Column) -> Column:
     return F.when(k <= 20, small).otherwise(series)
 
 
+def chance(k: Column, mean: Column) -> Column:
+    """The Poisson probability of ``k``."""
+    return F.exp(k * F.log(mean) - mean - log_factorial(k))
+
+
 def poisson_table(mean: Column) -> Column:
-    """``first`` number and the distribution function from it on, as an array.
+    """``first`` number, ``stride``, and ``upto``: the distribution function at the end of each stride from ``first`` on.
 
-    Below ``first`` lies less than any uniform number of 52 bits. The table's length grows with
-    the root of the mean.
+    Below ``first`` lies less than any uniform number of 52 bits. There are as many strides as numbers in one, so
+    the table has some 5 mean^(1/4) entries and takes time proportional to the root of the mean.
     """
-    spread = F.ceil(RANGE * F.sqrt(mean) + 30).cast("int")
-    low = F.greatest(F.floor(mean).cast("int") - spread, F.lit(0))
-    numbers = F.sequence(low, F.floor(mean).cast("int") + spread)
-    chance = F.transform(numbers, lambda k: F.exp(k * F.log(mean) - mean - log_factorial(k)))
-    running = F.aggregate(
-        chance, F.array().cast("array<double>"),
-        lambda done, p: F.concat(done, F.array(p + F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)))),
-    )
-    return F.struct(low.alias("first"), running.alias("upto"))
+    spread = F.ceil(RANGE * F.sqrt(mean) + 30).cast("long")
+    low = F.greatest(F.floor(mean).cast("long") - spread, F.lit(0).cast("long"))
+    stride = F.ceil(F.sqrt(F.floor(mean).cast("long") + spread - low + 1)).cast("long")
+
+    def add(done: Column, number: Column) -> Column:
+        start = low + number * stride
+        mass = F.aggregate(F.sequence(start, start + stride - 1), F.lit(0.0), lambda sum_, k: sum_ + chance(k, mean))
+        return F.concat(done, F.array(mass + F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0))))
+
+    upto = F.aggregate(F.sequence(F.lit(0).cast("long"), stride - 1), F.array().cast("array<double>"), add)
+    return F.struct(low.alias("first"), stride.alias("stride"), upto.alias("upto"))
+
+
+def poisson_inverse(table: Column, mean: Column, u: Column) -> Column:
+    """The least number whose distribution function reaches ``u``; null where the table is null."""
+    upto, stride = table["upto"], table["stride"]
+    u = F.least(u, F.element_at(upto, -1))  # sums may end a rounding error below 1
+    before = F.size(F.filter(upto, lambda reached: reached < u))
+    start = table["first"] + before * stride
+    done = F.struct(
+        F.when(before > 0, F.try_element_at(upto, before)).otherwise(0.0).alias("reached"), F.lit(0).cast("long").alias("n"))
+
+    def step(at: Column, k: Column) -> Column:
+        reached = at["reached"] + chance(k, mean)
+        return F.struct(reached.alias("reached"), (at["n"] + (reached < u).cast("long")).alias("n"))
+
+    # The stride's last number is certain once the others are ruled out.
+    walked = F.aggregate(F.sequence(start, start + F.greatest(stride - 2, F.lit(0))), done, step)["n"]
+    return F.when(table.isNotNull(), start + F.least(walked, stride - 1))
 
 
 def rates(docs: DataFrame, weights: dict[str, float], source: str, size: Column, total: float | None) -> DataFrame:
@@ -104,9 +131,23 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
         "_content": F.xxhash64(text), "_u": uniform(F.col(key), F.xxhash64(text)),
     })
     drawn = look_up(rows, tables, "_source", key).withColumn(
-        "copies",
-        F.coalesce(F.col("_table.first") + F.size(F.filter("_table.upto", lambda c: c < F.col("_u"))), F.lit(0)).cast("int"),
-    ).filter("copies > 0").drop("_source", "_table", "_u")
-    copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        "copies", F.coalesce(poisson_inverse(F.col("_table"), F.col("rate"), F.col("_u")), F.lit(0)).cast("int"),
+    ).filter("copies > 0").drop("_table", "_u")
+    last = F.expr(f"(copies - 1) div {CHUNK}").cast("int")
+    chunks = drawn.withColumn("_chunk", F.explode(F.sequence(F.lit(0), last)))
+    often = _often_repeated(tables, weights)
+    if often:  # few documents with many copies each: their chunks are dealt to all tasks
+        among = F.col("_source").isin(often)
+        chunks = chunks.filter(~among).unionByName(chunks.filter(among).repartition("_chunk", key, "_content"))
+    chunks = chunks.withColumn("_from", F.col("_chunk") * CHUNK + 1)
+    copies = chunks.withColumn(
+        "copy_no", F.explode(F.sequence("_from", F.least("copies", F.col("_from") + (CHUNK - 1))))
+    ).drop("_source", "_chunk", "_from")
     placed = copies.withColumn("place", uniform(F.col(key), F.col("_content"), F.col("copy_no"), F.lit("place"))).drop("_content")
     return placed.repartitionByRange("place", key).sortWithinPartitions("place", key, "copy_no")
+
+
+def _often_repeated(tables: DataFrame, weights: dict[str, float]) -> list[str]:
+    """Named sources whose documents get more than CHUNK copies on average: at most as many as there are weights."""
+    rows = tables.filter(F.col("_source").isin(list(weights)) & (F.col("rate") > CHUNK)).select("_source") if weights else None
+    return [row["_source"] for row in rows.collect()] if rows is not None else []
