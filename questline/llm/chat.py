@@ -28,7 +28,7 @@ CONTROLS = (
 )
 ASSISTANT = "assistant"
 
-# What layouts call the roles.
+# What layouts with a list of turns call the roles. A record that is a turn keeps its own.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
 
@@ -108,7 +108,7 @@ def turns_of(record: object, layout: Layout) -> list[tuple[str, str]]:
             if layout.each is None and out and out[-1][0] == name:
                 out[-1] = (name, f"{out[-1][1]}\n\n{text}")  # an instruction and its input are one turn
             else:
-                out.append((ROLES.get(name, name), text))
+                out.append((ROLES.get(name, name) if layout.each else name, text))
     return out
 
 
