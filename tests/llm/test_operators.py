@@ -39,6 +39,7 @@ def test_all_are_registered():
 
 LAYOUTS = {
     '{"role": "user", "text": "a"}': [("user", "a")],
+    '{"role": "gpt", "text": "a"}': [("gpt", "a")],
     '{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": null}]}': [("user", "a"), ("assistant", "")],
     '{"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}], "id": 3}': [("user", "a"), ("assistant", "b")],
     '{"prompt": "a", "response": "b"}': [("user", "a"), ("assistant", "b")],
@@ -80,14 +81,38 @@ def test_chat_digests_with_nulls(spark):
 # --- 2 ---------------------------------------------------------------------------------------
 
 def test_poisson_inversion(spark):
-    means = [1e-6, 0.3, 1.0, 7.5, 60.0, 900.0]
-    rows = spark.createDataFrame([(m,) for m in means], "m double").select("m", mixing.poisson_table(F.col("m")).alias("t"))
-    for r in rows.collect():
-        upto = np.array(r.t.upto)
-        assert abs(upto[-1] - 1) < 1e-9
-        for k in (r.t.first, int(r.m), int(r.m + math.sqrt(r.m))):
-            exact = math.fsum(math.exp(j * math.log(r.m) - r.m - math.lgamma(j + 1)) for j in range(k + 1))
-            assert abs(upto[k - r.t.first] - exact) < 1e-9
+    means, us = [1e-6, 0.3, 1.0, 7.5, 60.0, 900.0, 4e5], [1e-15, 0.003, 0.2, 0.5, 0.77, 0.999, 1 - 1e-12, 1 - 2.0 ** -53]
+    pairs = spark.createDataFrame([(m, u) for m in means for u in us], "m double, u double")
+    rows = pairs.select("m", "u", mixing.poisson_table(F.col("m")).alias("t")).select(
+        "m", "u", "t", mixing.poisson_inverse(F.col("t"), F.col("m"), F.col("u")).alias("k")).collect()
+
+    def upto(m, k):
+        low = max(0, int(m - 40 * math.sqrt(m)))
+        return math.fsum(math.exp(j * math.log(m) - m - math.lgamma(j + 1)) for j in range(low, k + 1))
+
+    for r in rows:
+        assert abs(r.t.upto[-1] - 1) < 1e-9 and len(r.t.upto) == r.t.stride
+        for i in (0, len(r.t.upto) // 2):
+            assert abs(r.t.upto[i] - upto(r.m, r.t.first + (i + 1) * r.t.stride - 1)) < 1e-9
+        assert upto(r.m, r.k) > r.u - 1e-9 and (r.k == 0 or upto(r.m, r.k - 1) < r.u + 1e-9)
+
+
+def test_huge_means_end_soon(spark):
+    t = spark.range(1).select(mixing.poisson_table(F.lit(1e9) + F.col("id")).alias("t")).first().t
+    assert len(t.upto) < 2000 and abs(t.upto[-1] - 1) < 1e-6
+
+
+def test_many_copies_are_made_in_chunks(spark):
+    docs = spark.createDataFrame([(1, "0123456789", "rare"), (2, "9876543210", "rare"), *[(i, "0123456789", "x") for i in range(3, 400)]],
+                                 "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, {"rare": 0.5}, total=40_000.0)
+    got = mixed.filter("source = 'rare'").groupBy("doc_id", "copies").agg(
+        F.count("*").alias("n"), F.countDistinct("copy_no").alias("d"), F.min("copy_no").alias("a"), F.max("copy_no").alias("b")).collect()
+    assert len(got) == 2
+    assert all(abs(r.copies - 909) < 200 and r.n == r.d == r.b == r.copies and r.a == 1 for r in got)
+    more = mixing.mix(docs, {"rare": 0.5}, total=400_000.0).filter("source = 'rare'").groupBy("doc_id", "copies").agg(
+        F.count("*").alias("n"), F.countDistinct("copy_no").alias("d"), F.max("copy_no").alias("b")).collect()
+    assert len(more) == 2 and all(abs(r.copies - 9091) < 600 and r.n == r.d == r.b == r.copies for r in more)
 
 
 def test_mix_meets_weights(spark):
@@ -432,15 +457,17 @@ def test_every_ngram_has_its_own_count(spark, monkeypatch, hot_bits):
 
 # --- 10 --------------------------------------------------------------------------------------
 
-def test_search_equals_direct_comparison(spark, monkeypatch):
+@pytest.mark.parametrize("block_items", [decontaminate.BLOCK_ITEMS, 4, 1])
+def test_search_equals_direct_comparison(spark, monkeypatch, block_items):
     pick = random.Random(4)
     words = ["a", "b", "c1", "É"]
-    items = [" ".join(pick.choices(words, k=pick.choice([1, 2, 3, 9, 10, 12]))) for _ in range(8)] + [None, "", "a b c1 a b"]
-    docs = [" ".join(pick.choices(words, k=pick.randint(0, 80))).upper() for _ in range(60)] + [None, ""]
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 4)
+    items = [" ".join(pick.choices(words, k=pick.choice([1, 2, 3, 9, 10, 12]))) for _ in range(8)] + [None, "", "a b c1 a b", "a b c1 a b"]
+    docs = [" ".join(pick.choices(words, k=pick.randint(0, 80))).upper() for _ in range(60)] + [None, "", None, "A b C1 a b"] * 2
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block_items)
     rows = decontaminate.contamination(
         spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"),
         spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(docs)))
     for r in rows:
         w = decontaminate.item_words(r.text)
         hit, got = set(), set()
@@ -455,7 +482,9 @@ def test_search_equals_direct_comparison(spark, monkeypatch):
         assert (r.n_words, r.n_hit, r.items) == (len(w), len(hit), sorted(got))
 
 
-def test_contamination_odd_input(spark, odd, nothing):
+@pytest.mark.parametrize("block_items", [decontaminate.BLOCK_ITEMS, 1])
+def test_contamination_odd_input(spark, odd, nothing, monkeypatch, block_items):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block_items)
     items = spark.createDataFrame([(1, "four five SIX"), (1, "four five SIX"), (None, None), (2, "")], "item_id long, text string")
     assert decontaminate.contamination(nothing, items).count() == 0
     assert decontaminate.contamination(odd, items.limit(0)).filter("n_hit > 0").count() == 0
