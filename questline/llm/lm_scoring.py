@@ -1,15 +1,20 @@
 """Cross-entropy difference (Moore and Lewis, 2010).
 
-A target and a background bigram model of the same form score each document; the difference of
-their losses per token tells how much more a document is like the target texts than like the corpus.
-Words are known by 64-bit hashes and bigrams by two of them, so different n-grams don't share a
-count. The counts are tables that grow with the corpus. Only the most frequent bigrams,
-at most 2^18, are sent to all tasks; the others of each document are joined to the tables.
+A target and a background bigram model of the same form and over one vocabulary score each document; the difference
+of their losses per word tells how much more a document is like the target texts than like the corpus.
+
+* Vocabulary: the most frequent words of the corpus, at most 2^VOCABULARY_BITS; all other words are one unknown word.
+  Bigrams over it have a count each, in a table that grows with the corpus.
+* Matched: background counts are of the whole corpus, scaled to as many words as the target has, so that both models
+  are smoothed alike.
+* Out of sample: a text is scored by counts without its own and those of all texts equal to it.
+
+Equal texts are one class with a number of copies, so a text that makes up much of the corpus is read once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,186 +26,270 @@ from pyspark.sql import functions as F
 
 from questline.llm.common import arrays, words_of
 from questline.llm.model_text import cached
+from questline.operators.lookup import lookup
 from questline.session import cut_lineage
 
-WORD_BITS = 18     # at least 2^18 words share the unigrams' pseudo-counts, more where the corpus has more
-HOT_BITS = 18      # a bigram is hot from a 2^18th of all bigrams on, so there are at most 2^18 of these
-BACKOFF = 2.0      # pseudo-counts of the unigram model in a bigram's
-UNIGRAM = 0.5      # pseudo-count of every word
-HELD = 1 << 20     # bigrams a task gathers before it sums them
-START = 0          # the mark before a text's first word; no word has this hash
+VOCABULARY_BITS = 20  # at most 2^20 words have a number of their own
+HOT_BITS = 18         # a bigram is hot from a 2^18th of all bigrams on, so there are at most 2^18 of these
+BACKOFF = 2.0         # pseudo-counts of the unigram model in a bigram's
+UNIGRAM = 0.5         # pseudo-count of every word
+HELD = 1 << 20        # words a task gathers before it sums them
+START, UNKNOWN = 0, 1  # numbers of the mark before a text and of words outside the vocabulary
+PAIR_BITS = 32        # of the second word's number in the key of a bigram
+KINDS = ("target", "background")
+
+
+@dataclass(frozen=True)
+class Words:
+    """The vocabulary: sorted hashes (number i + 2), and counts by number: rows target, background."""
+
+    hashes: np.ndarray
+    own: np.ndarray     # as a word
+    before: np.ndarray  # as the word before another
+
+    @property
+    def total(self) -> np.ndarray:
+        return self.own.sum(1)
+
+    @property
+    def size(self) -> int:
+        return len(self.hashes) + 1  # the unknown word is one
 
 
 @dataclass(frozen=True)
 class Models:
-    """Losses of both models: ``rare`` has v, w, target_loss, background_loss of each bigram that isn't hot."""
+    """``pairs`` has pair, target, background of bigrams that two different texts hold and that aren't hot."""
 
-    rare: DataFrame
-    hot: np.ndarray     # sorted keys of the hot bigrams
-    losses: np.ndarray  # two rows: their losses under the target and the background model
+    words: Words
+    pairs: DataFrame
+    hot: np.ndarray         # sorted keys of the hot bigrams
+    hot_counts: np.ndarray  # rows target, background
 
 
-def _id(word: bytes) -> int:
+def _hash(word: bytes) -> int:
     h = xxhash.xxh64_intdigest(word.lower())
-    return (h - (1 << 64) if h >> 63 else h) or 1
-
+    return h - (1 << 64) if h >> 63 else h
 
-def _bigrams(text: str | None, of) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each word and of the one before it."""
-    w = np.array([START, *of(words_of(text))], dtype=np.int64)
-    return w[:-1], w[1:]
 
+def _numbered(text: str | None, of: Callable, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words before and of the words of a text."""
+    found = np.array(of(words_of(text)), dtype=np.int64)
+    at = np.minimum(np.searchsorted(hashes, found), max(len(hashes) - 1, 0))
+    known = hashes[at] == found if len(hashes) else np.zeros(len(found), dtype=bool)
+    w = np.where(known, at + 2, UNKNOWN)
+    return np.r_[START, w][:-1], w
 
-def _keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """64-bit keys of bigrams; order matters."""
-    x = np.zeros(len(v), dtype=np.uint64)
-    for part in (v, w):
-        x = (x ^ part.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-    return x.view(np.int64)
 
+def text_classes(docs: DataFrame, text: str = "text", is_target: str = "is_target") -> DataFrame:
+    """``key, sha, text, copies, targets``: one row a text, written. Null texts have none; a null mark is no target."""
+    return cut_lineage(
+        docs.filter(F.col(text).isNotNull()).groupBy(F.unhex(F.sha2(F.col(text), 256)).alias("sha")).agg(
+            F.max(text).alias("text"), F.count(F.lit(1)).alias("copies"),
+            F.sum(F.coalesce(F.col(is_target), F.lit(False)).cast("long")).alias("targets"),
+        ).withColumn("key", F.monotonically_increasing_id())
+    )
 
-def counts(docs: DataFrame, text: str, is_target: str) -> DataFrame:
-    """``v, w, target, background``: counts of all bigrams over all documents.
 
-    Background counts are of the whole corpus, target texts included. Each task sums its own
-    documents before the shuffle.
-    """
+def _summed_in_tasks(classes: DataFrame, keys: str, schema: str, one: Callable[[], Callable]) -> DataFrame:
+    """Sums of what ``one()`` finds in each text: a key array and number arrays. Each task sums its own texts first."""
+    names = [field.strip().split(" ")[0] for field in schema.split(",")]
 
-    def summed(parts: list[tuple[np.ndarray, np.ndarray, bool]]) -> pd.DataFrame:
-        v, w = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        mark = np.repeat([float(p[2]) for p in parts], [len(p[0]) for p in parts])
-        _, first, at = np.unique(_keys(v, w), return_index=True, return_inverse=True)
-        return pd.DataFrame({"v": v[first], "w": w[first], "target": np.bincount(at, mark).astype(np.int64),
-                             "background": np.bincount(at)})
+    def summed(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        ids, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        columns = [np.bincount(at, np.concatenate([p[i] for p in parts])).astype(np.int64) for i in range(1, len(names) + 1)]
+        return pd.DataFrame({keys: ids} | dict(zip(names, columns, strict=True)))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = cached(_id)
-        waiting, held = [], 0
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find, waiting, held = one(), [], 0
         for batch in batches:
-            for value, mark in zip(batch["text"], batch["mark"], strict=True):
-                v, w = _bigrams(value, of)
-                if len(w):
-                    waiting.append((v, w, bool(mark)))
-                    held += len(w)
+            for row in zip(batch["text"], batch["copies"], batch["targets"], strict=True):
+                found = find(*row)
+                if len(found[0]):
+                    waiting.append(found)
+                    held += len(found[0])
                 if held > HELD:
                     yield summed(waiting)
                     waiting, held = [], 0
         if held:
             yield summed(waiting)
 
-    return docs.select(F.col(text).alias("text"), F.col(is_target).alias("mark")).mapInPandas(
-        count, "v long, w long, target long, background long"
-    ).groupBy("v", "w").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def train(docs: DataFrame, text: str = "text", is_target: str = "is_target") -> Models:
-    """Losses of all bigrams of ``docs``. The driver gets totals and at most 2^HOT_BITS bigrams."""
-    pairs = cut_lineage(counts(docs, text, is_target))
-    sums = [F.sum(c).alias(c) for c in ("target", "background")]
-    before = cut_lineage(pairs.groupBy("v").agg(*sums))  # as the word before
-    words = cut_lineage(pairs.groupBy("w").agg(*sums))   # every word, the last of a text too
-    known = words.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(s, F.lit(0)).alias(c) for s, c in
-                                                      zip(sums, ("target", "background"), strict=True)]).first()
-    least = max(1, -(-known["background"] // (1 << HOT_BITS)))
+    rows = classes.select("text", "copies", "targets").mapInPandas(run, f"{keys} long, {schema}")
+    return rows.groupBy(keys).agg(*[F.sum(c).alias(c) for c in names])
+
+
+def count_words(classes: DataFrame) -> DataFrame:
+    """``word, target, background, target_before, background_before`` of every word, by its 64-bit hash."""
+
+    def one() -> Callable:
+        of = cached(_hash)
+
+        def find(text: str, copies: int, targets: int) -> tuple[np.ndarray, ...]:
+            words, at, n = np.unique(np.array(of(words_of(text)), dtype=np.int64), return_inverse=True, return_counts=True)
+            before = n - (np.arange(len(n)) == at[-1]) if len(n) else n  # the last word is before no other
+            return words, n * targets, n * copies, before * targets, before * copies
+
+        return find
+
+    return _summed_in_tasks(classes, "word", "target long, background long, target_before long, background_before long", one)
+
+
+def vocabulary(words: DataFrame) -> Words:
+    """The most frequent words: all from a count on, chosen so that at most 2^VOCABULARY_BITS come to the driver."""
+    step = F.floor(F.log2(F.col("background").cast("double")) * 16)  # single counts as far as 2^4, then 16 a doubling
+    least, above = None, 0
+    for row in words.groupBy(step.alias("step")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("background").alias("least")).orderBy(F.col("step").desc()).collect():
+        above += row["n"]
+        if above > 1 << VOCABULARY_BITS:
+            break
+        least = row["least"]
+    names = [*KINDS, *(f"{k}_before" for k in KINDS)]
+    totals = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
+    got = arrays(words.filter(F.col("background") >= least if least is not None else F.lit(False)))
+    order = np.argsort(got["word"])
+    counts = {c: got[c][order].astype(np.float64) for c in names}
+    # The mark comes before every first word, so all words together come as often as all words before.
+    marks = {k: totals[k] - totals[f"{k}_before"] for k in KINDS}
+    return Words(
+        got["word"][order].astype(np.int64),
+        np.stack([np.r_[0.0, totals[k] - counts[k].sum(), counts[k]] for k in KINDS]),
+        np.stack([np.r_[marks[k], totals[f"{k}_before"] - counts[f"{k}_before"].sum(), counts[f"{k}_before"]] for k in KINDS]),
+    )
 
-    def losses(rows: DataFrame) -> DataFrame:
-        # Alike at every size, so never broadcast; a frequent word's rows are dealt out as a skewed join.
-        both = rows.join(before.select("v", *[F.col(c).alias(f"_v_{c}") for c in ("target", "background")]).hint("merge"), "v")
-        both = both.join(words.select("w", *[F.col(c).alias(f"_w_{c}") for c in ("target", "background")]).hint("merge"), "w")
-        return both.select("v", "w", *[
-            loss(F.col(c), F.col(f"_v_{c}"), F.col(f"_w_{c}"), known[c], max(known["n"], 1 << WORD_BITS)).alias(f"{c}_loss")
-            for c in ("target", "background")
-        ])
 
-    got = arrays(losses(pairs.filter(F.col("background") >= least)))
-    keys = _keys(got["v"], got["w"])
-    order = np.argsort(keys)
-    return Models(losses(pairs.filter(F.col("background") < least)), keys[order],
-                  np.stack([got["target_loss"], got["background_loss"]])[:, order])
+def count_pairs(classes: DataFrame, words: Words) -> DataFrame:
+    """``pair, target, background, texts``: counts of all bigrams over all texts, and how many different texts hold each."""
+    shipped = classes.sparkSession.sparkContext.broadcast(words.hashes)
 
+    def one() -> Callable:
+        of, hashes = cached(_hash), shipped.value
 
-def loss(pair: Column, before: Column, word: Column, total: int, vocabulary: int) -> Column:
-    """-log2 of a word's chance after the one before: the bigram's, drawn towards the word's own."""
-    own = (word + UNIGRAM) / (total + UNIGRAM * vocabulary)
-    return -F.log2((pair + BACKOFF * own) / (before + BACKOFF))
+        def find(text: str, copies: int, targets: int) -> tuple[np.ndarray, ...]:
+            v, w = _numbered(text, of, hashes)
+            pairs, n = np.unique((v << PAIR_BITS) | w, return_counts=True)
+            return pairs, n * targets, n * copies, np.ones(len(n), dtype=np.int64)
 
+        return find
 
-_ROWS = pa.schema([("text_key", pa.int64()), ("v", pa.int64()), ("w", pa.int64()), ("n", pa.int32()),
-                   ("target", pa.float64()), ("background", pa.float64()), ("words", pa.int64()), ("docs", pa.int32())])
+    return _summed_in_tasks(classes, "pair", "target long, background long, texts long", one)
 
 
-def _parts(docs: DataFrame, models: Models) -> DataFrame:
-    """``text_key, v, w, n, target, background, words, docs``: what each document's losses are summed from.
+def train(classes: DataFrame) -> Models:
+    """Counts of both models over the classes of :func:`text_classes`.
 
-    One row a document has the losses of its hot bigrams (n = 0, at a random place of the join),
-    and one row each rare bigram, which has its losses still to come, n times.
+    A bigram of one text only teaches nothing about others, and that text's score leaves it out, so it is not kept.
+    """
+    words = vocabulary(cut_lineage(count_words(classes)))
+    pairs = cut_lineage(count_pairs(classes, words).filter("texts > 1").drop("texts"))
+    least = max(1, -(-int(words.total[1]) // (1 << HOT_BITS)))
+    got = arrays(pairs.filter(F.col("background") >= least))
+    order = np.argsort(got["pair"])
+    return Models(words, pairs.filter(F.col("background") < least), got["pair"][order].astype(np.int64),
+                  np.stack([got[k][order].astype(np.float64) for k in KINDS]))
+
+
+_ROWS = pa.schema([
+    ("key", pa.int64()), ("pair", pa.int64()), ("n", pa.int32()), ("mine_target", pa.int64()), ("mine_background", pa.int64()),
+    ("target", pa.float32()), ("background", pa.float32()), ("words", pa.int64()), ("target_sum", pa.float64()),
+    ("background_sum", pa.float64()),
+])
+_ROWS_DDL = ("key long, pair long, n int, mine_target long, mine_background long, target float, background float, "
+             "words long, target_sum double, background_sum double")
+
+
+def _parts(classes: DataFrame, models: Models) -> DataFrame:
+    """What each text's losses are summed from.
+
+    With c other counts of a bigram its loss is -log2(x / (h + BACKOFF)) - log2(1 + c / x), x being BACKOFF times the word's own
+    chance. One row a text (n = 0, at a random place of the join) sums the first part of all its bigrams and the second of the hot
+    ones. Every other bigram is a row with 1 / x for both models and its count in this text's class, which is taken off.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast((models.hot, models.losses))
+    words, shipped = models.words, classes.sparkSession.sparkContext.broadcast(
+        (models.words.hashes, models.words.own, models.words.before, models.hot, models.hot_counts))
+    total, size = words.total, words.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = cached(_id)
-        hot, known = shipped.value
-        place = np.random.default_rng(0)
+        of, place = cached(_hash), np.random.default_rng(0)
+        hashes, own, before, hot, hot_counts = shipped.value
+
+        def one(key: int, text: str, copies: int, targets: int) -> tuple[np.ndarray, ...]:
+            v, w = _numbered(text, of, hashes)
+            pairs, n = np.unique((v << PAIR_BITS) | w, return_counts=True)
+            first, second = pairs >> PAIR_BITS, pairs & ((1 << PAIR_BITS) - 1)
+            times = np.array([[targets], [copies]], dtype=np.float64)
+
+            def others(counts: np.ndarray, mine: np.ndarray, at: np.ndarray) -> np.ndarray:
+                ids, n_mine = np.unique(mine, return_counts=True)
+                return counts[:, at] - times * n_mine[np.searchsorted(ids, at)]
+
+            left = total - times[:, 0] * len(w)
+            scale = np.array([[1.0], [left[0] / left[1] if left[1] else 0.0]])
+            x = BACKOFF * (others(own, w, second) * scale + UNIGRAM) / (left[0] + UNIGRAM * size)
+            sums = (np.log2((others(before, v, first) * scale + BACKOFF) / x) * n).sum(1)
+            at = np.minimum(np.searchsorted(hot, pairs), max(len(hot) - 1, 0))
+            is_hot = hot[at] == pairs if len(hot) else np.zeros(len(pairs), dtype=bool)
+            if is_hot.any():
+                c = (hot_counts[:, at[is_hot]] - times * n[is_hot]) * scale
+                sums = sums - (np.log2(1 + c / x[:, is_hot]) * n[is_hot]).sum(1)
+            rest = ~is_hot
+            none, zeros = np.zeros(rest.sum()), np.zeros(rest.sum(), dtype=np.int64)
+            return (
+                np.full(len(none) + 1, key), np.r_[pairs[rest], place.integers(-(1 << 62), 0)], np.r_[n[rest], 0],
+                np.r_[n[rest] * targets, 0], np.r_[n[rest] * copies, 0],
+                np.r_[1 / x[0, rest], 0], np.r_[scale[1] / x[1, rest], 0],
+                np.r_[zeros, len(w)], np.r_[none, sums[0]], np.r_[none, sums[1]],
+            )
 
         def rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=t) for c, t in
-                                               zip(zip(*parts, strict=True), _ROWS.types, strict=True)], schema=_ROWS)
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(c).astype(t.to_pandas_dtype())) for c, t in zip(zip(*parts, strict=True), _ROWS.types, strict=True)
+            ], schema=_ROWS)
 
         for batch in batches:
             waiting, held = [], 0
-            for key, text in zip(batch["text_key"].to_numpy(), batch["text"], strict=True):
-                v, w = _bigrams(text.as_py(), of)
-                keys, first, n = np.unique(_keys(v, w), return_index=True, return_counts=True)
-                at = np.minimum(np.searchsorted(hot, keys), max(len(hot) - 1, 0))
-                is_hot = hot[at] == keys if len(hot) else np.zeros(len(keys), dtype=bool)
-                summed = known[:, at[is_hot]] @ n[is_hot] if len(hot) else np.zeros(2)
-                first, n = first[~is_hot], n[~is_hot]
-                size, anywhere = len(n), place.integers(-(1 << 62), 1 << 62, 2)
-                none = np.zeros(size)
-                waiting.append((
-                    np.full(size + 1, key), np.r_[v[first], anywhere[0]], np.r_[w[first], anywhere[1]], np.r_[n, 0],
-                    np.r_[none, summed[0]], np.r_[none, summed[1]],
-                    np.r_[none, len(w)].astype(np.int64), np.r_[none, 1].astype(np.int32),
-                ))
-                held += size + 1
+            for key, text, copies, targets in zip(*[batch[c].to_pylist() if c != "text" else batch[c]
+                                                    for c in ("key", "text", "copies", "targets")], strict=True):
+                waiting.append(one(key, text.as_py(), copies, targets))
+                held += len(waiting[-1][0])
                 if held > HELD:
                     yield rows(waiting)
                     waiting, held = [], 0
             if held:
                 yield rows(waiting)
 
-    return docs.mapInArrow(run, "text_key long, v long, w long, n int, target double, background double, words long, docs int")
+    return classes.select("key", "text", "copies", "targets").mapInArrow(run, _ROWS_DDL)
 
 
-def score(docs: DataFrame, models: Models, text: Column) -> DataFrame:
-    """``docs`` with n_words, target_loss, background_loss (bits a word) and difference, in their order.
-
-    ``docs`` are of the texts that were counted; a bigram that wasn't is an error. Low differences
-    are like the target. Texts without words, null ones included, have null losses and difference.
-    Columns of these names are replaced.
-    """
-    names = ("n_words", "target_loss", "background_loss", "difference")
-    key = F.xxhash64(text, F.octet_length(text))
-    rare = models.rare.withColumnsRenamed({"target_loss": "_target", "background_loss": "_background"})
-    parts = _parts(docs.select(key.alias("text_key"), text.alias("text")), models).join(
-        rare.hint("merge"), ["v", "w"], "left")
+def losses(classes: DataFrame, models: Models) -> DataFrame:
+    """``sha, n_words, target_loss, background_loss`` of each text, in bits a word, rounded to six digits."""
+    counts = models.pairs.withColumnsRenamed({k: f"_{k}" for k in KINDS})
+    both = _parts(classes, models).join(counts.hint("merge"), "pair", "left").filter("n = 0 or _background is not null")
 
-    def lost(known: str, rest: str) -> Column:
-        missing = (F.col("n") > 0) & F.col(rest).isNull()
-        return F.col(known) + F.when(F.col("n") == 0, 0.0).when(
-            missing, F.raise_error(F.lit("a bigram was not counted")).cast("double")).otherwise(F.col("n") * F.col(rest))
+    def lost(kind: str) -> Column:
+        others = F.col(f"_{kind}") - F.col(f"mine_{kind}")
+        return F.col(f"{kind}_sum") - F.when(F.col("n") > 0, F.col("n") * F.log2(1 + others * F.col(kind).cast("double"))).otherwise(0.0)
 
-    # Equal texts are summed together, and the means stay the same.
     words = F.sum("words")
-    sums = cut_lineage(parts.groupBy("text_key").agg(
-        (words / F.sum("docs")).cast("long").alias("n_words"),
-        F.when(words > 0, F.sum(lost("target", "_target")) / words).alias("target_loss"),
-        F.when(words > 0, F.sum(lost("background", "_background")) / words).alias("background_loss"),
-    ))
+    sums = both.groupBy("key").agg(words.alias("n_words"), *[
+        F.when(words > 0, F.round(F.sum(lost(k)) / words, 6)).alias(f"{k}_loss") for k in KINDS])
+    return cut_lineage(classes.select("key", "sha").join(sums.hint("merge"), "key").drop("key"))
+
+
+def score(docs: DataFrame, text: str = "text", is_target: str = "is_target") -> DataFrame:
+    """``docs`` with n_words, target_loss, background_loss (bits a word) and difference.
+
+    Low differences are like the target. Every text is scored by models that haven't read it: its counts and those of its
+    copies are taken off. Texts without words, null ones included, have null losses and difference; a null mark is no target.
+    Without any target, or without any other text, both models know nothing and the difference is zero. Columns of these names
+    are replaced. An empty table gives an empty one.
+    """
+    names = ("n_words", "target_loss", "background_loss", "difference")
+    classes = text_classes(docs, text, is_target)
+    known = losses(classes, train(classes))
     kept = [c for c in docs.columns if c not in names]
-    rows = docs.select(*kept, key.alias("_text_key"), F.monotonically_increasing_id().alias("_row"))
-    return rows.join(sums.withColumnRenamed("text_key", "_text_key").hint("merge"), "_text_key").orderBy("_row").select(
-        *kept, "n_words", "target_loss", "background_loss",
-        (F.col("target_loss") - F.col("background_loss")).alias("difference"),
+    rows = docs.select(*kept, F.unhex(F.sha2(F.col(text), 256)).alias("sha"))
+    # One text may be a third of all rows, which are dealt out then.
+    return lookup(rows, known, ["sha"], F.monotonically_increasing_id()).select(
+        *kept, F.coalesce("n_words", F.lit(0)).alias("n_words"), "target_loss", "background_loss",
+        F.round(F.col("target_loss") - F.col("background_loss"), 6).alias("difference"),
     )

@@ -11,10 +11,7 @@ def op9_xent_difference(spark, d):
     good = read(spark, d, "labels").filter("quality = 1 and toxic = 0").select("doc_id").distinct()
     # Labels grow with the corpus: never broadcast, and the plan is the same at every size.
     marked = docs.join(good.withColumn("is_target", F.lit(True)).hint("merge"), "doc_id", "left")
-    models = lm_scoring.train(marked.withColumn("is_target", F.coalesce("is_target", F.lit(False))))
-    return lm_scoring.score(docs, models, F.col("text")).select(
-        "doc_id", "n_words", "target_loss", "background_loss", "difference"
-    )
+    return lm_scoring.score(marked).select("doc_id", "n_words", "target_loss", "background_loss", "difference")
 
 
 QUERIES = {"op9_xent_difference": op9_xent_difference}

@@ -1,5 +1,6 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, and on odd input."""
 
+import functools
 import hashlib
 import itertools
 import json
@@ -399,60 +400,80 @@ def test_shards_are_even_runs(spark, odd, nothing):
 
 # --- 9 ---------------------------------------------------------------------------------------
 
-def test_losses_match_counts(spark):
-    docs = [("a b a b c", True), ("c c a", False), ("", False), (None, True)]
-    rows = spark.createDataFrame(docs, "text string, is_target boolean")
-    models = lm_scoring.train(rows)
-    got = lm_scoring.score(rows, models, F.col("text")).collect()
-    assert got[2].difference is None and got[3].n_words == 0
-    history, pairs = Counter(), Counter()
-    for text, _ in docs:
-        w = ["^", *(text or "").split()] if text else []
-        history.update(w[:-1])
-        pairs.update(zip(w, w[1:], strict=False))
-    total, slots = sum(history.values()), 1 << lm_scoring.WORD_BITS
-    want = []
-    for v, w in itertools.pairwise(["^", "a", "b", "a", "b", "c"]):
-        own = (history[w] + lm_scoring.UNIGRAM) / (total + lm_scoring.UNIGRAM * slots)
-        want.append(-math.log2((pairs[v, w] + lm_scoring.BACKOFF * own) / (history[v] + lm_scoring.BACKOFF)))
-    assert abs(got[0].background_loss - sum(want) / 5) < 1e-4 and got[0].difference < got[1].difference
-
-
 def test_lm_odd_input(odd, nothing):
     for docs in (odd, nothing):
         marked = docs.withColumn("is_target", F.lit(True))
-        assert lm_scoring.score(docs, lm_scoring.train(marked), F.col("text")).count() == docs.count()
+        got = lm_scoring.score(marked).collect()
+        assert len(got) == docs.count()
+        assert all((r.n_words == 0) == (r.difference is None) for r in got)
+
+
+def test_nothing_is_known_without_target(spark):
+    rows = spark.createDataFrame([("a b a", None), ("b a", False)], "text string, is_target boolean")
+    assert [r.difference for r in lm_scoring.score(rows).collect()] == [0.0, 0.0]
 
 
-@pytest.mark.parametrize("hot_bits", [0, 3, 18])
-def test_every_ngram_has_its_own_count(spark, monkeypatch, hot_bits):
-    """Losses against exact counts: more words than hash slots, one-word texts, equal texts, hot and rare bigrams."""
+@pytest.mark.parametrize("hot_bits, vocabulary_bits", [(0, 20), (3, 20), (18, 20), (3, 4)])
+def test_losses_leave_each_text_out(spark, monkeypatch, hot_bits, vocabulary_bits):
+    """Losses against exact counts of all other texts: one-word texts, copies, hot and rare bigrams, unknown words."""
     monkeypatch.setattr(lm_scoring, "HOT_BITS", hot_bits)
-    monkeypatch.setattr(lm_scoring, "WORD_BITS", 4)
+    monkeypatch.setattr(lm_scoring, "VOCABULARY_BITS", vocabulary_bits)
     pick = random.Random(9)
     docs = [(" ".join(f"w{int(pick.paretovariate(0.7))}" for _ in range(pick.randint(1, 60))), i % 3 == 0) for i in range(150)]
-    docs += [("only", False), ("Only", True)] + [docs[0]] * 20
+    docs += [("only", False), ("Only", True), docs[0], (docs[0][0], False)] + [docs[1]] * 20
     rows = spark.createDataFrame(docs, "text string, is_target boolean").repartition(3)
-    got = lm_scoring.score(rows, lm_scoring.train(rows), F.col("text")).collect()
-    word, before, pairs = ({0: Counter(), 1: Counter()} for _ in range(3))
-    for text, target in docs:
-        w = ["^", *text.lower().split()]
-        for m in ({0, 1} if target else {0}):
-            word[m].update(w[1:])
-            before[m].update(w[:-1])
-            pairs[m].update(itertools.pairwise(w))
-    size = max(len(word[0]), 1 << lm_scoring.WORD_BITS)
-
-    def want(text, m):
-        w = ["^", *text.lower().split()]
-        total = sum(word[m].values()) + lm_scoring.UNIGRAM * size
-        return sum(-math.log2((pairs[m][a, b] + lm_scoring.BACKOFF * (word[m][b] + lm_scoring.UNIGRAM) / total)
-                              / (before[m][a] + lm_scoring.BACKOFF)) for a, b in itertools.pairwise(w)) / (len(w) - 1)
-
-    assert len(got) == len(docs)
+    got = lm_scoring.score(rows).collect()
+    often = Counter(w for text, _ in docs for w in text.lower().split())
+    step = {w: math.floor(math.log2(n) * 16) for w, n in often.items()}
+    least = min(s for s in step.values() if sum(t >= s for t in step.values()) <= 1 << vocabulary_bits)
+    known = {w for w, s in step.items() if s >= least}
+
+    def numbered(text):
+        return ["^", *(w if w in known else "?" for w in text.lower().split())]
+
+    @functools.cache
+    def want(text):
+        w = numbered(text)
+        counts = []
+        for marked in (True, False):
+            own, before, pairs = Counter(), Counter(), Counter()
+            for other, target in docs:
+                if other != text and (target or not marked):
+                    o = numbered(other)
+                    own.update(o[1:])
+                    before.update(o[:-1])
+                    pairs.update(itertools.pairwise(o))
+            counts.append((own, before, pairs))
+        words = sum(counts[0][0].values())
+        out = []
+        for own, before, pairs in counts:
+            scale = words / sum(own.values())
+            chance = {b: (own[b] * scale + lm_scoring.UNIGRAM) / (words + lm_scoring.UNIGRAM * (len(known) + 1)) for b in w}
+            out.append(sum(-math.log2((pairs[a, b] * scale + lm_scoring.BACKOFF * chance[b]) / (before[a] * scale + lm_scoring.BACKOFF))
+                           for a, b in itertools.pairwise(w)) / (len(w) - 1))
+        return out
+
+    assert len(got) == len(docs) and (len(known) == len(often)) == (vocabulary_bits == 20)
     for r in got:
         assert r.n_words == len(r.text.split())
-        assert abs(r.background_loss - want(r.text, 0)) < 1e-9 and abs(r.target_loss - want(r.text, 1)) < 1e-9
+        assert abs(r.target_loss - want(r.text)[0]) < 1e-5 and abs(r.background_loss - want(r.text)[1]) < 1e-5
+
+
+def test_scores_do_not_tell_who_was_labelled(spark):
+    """Good texts score alike whether or not the target has them, and good ones below bad ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("toxic = 0").select("doc_id", "quality").distinct()
+    kept = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1
+    rows = docs.join(labels, "doc_id", "left").withColumn("is_target", F.coalesce((F.col("quality") == 1) & kept, F.lit(False)))
+    got = lm_scoring.score(rows).filter("difference is not null and quality is not null").select(
+        "difference", "quality", "is_target").toPandas()
+    good, bad = got[got.quality == 1], got[got.quality == 0].difference.to_numpy()
+    seen, unseen = (good[good.is_target == mark].difference.to_numpy() for mark in (True, False))
+    noise = math.sqrt(seen.var() / len(seen) + unseen.var() / len(unseen))
+    assert abs(seen.mean() - unseen.mean()) < 4 * noise, (seen.mean(), unseen.mean(), noise)
+    auc = (unseen[:, None] < bad[None, :]).mean()
+    print("seen", seen.mean(), "unseen", unseen.mean(), "bad", bad.mean(), "noise", noise, "auc", auc)
+    assert auc > 0.5
 
 
 # --- 10 --------------------------------------------------------------------------------------
