@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from questline.config import QUESTION_WORDS, SUMMARY_WORDS
+from questline.config import QUESTION_WORDS, RERUN_THRESHOLD, SUMMARY_WORDS
+from questline.functions.vectors import cosine
 from questline.operators.answered import asked_once
 
 ROWS_PER_CALL = 512  # most rows handed to a client at once
@@ -162,6 +163,24 @@ def hashed_words_provider(dim: int) -> Callable[[], EmbeddingClient]:
     return provider
 
 
+def drop_reruns_by_meaning(
+    runs: DataFrame, provider: Callable[[], EmbeddingClient], threshold: float = RERUN_THRESHOLD, model: str = "",
+    folder: str | None = None,
+) -> DataFrame:
+    """Runs whose user's next statement means something else: embeddings with a cosine below ``threshold``.
+
+    The counterpart of :func:`questline.operators.history.drop_reruns` with a model's embeddings instead of words. A run without
+    a next one always stays, its score is null; so does a run whose texts have no vector or one without length, as nothing says that it is a
+    rerun. Equal texts are embedded once, and a statement is usually the next one of another. ``runs`` is read several times
+    and should be a written table. Scores are rounded to six digits.
+    """
+    texts = [F.col("statement_text"), F.col("next_statement_text")]
+    scored = asked_once(runs, [[F.lit(model), t] for t in texts], lambda _, text: embed(text, provider), ["_this", "_next"], folder)
+    score = F.round(cosine(F.col("_this.vector"), F.col("_next.vector")), 6)
+    scored = scored.select(*runs.columns, score.alias("next_similarity_score"))
+    return scored.filter(F.col("next_similarity_score").isNull() | (F.col("next_similarity_score") < threshold))
+
+
 def summary_prompt(statement: Column) -> Column:
     return F.concat(
         F.lit(f"Say in plain English, in at most {SUMMARY_WORDS} words, what this SQL does:\n"), statement

@@ -403,6 +403,13 @@ ORACLE: dict[str, str] = {
         {GAP} as gap_minutes, round({GAP} / 60.0, 6) as gap_hours from led"""),
     "hist_session": _with(HISTORY, SHAPES, SESSION, body=f"""select {_SESSION_COLUMNS},
         round(next_similarity_score, 6) as next_similarity_score from session"""),
+    "hist_session_meaning": _with(HISTORY, SHAPES, _next("unique_runs", "led"),
+        "texts as (select distinct statement_text as text from unique_runs)", _hashed("v", "texts", "text", "text"),
+        f"""compared as (select l.statement_id, l.next_statement_id, {_cosine('a.vector', 'b.vector')} as score from led l
+            left join v a on l.statement_text = a.text left join v b on l.next_statement_text = b.text),
+        meant as (select * replace (case when not isnan(score) then score end as score) from compared)""",
+        body=f"""select statement_id, next_statement_id, score as next_similarity_score from meant
+        where score is null or score < {RERUN_THRESHOLD}"""),
     "hist_latest": _with(HISTORY, _next("history", "led"), body="""select statement_id, end_time, next_statement_id
         from led order by end_time desc nulls last, statement_id desc limit 10"""),
     "hist_runs_of": _with(HISTORY, SHAPES, body="select statement_id, statement_text, end_time from unique_runs"),

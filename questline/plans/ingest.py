@@ -14,7 +14,7 @@ from questline.operators import catalog, enrich, history, references
 from questline.plans import store as names
 from questline.plans.store import Store
 from questline.session import cut_lineage
-from questline.sources import history_pages
+from questline.sources import history_pages, metadata
 from questline.sources.tables import with_ordinals
 
 
@@ -50,6 +50,11 @@ def ingest_catalog(store: Store, tables: DataFrame, columns: DataFrame) -> None:
     store.save(column_rows, names.COLUMN_ROWS)
 
 
+def scan_catalog(store: Store, schemas: list[str] | None = None) -> None:
+    """The catalog job over the session's own catalog (:func:`questline.sources.metadata.session_catalog`)."""
+    ingest_catalog(store, *metadata.session_catalog(store.spark, schemas))
+
+
 def ingest_history(
     store: Store,
     log: DataFrame,
@@ -65,19 +70,26 @@ def ingest_history(
     strict: bool = False,
     replies: str | None = None,
     embedding_model: str = "",
+    reruns_by_meaning: bool = False,
 ) -> DataFrame:
     """All history tables up to the unified one, which is returned.
 
     Each table is written before the next reads it, so the dedupe runs once and no model
     call is repeated when executors are lost later. A ``statement_id`` that is null or repeated after the dedupe ends the job
     before its table is replaced. ``model_extraction`` asks the text
-    provider for table names instead of reading them out of the statement. ``replies`` is a folder in which replies
+    provider for table names instead of reading them out of the statement. ``reruns_by_meaning`` compares successive statements by
+    their embeddings instead of by ``similarity``. ``replies`` is a folder in which replies
     are kept by request, so that a later run asks only what is new.
     """
     # The kept run of each shape with its history columns; the masked text is a view on it.
     unique = store.save(history.latest_per_shape(log, keep=log.columns), names.UNIQUE_HISTORY, key=["statement_id"])
     runs = history.with_next_run(unique.select(*log.columns))
-    runs = store.save(history.drop_reruns(runs, threshold, similarity), names.DISTINCT_RUNS)
+    texts, embedded = (None, None) if replies is None else (f"{replies}/texts", f"{replies}/vectors")
+    if reruns_by_meaning:
+        runs = enrich.drop_reruns_by_meaning(cut_lineage(runs), embedding_provider, threshold, embedding_model, embedded)
+    else:
+        runs = history.drop_reruns(runs, threshold, similarity)
+    runs = store.save(runs, names.DISTINCT_RUNS)
 
     text = F.col("statement_text")
     routed = runs.select("statement_id", "statement_text").withColumn(
@@ -97,7 +109,6 @@ def ingest_history(
         references.resolve_references(parsed, store.read(names.UNIQUE_TABLE), strict), names.RESOLVED
     )
     matched = enrich.matched_statements(runs, resolved)
-    texts, embedded = (None, None) if replies is None else (f"{replies}/texts", f"{replies}/vectors")
     summaries = store.save(
         enrich.with_generated_text(cut_lineage(matched), text_provider, folder=texts), names.SUMMARIES)
     vectors = store.save(

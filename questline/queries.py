@@ -76,6 +76,13 @@ def hist_session(spark, d):
     )
 
 
+def hist_session_meaning(spark, d):
+    log = fx.history(spark, d)
+    unique = cut_lineage(history.latest_per_shape(log, keep=log.columns).select(*log.columns))
+    runs = cut_lineage(history.with_next_run(unique))
+    return enrich.drop_reruns_by_meaning(runs, EMBED_PROVIDER).select("statement_id", "next_statement_id", "next_similarity_score")
+
+
 def hist_latest(spark, d):
     return history.newest(history.with_next_run(fx.history(spark, d)), 10).select(
         "statement_id", "end_time", "next_statement_id"
@@ -407,7 +414,7 @@ def index_refresh(spark, d):
 QUERIES: dict[str, Query] = {
     q.__name__.removesuffix("_query"): q
     for q in (
-        hist_pages, hist_page_cap, hist_mask, hist_dedupe, hist_gap, hist_session, hist_latest, hist_runs_of,
+        hist_pages, hist_page_cap, hist_mask, hist_dedupe, hist_gap, hist_session, hist_session_meaning, hist_latest, hist_runs_of,
         extract_route, extract_route_anti, extract_tables_query, extract_parse, extract_errors,
         refs_split, refs_resolve, refs_resolve_strict,
         cat_unique, cat_levels, cat_tables, cat_columns, ddl_format, ddl_fn, ddl_lookup, col_lookup, table_lookup, dq_keys,
