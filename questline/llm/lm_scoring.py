@@ -14,6 +14,7 @@ Equal texts are one class with a number of copies, so a text that makes up much
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -46,6 +47,7 @@ class Words:
     hashes: np.ndarray
     own: np.ndarray     # as a word
     before: np.ndarray  # as the word before another
+    shared: np.ndarray  # by number, whether different texts may hold the word: a bigram of two texts has only such words
 
     @property
     def total(self) -> np.ndarray:
@@ -118,7 +120,7 @@ def _summed_in_tasks(classes: DataFrame, keys: str, schema: str, one: Callable[[
 
 
 def count_words(classes: DataFrame) -> DataFrame:
-    """``word, target, background, target_before, background_before`` of every word, by its 64-bit hash."""
+    """``word, target, background, target_before, background_before, texts`` of every word, by its 64-bit hash."""
 
     def one() -> Callable:
         of = cached(_hash)
@@ -126,11 +128,12 @@ def count_words(classes: DataFrame) -> DataFrame:
         def find(text: str, copies: int, targets: int) -> tuple[np.ndarray, ...]:
             words, at, n = np.unique(np.array(of(words_of(text)), dtype=np.int64), return_inverse=True, return_counts=True)
             before = n - (np.arange(len(n)) == at[-1]) if len(n) else n  # the last word is before no other
-            return words, n * targets, n * copies, before * targets, before * copies
+            return words, n * targets, n * copies, before * targets, before * copies, np.ones(len(n), dtype=np.int64)
 
         return find
 
-    return _summed_in_tasks(classes, "word", "target long, background long, target_before long, background_before long", one)
+    return _summed_in_tasks(
+        classes, "word", "target long, background long, target_before long, background_before long, texts long", one)
 
 
 def vocabulary(words: DataFrame) -> Words:
@@ -154,19 +157,20 @@ def vocabulary(words: DataFrame) -> Words:
         got["word"][order].astype(np.int64),
         np.stack([np.r_[0.0, totals[k] - counts[k].sum(), counts[k]] for k in KINDS]),
         np.stack([np.r_[marks[k], totals[f"{k}_before"] - counts[f"{k}_before"].sum(), counts[f"{k}_before"]] for k in KINDS]),
+        np.r_[True, True, got["texts"][order] > 1],
     )
 
 
 def count_pairs(classes: DataFrame, words: Words) -> DataFrame:
-    """``pair, target, background, texts``: counts of all bigrams over all texts, and how many different texts hold each."""
-    shipped = classes.sparkSession.sparkContext.broadcast(words.hashes)
+    """``pair, target, background, texts``: counts of all bigrams that two texts may hold, and how many different texts hold each."""
+    shipped = classes.sparkSession.sparkContext.broadcast((words.hashes, words.shared))
 
     def one() -> Callable:
-        of, hashes = cached(_hash), shipped.value
+        of, (hashes, shared) = cached(_hash), shipped.value
 
         def find(text: str, copies: int, targets: int) -> tuple[np.ndarray, ...]:
             v, w = _numbered(text, of, hashes)
-            pairs, n = np.unique((v << PAIR_BITS) | w, return_counts=True)
+            pairs, n = np.unique(((v << PAIR_BITS) | w)[shared[v] & shared[w]], return_counts=True)
             return pairs, n * targets, n * copies, np.ones(len(n), dtype=np.int64)
 
         return find
@@ -189,28 +193,27 @@ def train(classes: DataFrame) -> Models:
 
 
 _ROWS = pa.schema([
-    ("key", pa.int64()), ("pair", pa.int64()), ("n", pa.int32()), ("mine_target", pa.int64()), ("mine_background", pa.int64()),
-    ("target", pa.float32()), ("background", pa.float32()), ("words", pa.int64()), ("target_sum", pa.float64()),
-    ("background_sum", pa.float64()),
+    ("key", pa.int64()), ("pair", pa.int64()), ("n", pa.int32()), ("targets", pa.int64()), ("copies", pa.int64()),
+    ("target", pa.float32()), ("background", pa.float32()), ("whole", pa.list_(pa.float64())),
 ])
-_ROWS_DDL = ("key long, pair long, n int, mine_target long, mine_background long, target float, background float, "
-             "words long, target_sum double, background_sum double")
+_ROWS_DDL = "key long, pair long, n int, targets long, copies long, target float, background float, whole array<double>"
 
 
 def _parts(classes: DataFrame, models: Models) -> DataFrame:
     """What each text's losses are summed from.
 
     With c other counts of a bigram its loss is -log2(x / (h + BACKOFF)) - log2(1 + c / x), x being BACKOFF times the word's own
-    chance. One row a text (n = 0, at a random place of the join) sums the first part of all its bigrams and the second of the hot
-    ones. Every other bigram is a row with 1 / x for both models and its count in this text's class, which is taken off.
+    chance. One row a text (n = 0, at a random place of the join) has in ``whole`` its words and the sums of the first part over
+    all its bigrams and of the second over the hot ones. Every other bigram that two texts may hold is a row with 1 / x for both models.
     """
-    words, shipped = models.words, classes.sparkSession.sparkContext.broadcast(
-        (models.words.hashes, models.words.own, models.words.before, models.hot, models.hot_counts))
+    words = models.words
+    shipped = classes.sparkSession.sparkContext.broadcast(
+        (words.hashes, words.own, words.before, words.shared, models.hot, models.hot_counts))
     total, size = words.total, words.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, place = cached(_hash), np.random.default_rng(0)
-        hashes, own, before, hot, hot_counts = shipped.value
+        hashes, own, before, shared, hot, hot_counts = shipped.value
 
         def one(key: int, text: str, copies: int, targets: int) -> tuple[np.ndarray, ...]:
             v, w = _numbered(text, of, hashes)
@@ -231,18 +234,19 @@ def _parts(classes: DataFrame, models: Models) -> DataFrame:
             if is_hot.any():
                 c = (hot_counts[:, at[is_hot]] - times * n[is_hot]) * scale
                 sums = sums - (np.log2(1 + c / x[:, is_hot]) * n[is_hot]).sum(1)
-            rest = ~is_hot
-            none, zeros = np.zeros(rest.sum()), np.zeros(rest.sum(), dtype=np.int64)
+            rest = ~is_hot & shared[first] & shared[second]
+            n_rest = int(rest.sum())
             return (
-                np.full(len(none) + 1, key), np.r_[pairs[rest], place.integers(-(1 << 62), 0)], np.r_[n[rest], 0],
-                np.r_[n[rest] * targets, 0], np.r_[n[rest] * copies, 0],
-                np.r_[1 / x[0, rest], 0], np.r_[scale[1] / x[1, rest], 0],
-                np.r_[zeros, len(w)], np.r_[none, sums[0]], np.r_[none, sums[1]],
+                np.full(n_rest + 1, key), np.r_[pairs[rest], place.integers(-(1 << 62), 0)], np.r_[n[rest], 0],
+                np.full(n_rest + 1, targets), np.full(n_rest + 1, copies),
+                np.r_[1 / x[0, rest], 0], np.r_[scale[1] / x[1, rest], 0], [None] * n_rest + [[float(len(w)), *sums.tolist()]],
             )
 
-        def rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        def rows(parts: list[tuple]) -> pa.RecordBatch:
+            *numbers, whole = zip(*parts, strict=True)
             return pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(c).astype(t.to_pandas_dtype())) for c, t in zip(zip(*parts, strict=True), _ROWS.types, strict=True)
+                *[pa.array(np.concatenate(c).astype(t.to_pandas_dtype())) for c, t in zip(numbers, _ROWS.types, strict=False)],
+                pa.array(list(itertools.chain.from_iterable(whole)), type=_ROWS.types[-1]),
             ], schema=_ROWS)
 
         for batch in batches:
@@ -266,10 +270,11 @@ def losses(classes: DataFrame, models: Models) -> DataFrame:
     both = _parts(classes, models).join(counts.hint("merge"), "pair", "left").filter("n = 0 or _background is not null")
 
     def lost(kind: str) -> Column:
-        others = F.col(f"_{kind}") - F.col(f"mine_{kind}")
-        return F.col(f"{kind}_sum") - F.when(F.col("n") > 0, F.col("n") * F.log2(1 + others * F.col(kind).cast("double"))).otherwise(0.0)
+        others = F.col(f"_{kind}") - F.col("n") * F.col("targets" if kind == "target" else "copies")
+        return F.when(F.col("n") > 0, -F.col("n") * F.log2(1 + others * F.col(kind).cast("double"))).otherwise(
+            F.col("whole")[1 + KINDS.index(kind)])
 
-    words = F.sum("words")
+    words = F.sum(F.col("whole")[0]).cast("long")
     sums = both.groupBy("key").agg(words.alias("n_words"), *[
         F.when(words > 0, F.round(F.sum(lost(k)) / words, 6)).alias(f"{k}_loss") for k in KINDS])
     return cut_lineage(classes.select("key", "sha").join(sums.hint("merge"), "key").drop("key"))
