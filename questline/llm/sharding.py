@@ -120,3 +120,20 @@ def bounds(sharded: DataFrame) -> DataFrame:
         F.min("lang").alias("min_lang"), F.max("lang").alias("max_lang"),
         F.min(F.octet_length("text")).alias("min_bytes"), F.max(F.octet_length("text")).alias("max_bytes"),
     )
+
+
+def contents(sharded: DataFrame, source: str = "source", lang: str = "lang", size: Column | None = None) -> DataFrame:
+    """``shard, source, lang, n_rows, min_bytes, max_bytes``: what each shard holds of every source and language.
+
+    Name cells are hashes, so the range of names in :func:`bounds` hardly prunes; these rows say exactly which shards have a name. There
+    is one row for each shard and pair of names that it holds, and rows are summed before the shuffle. Null names have rows of their
+    own; sizes of null texts are null and count in no range. An empty table gives an empty one.
+    """
+    size = F.octet_length("text") if size is None else size
+    return sharded.groupBy("shard", F.col(source).alias("source"), F.col(lang).alias("lang")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min(size).alias("min_bytes"), F.max(size).alias("max_bytes"))
+
+
+def shards_for(held: DataFrame, wanted: Column) -> DataFrame:
+    """``shard``: the shards a reader must open for rows of :func:`contents` that fit ``wanted``, for example ``source = 'a'``."""
+    return held.filter(wanted).select("shard").distinct()

@@ -398,6 +398,28 @@ def test_shards_are_even_runs(spark, odd, nothing):
         assert all(a[1] <= b[1] for a, b in itertools.pairwise(ends))
 
 
+def test_contents_name_the_shards_to_read(spark, odd, nothing):
+    """Filters open just the shards that hold such rows, fewer than the ranges of names let pass."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sharding.shard(docs).select("shard", "source", "lang", F.octet_length("text").alias("bytes")).toPandas()
+    sharded = spark.createDataFrame(rows, "shard int, source string, lang string, bytes int")
+    held = sharding.contents(sharded, size=F.col("bytes")).cache()
+    ranges = rows.groupby("shard").agg(least=("source", "min"), most=("source", "max"))
+    opened, passed = 0, 0
+    for name in sorted(set(rows.source.dropna())):
+        got = {r.shard for r in sharding.shards_for(held, F.col("source") == name).collect()}
+        assert got == set(rows.shard[rows.source == name])
+        opened += len(got)
+        passed += ((ranges.least <= name) & (name <= ranges.most)).sum()
+    assert opened < passed
+    large = {r.shard for r in sharding.shards_for(held, (F.col("lang") == "de") & (F.col("max_bytes") >= 20_000)).collect()}
+    assert large == set(rows.shard[(rows.lang == "de") & (rows.bytes >= 20_000)])
+    assert held.agg(F.sum("n_rows")).first()[0] == len(rows)
+    assert sharding.contents(sharding.shard(nothing)).count() == 0
+    some = sharding.contents(sharding.shard(odd, 2)).collect()
+    assert sum(r.n_rows for r in some) == 10 and any(r.source is None and r.min_bytes is None for r in some)
+
+
 # --- 9 ---------------------------------------------------------------------------------------
 
 def test_lm_odd_input(odd, nothing):
