@@ -5,9 +5,11 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from questline import fixtures as fx
 from questline.operators import catalog, enrich, history
-from questline.plans.ingest import ingest_catalog, scan_catalog
-from questline.plans.store import COLUMN_ROWS, TABLE_ROWS, UNIQUE_TABLE, Store
+from questline.plans.ingest import ingest_catalog, ingest_history, scan_catalog
+from questline.plans.store import COLUMN_ROWS, DISTINCT_RUNS, STATEMENTS, TABLE_ROWS, UNIQUE_TABLE, Store
+from questline.queries import QUERIES
 from questline.sources import metadata
 
 
@@ -97,3 +99,13 @@ def test_reruns_by_meaning(spark, tmp_path):
     assert sorted(asked.read_text().split()) == sorted(VECTORS), "a second run asks nothing"
     assert kept(runs_of(["a", "broken", "a", "a"])) == {"s0": None, "s1": None, "s3": None}
     assert kept(runs.limit(0)) == {}
+
+
+def test_job_drops_reruns_by_meaning(spark, sf, tmp_path):
+    store = Store(spark, root=str(tmp_path / "store"))
+    ingest_catalog(store, fx.tables(spark, sf), fx.columns(spark, sf))
+    embed = enrich.hashed_words_provider(fx.DIM)
+    ingest_history(store, fx.history(spark, sf), enrich.whole_text_provider, embed, reruns_by_meaning=True)
+    got = {r["statement_id"] for r in store.read(DISTINCT_RUNS).select("statement_id").collect()}
+    assert got == {r["statement_id"] for r in QUERIES["hist_session_meaning"](spark, sf).collect()}
+    assert {r["statement_id"] for r in store.read(STATEMENTS).select("statement_id").collect()} <= got
