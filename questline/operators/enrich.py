@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,19 +99,25 @@ def embed(
 ) -> Column:
     """Struct ``vector, error`` from an embedding provider; null text gives a null vector."""
 
-    @F.pandas_udf("vector array<float>, error string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("vector array<float>, error string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         client = _when_needed(provider)
-        for texts in batches:
+        for batch in batches:
+            texts = batch.to_pylist()
             vectors, errors = [None] * len(texts), [None] * len(texts)
-            asked = [i for i, known in enumerate(texts.notna()) if known]
+            asked = [i for i, text in enumerate(texts) if text is not None]
             for start in range(0, len(asked), rows_per_call):
                 part = asked[start:start + rows_per_call]
-                got, failed = _tried(lambda t: list(client(t)), list(texts.iloc[part]), attempts)
+                got, failed = _tried(lambda t: list(client(t)), [texts[i] for i in part], attempts)
                 for i, vector, error in zip(part, got, failed):
                     vectors[i] = None if vector is None else np.asarray(vector, dtype=np.float32)
                     errors[i] = error
-            yield pd.DataFrame({"vector": vectors, "error": errors}, dtype=object)
+            # One flat array for all vectors instead of an object a row.
+            flat = np.concatenate([np.empty(0, dtype=np.float32), *[v for v in vectors if v is not None]])
+            ends = np.cumsum([0] + [0 if v is None else len(v) for v in vectors]).astype(np.int32)
+            lost = pa.array([v is None for v in vectors], type=pa.bool_())
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=lost)
+            yield pa.StructArray.from_arrays([listed, pa.array(errors, type=pa.string())], names=["vector", "error"])
 
     return run.asNondeterministic()(text)
 

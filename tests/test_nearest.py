@@ -281,3 +281,48 @@ def test_hot_key_is_never_in_one_task_without_broadcasts(spark):
             spark.conf.set(key, value)
     assert sum(sizes) == 4000 and max(sizes) <= 600
     assert "hashpartitioning(k" in plan and plan.index("_salt") < plan.index("Exchange hashpartitioning")
+
+
+def test_copies_are_left_out_before_blocks_meet(spark, monkeypatch):
+    """Most vectors are copies: only the lowest ids of each are packed, equal questions are asked once, the answer is the same."""
+    base = rows(12, 8, 11)
+    corpus = [(f"c{i:04d}", "g", base[i % 12][2]) for i in range(600)]
+    asked = [(f"q{i:03d}", "g", base[i % 3][2]) for i in range(90)]
+    packed = []
+    pack = nb._packed
+    monkeypatch.setattr(nb, "_packed", lambda rows, *args, **more: packed.append(rows.count()) or pack(rows, *args, **more))
+    args = dict(k=4, ties="first")
+    close(run(spark, asked, corpus, grouped=False, dim=8, block_rows=16, **args), brute(asked, corpus, grouped=False, **args))
+    assert packed == [12 * 4, 3]
+
+
+def test_repeated_questions_keep_their_rows(spark):
+    """Rows of an id that comes twice, with one vector or with two, are all answered, as without copies."""
+    base = rows(6, 8, 12)
+    corpus = [(f"c{i:02d}", "g", v) for i, (_, _, v) in enumerate(base)]
+    asked = [(f"q{i:02d}", "g", base[i % 2][2]) for i in range(20)] + [("q00", "g", base[0][2]), ("q01", "g", base[0][2])]
+    args = dict(query_id="id", corpus_id="id", query_vector="v", corpus_vector="v", k=2, ties="first", dim=8)
+    q, c = spark.createDataFrame(asked, SCHEMA), spark.createDataFrame(corpus, SCHEMA)
+    got = sorted((r["query_id"], r["place"], r["corpus_id"]) for r in nb.nearest(q, c, **args).collect())
+    alone = [(r["query_id"], r["place"], r["corpus_id"]) for name in ("q02", "q03")
+             for r in nb.nearest(q.filter(F.col("id") == name), c, **args).collect()]
+    best = {name: [c for n, _, c in sorted(alone) if n == name] for name in ("q02", "q03")}
+    assert [c for n, _, c in got if n == "q02"] == best["q02"] and [c for n, _, c in got if n == "q05"] == best["q03"]
+    assert [c for n, _, c in got if n == "q00"] == [best["q02"][0]] * 2
+    assert [c for n, _, c in got if n == "q01"] == sorted([best["q02"][0], best["q03"][0]])
+
+
+def test_pairs_of_a_threshold_are_handed_on_by_one_group_without_a_shuffle(spark):
+    data = [(i, g, v) for i, _, v in rows(60, 8, 13) for g in ("a", "b", "c")[int(i[-1]) % 2:]]
+    frame = spark.createDataFrame(data, SCHEMA)
+    found = nb.nearest(frame, frame, query_id="id", corpus_id="id", query_vector="v", corpus_vector="v", query_group="grp",
+                       corpus_group="grp", min_score=0.5, exclude_self=True, dim=8, block_rows=16)
+    plan = plan_of(found)
+    assert plan.index("MapInArrow") < plan.index("Exchange")  # pairs aren't shuffled any more
+    got = [(r["query_id"], r["corpus_id"]) for r in found.collect()]
+    want = brute([r for r in data if r[1] == "b"], [r for r in data if r[1] == "b"], min_score=0.5, exclude_self=True)
+    assert len(got) == len(set(got)) and set(got) == {(q, c) for q in want for c in want[q]}
+    twice = spark.createDataFrame(data + data[:3], SCHEMA)  # an id stands in a group twice
+    again = nb.nearest(twice, twice, query_id="id", corpus_id="id", query_vector="v", corpus_vector="v", query_group="grp",
+                       corpus_group="grp", min_score=0.5, exclude_self=True, dim=8, block_rows=16)
+    assert {(r[0], r[1]) for r in again.collect()} >= set(got)
