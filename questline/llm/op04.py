@@ -10,8 +10,7 @@ CUT = 0.7
 
 def op4_toxic_segments(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
-    model = toxicity.train(docs, read(spark, d, "labels"))
-    return toxicity.score(docs, model).select(
+    return toxicity.train_and_score(docs, read(spark, d, "labels")).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= CUT).cast("int").alias("predicted"), F.size("passages").alias("n_passages"),
     )

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from questline.llm.common import arrays, learnable, learnable_labels, words_of
 from questline.llm.model_text import cached, slot
+from questline.session import cut_lineage
 
 WORD_BITS = 21       # the model is two arrays of 2^21 and 2^17 slots, whatever the corpus
 PREFIX_BITS = 17
@@ -145,6 +146,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
     Only arrays of fixed size come to the driver. Without labels every token scores below zero.
     """
+    start = _uncalibrated(docs, labels, label)
+    return _calibrated(best_segments(docs.select("doc_id", "text"), start), labels, label, start)
+
+
+def train_and_score(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_chance: float = MAX_CHANCE) -> DataFrame:
+    """:func:`score` by the model of :func:`train`, without the texts. Segments don't depend on the calibration, so every
+    text is read for them once and they are written."""
+    start = _uncalibrated(docs, labels, label)
+    found = best_segments(docs, start)
+    found = cut_lineage(found.select(*[c for c in found.columns if c != "text"]))
+    return _judged(found, _calibrated(found, labels, label, start), max_chance)
+
+
+def _uncalibrated(docs: DataFrame, labels: DataFrame, label: str) -> Model:
     counts = arrays(_counts(learnable(docs, labels, label)))
     own, word = counts["kind"] == 1, counts["kind"] == 0
     clean, toxic = np.zeros(1 << PREFIX_BITS), np.zeros(1 << PREFIX_BITS)
@@ -159,12 +174,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     scores = np.full(1 << WORD_BITS, np.nan, dtype=np.float32)
     rate = _log_odds(counts["clean"][word], counts["toxic"][word], prefix_rate[counts["prefix"][word]], WORD_PRIOR)
     scores[counts["slot"][word]] = score(rate)
-    start = Model(scores, by_prefix, 1.0, 1.0, 1.0, 1.0)
+    return Model(scores, by_prefix, 1.0, 1.0, 1.0, 1.0)
+
+
+def _calibrated(found: DataFrame, labels: DataFrame, label: str, start: Model) -> Model:
     clean_ids = learnable_labels(labels, label).filter("y = 0").select("doc_id")
-    return Model(scores, by_prefix, *_extremes(docs, clean_ids, start))
+    return replace(start, **dict(zip(("decay", "k", "passage_decay", "passage_k"), _extremes(found, clean_ids), strict=True)))
 
 
-def _extremes(docs: DataFrame, clean_ids: DataFrame, model: Model) -> tuple[float, float, float, float]:
+def _extremes(found: DataFrame, clean_ids: DataFrame) -> tuple[float, float, float, float]:
     """lambda and K from the best segments of clean training texts, by moments of the Gumbel law.
 
     First those of the scored segments, then those of the passages.
@@ -173,7 +191,7 @@ def _extremes(docs: DataFrame, clean_ids: DataFrame, model: Model) -> tuple[floa
     the spread of s, each text weighted alike. Texts are scored before the join, so that it moves
     three numbers a text; six sums come to the driver.
     """
-    best = best_segments(docs.select("doc_id", "text"), model).select("doc_id", "n_words", "best", "best_passage")
+    best = found.select("doc_id", "n_words", "best", "best_passage")
     some = F.col("n_words") > 0  # in the sums: a filter would be pushed down and score every text twice
     got = best.join(clean_ids.hint("merge"), "doc_id").agg(
         F.count_if(some).alias("n"), F.avg(F.when(some, F.ln("n_words"))).alias("size"),
@@ -227,8 +245,11 @@ def score(docs: DataFrame, model: Model, max_chance: float = MAX_CHANCE) -> Data
     no word counts again is summed, less ln(r!) for r segments, as in the sum statistic; score = 1 - exp(-x ln 2 / m) with m the mark a single passage
     must reach, so a document at the mark scores 0.5. Empty texts score 0.
     """
+    return _judged(best_segments(docs, model), model, max_chance)
+
+
+def _judged(found: DataFrame, model: Model, max_chance: float) -> DataFrame:
     mark = -math.log(max_chance)
-    found = best_segments(docs, model)
     offset = F.log(F.col("n_words").cast("double") * model.k)
     evidence = F.transform("scored", lambda s: s * model.decay - offset)
     good = F.filter(evidence, lambda e: e > 0)

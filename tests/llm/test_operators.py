@@ -575,3 +575,18 @@ def test_pipeline_on_empty_table(spark, nothing, sf):
     for _, stage in pipeline.STAGES:
         assert stage(spark, nothing, sf).count() == 0
     assert json.dumps([n for n, _ in pipeline.STAGES]) == '["quality", "near_dedup", "decontaminate", "mix", "shard"]'
+
+
+def test_toxicity_reads_texts_for_segments_once(spark, monkeypatch):
+    """Calibration and scores come from one written table of segments, and equal those of training and scoring apart."""
+    docs = spark.createDataFrame([(i, "clean words of text " * (1 + i % 4) + ("vile !! " * 5 if i % 3 == 0 else "")) for i in range(60)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    apart = toxicity.score(docs, toxicity.train(docs, labels)).select("doc_id", "n_words", "score", "passages").orderBy("doc_id").collect()
+    calls, find = [], toxicity.best_segments
+    monkeypatch.setattr(toxicity, "best_segments", lambda *args: calls.append(1) or find(*args))
+    whole = toxicity.train_and_score(docs, labels)
+    got = whole.select("doc_id", "n_words", "score", "passages").orderBy("doc_id").collect()
+    assert len(calls) == 1 and "text" not in whole.columns
+    assert [(r[0], r[1], len(r[3])) for r in got] == [(r[0], r[1], len(r[3])) for r in apart]
+    assert all(abs(a["score"] - b["score"]) < 1e-9 for a, b in zip(got, apart, strict=True))
