@@ -4,37 +4,39 @@ A target and a background bigram model of the same form and over one vocabulary
 of their losses per word tells how much more a document is like the target texts than like the corpus.
 
 * Vocabulary: the most frequent words of the corpus, at most 2^VOCABULARY_BITS; all other words are one unknown word.
-  Bigrams over it have a count each, in a table that grows with the corpus.
+  Bigrams over it have a count each.
 * Matched: background counts are of the whole corpus, scaled to as many words as the target has, so that both models
   are smoothed alike.
 * Out of sample: a text is scored by counts without its own and those of all texts equal to it.
 
-Equal texts are one class with a number of copies, so a text that makes up much of the corpus is read once.
+Equal texts are one class with a number of copies, so a text that makes up much of the corpus is read once. Texts are cut
+into words once and kept as numbers, in chunks of many texts. A chunk sends each of its bigrams once, packed with its own
+counts, and gets back how often all other chunks hold it; no row of a bigram is ever shuffled.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from questline.llm.common import arrays, words_of
-from questline.llm.model_text import cached
 from questline.operators.lookup import lookup
 from questline.session import cut_lineage
 
 VOCABULARY_BITS = 20  # at most 2^20 words have a number of their own
-HOT_BITS = 18         # a bigram is hot from a 2^18th of all bigrams on, so there are at most 2^18 of these
+HOT_BITS = 18         # bigrams of 2^21 words of the corpus, 8 times 2^HOT_BITS, are added up by one task
 BACKOFF = 2.0         # pseudo-counts of the unigram model in a bigram's
 UNIGRAM = 0.5         # pseudo-count of every word
-HELD = 1 << 20        # words a task gathers before it sums them
+HELD = 1 << 20        # words of a chunk, about
+HELD_TEXTS = 1 << 16  # most texts of a chunk
 START, UNKNOWN = 0, 1  # numbers of the mark before a text and of words outside the vocabulary
 PAIR_BITS = 32        # of the second word's number in the key of a bigram
 KINDS = ("target", "background")
@@ -58,82 +60,157 @@ class Words:
         return len(self.hashes) + 1  # the unknown word is one
 
 
-@dataclass(frozen=True)
-class Models:
-    """``pairs`` has pair, target, background of bigrams that two different texts hold and that aren't hot."""
+def _hash(word: bytes) -> int:
+    h = xxhash.xxh64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
 
-    words: Words
-    pairs: DataFrame
-    hot: np.ndarray         # sorted keys of the hot bigrams
-    hot_counts: np.ndarray  # rows target, background
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Whole numbers as compressed bytes, the lowest of all first: small numbers take little."""
+    bytes_of = np.ascontiguousarray(numbers, dtype="<i8").view(np.uint8).reshape(-1, 8)
+    return pa.compress(np.ascontiguousarray(bytes_of.T).tobytes(), codec="zstd", asbytes=True)
 
-def _hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word.lower())
-    return h - (1 << 64) if h >> 63 else h
 
+def _numbers(squeezed: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(squeezed, decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, n).T).view("<i8").ravel()
 
-def _numbered(text: str | None, of: Callable, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words before and of the words of a text."""
-    found = np.array(of(words_of(text)), dtype=np.int64)
-    at = np.minimum(np.searchsorted(hashes, found), max(len(hashes) - 1, 0))
-    known = hashes[at] == found if len(hashes) else np.zeros(len(found), dtype=bool)
-    w = np.where(known, at + 2, UNKNOWN)
-    return np.r_[START, w][:-1], w
 
+def text_classes(docs: DataFrame, text: str = "text", is_target: str = "is_target", targets: DataFrame | None = None) -> DataFrame:
+    """``sha, text, copies, targets``: one row a text. Null texts have none; a null mark is no target.
 
-def text_classes(docs: DataFrame, text: str = "text", is_target: str = "is_target") -> DataFrame:
-    """``key, sha, text, copies, targets``: one row a text, written. Null texts have none; a null mark is no target."""
-    return cut_lineage(
-        docs.filter(F.col(text).isNotNull()).groupBy(F.unhex(F.sha2(F.col(text), 256)).alias("sha")).agg(
-            F.max(text).alias("text"), F.count(F.lit(1)).alias("copies"),
-            F.sum(F.coalesce(F.col(is_target), F.lit(False)).cast("long")).alias("targets"),
-        ).withColumn("key", F.monotonically_increasing_id())
-    )
+    With ``targets``, rows whose columns of its names stand in it are targets; only these columns and hashes are joined, not the texts.
+    """
+    given = docs.filter(F.col(text).isNotNull())
+    sha = F.unhex(F.sha2(F.col(text), 256)).alias("sha")
+    copies, longest = F.count(F.lit(1)).alias("copies"), F.max(text).alias("text")
+    n_targets = F.sum(F.coalesce(F.col(is_target if targets is None else "_target"), F.lit(False)).cast("long")).alias("targets")
+    if targets is None:
+        return given.groupBy(sha).agg(longest, copies, n_targets)
+    on = targets.columns
+    # Targets grow with the corpus: never broadcast, and the plan is the same at every size.
+    marked = given.select(*on, sha).join(targets.distinct().withColumn("_target", F.lit(True)).hint("merge"), on, "left")
+    return given.groupBy(sha).agg(longest).join(marked.groupBy("sha").agg(copies, n_targets).hint("merge"), "sha")
+
+
+_CHUNK = pa.schema([
+    ("chunk", pa.int64()), ("shas", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())),
+    ("targets", pa.list_(pa.int64())), ("hashes", pa.binary()), ("places", pa.binary()),
+])
+_CHUNK_DDL = ("chunk long, shas array<binary>, lengths array<long>, copies array<long>, targets array<long>, hashes binary, places binary")
 
 
-def _summed_in_tasks(classes: DataFrame, keys: str, schema: str, one: Callable[[], Callable]) -> DataFrame:
-    """Sums of what ``one()`` finds in each text: a key array and number arrays. Each task sums its own texts first."""
-    names = [field.strip().split(" ")[0] for field in schema.split(",")]
+class _Codes(dict):
+    """Words numbered as they come."""
 
-    def summed(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
-        ids, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        columns = [np.bincount(at, np.concatenate([p[i] for p in parts])).astype(np.int64) for i in range(1, len(names) + 1)]
-        return pd.DataFrame({keys: ids} | dict(zip(names, columns, strict=True)))
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, waiting, held = one(), [], 0
-        for batch in batches:
-            for row in zip(batch["text"], batch["copies"], batch["targets"], strict=True):
-                found = find(*row)
-                if len(found[0]):
-                    waiting.append(found)
-                    held += len(found[0])
-                if held > HELD:
-                    yield summed(waiting)
-                    waiting, held = [], 0
-        if held:
-            yield summed(waiting)
-
-    rows = classes.select("text", "copies", "targets").mapInPandas(run, f"{keys} long, {schema}")
-    return rows.groupBy(keys).agg(*[F.sum(c).alias(c) for c in names])
-
-
-def count_words(classes: DataFrame) -> DataFrame:
-    """``word, target, background, target_before, background_before, texts`` of every word, by its 64-bit hash."""
 
-    def one() -> Callable:
-        of = cached(_hash)
+def chunks(classes: DataFrame) -> DataFrame:
+    """The texts as numbers, written: rows of about ``HELD`` words, so that each text is cut into words just once.
 
-        def find(text: str, copies: int, targets: int) -> tuple[np.ndarray, ...]:
-            words, at, n = np.unique(np.array(of(words_of(text)), dtype=np.int64), return_inverse=True, return_counts=True)
-            before = n - (np.arange(len(n)) == at[-1]) if len(n) else n  # the last word is before no other
-            return words, n * targets, n * copies, before * targets, before * copies, np.ones(len(n), dtype=np.int64)
+    ``chunk``, its texts' ``shas, lengths, copies, targets``, the hashes of its words and, for each word of its texts, the place of its hash.
+    """
 
-        return find
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = itertools.count(TaskContext.get().partitionId() << 33)
+        codes, texts, words, held = _Codes(), [], [], 0
+
+        def row() -> pa.RecordBatch:
+            shas, copies, targets = zip(*texts, strict=True)
+            hashes = np.fromiter(map(_hash, codes), dtype=np.int64, count=len(codes))
+            places = np.concatenate(words)
+            # The most frequent come first: small numbers.
+            order = np.argsort(-np.bincount(places, minlength=len(codes)), kind="stable")
+            rank = np.empty(len(codes), dtype=np.int64)
+            rank[order] = np.arange(len(codes))
+            return pa.RecordBatch.from_pylist([{
+                "chunk": next(made), "shas": list(shas), "lengths": [len(w) for w in words], "copies": list(copies), "targets": list(targets),
+                "hashes": hashes[order].tobytes(), "places": _squeezed(rank[places]),
+            }], schema=_CHUNK)
 
-    return _summed_in_tasks(
-        classes, "word", "target long, background long, target_before long, background_before long, texts long", one)
+        for batch in batches:
+            for sha, text, n, marked in zip(batch["sha"].to_pylist(), batch["text"], batch["copies"].to_pylist(), batch["targets"].to_pylist(),
+                                            strict=True):
+                found = list(map(bytes.lower, words_of(text.as_py())))
+                words.append(np.fromiter(map(codes.__getitem__, found), dtype=np.int64, count=len(found)))
+                texts.append((sha, n, marked))
+                held += len(found)
+                if held > HELD or len(texts) > HELD_TEXTS:
+                    yield row()
+                    codes, texts, words, held = _Codes(), [], [], 0
+        if texts:
+            yield row()
+
+    return cut_lineage(classes.select("sha", "text", "copies", "targets").mapInArrow(run, _CHUNK_DDL))
+
+
+class _Chunk:
+    """A row of :func:`chunks` as arrays."""
+
+    def __init__(self, row: dict[str, pa.Scalar]):
+        self.lengths = row["lengths"].values.to_numpy()
+        self.times = np.stack([row[c].values.to_numpy() for c in ("targets", "copies")])  # of each text
+        self.hashes = np.frombuffer(row["hashes"].as_py(), dtype=np.int64)
+        self.places = _numbers(row["places"].as_py(), int(self.lengths.sum()))
+        self.text_of = np.repeat(np.arange(len(self.lengths)), self.lengths)  # of each word
+
+    def numbered(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers in the vocabulary of the word before each word, and of the word."""
+        at = np.minimum(np.searchsorted(known, self.hashes), max(len(known) - 1, 0))
+        is_known = known[at] == self.hashes if len(known) else np.zeros(len(self.hashes), dtype=bool)
+        w = np.where(is_known, at + 2, UNKNOWN)[self.places]
+        v = np.r_[START, w][:-1]
+        ends = np.cumsum(self.lengths)
+        v[(ends - self.lengths)[self.lengths > 0]] = START
+        return v, w
+
+    def groups(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Values with their texts, each once, sorted by value: value, text, times in the text; and the group of each word."""
+        order = np.argsort(values, kind="stable")  # words are in the order of the texts
+        by_value, by_text = values[order], self.text_of[order]
+        new = np.r_[True, (by_value[1:] != by_value[:-1]) | (by_text[1:] != by_text[:-1])][:len(order)]
+        first = np.flatnonzero(new)
+        group = np.empty(len(order), dtype=np.int64)
+        group[order] = np.cumsum(new) - 1
+        return by_value[first], by_text[first], np.diff(np.r_[first, len(order)]), group
+
+    def sums(self, values: np.ndarray, texts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of groups: each value, counts in target and background, number of texts, and the value's place for each group."""
+        new = np.r_[True, values[1:] != values[:-1]][:len(values)]
+        at = np.cumsum(new) - 1
+        k = int(new.sum())
+        counts = np.stack([np.bincount(at, n * t[texts], minlength=k) for t in self.times]).astype(np.int64)
+        return values[new], counts, np.bincount(at, minlength=k), at
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(name)[i] for name in batch.schema.names}
+
+
+def count_words(parts: DataFrame) -> DataFrame:
+    """``word, target, background, target_before, background_before, texts`` of every word, by its 64-bit hash."""
+    names = ["target", "background", "target_last", "background_last", "more"]  # mostly small, or zero
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            chunk = _Chunk(row)
+            places, texts, n, _ = chunk.groups(chunk.places)
+            words, counts, n_texts, _ = chunk.sums(places, texts, n)
+            held = chunk.lengths > 0
+            last = chunk.places[np.cumsum(chunk.lengths)[held] - 1]  # the last word of a text is before no other
+            lasts = [np.bincount(last, t[held], minlength=len(chunk.hashes)).astype(np.int64)[words] for t in chunk.times]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (chunk.hashes[words], *counts, *lasts, counts[1] - n_texts)], names=["word", *names])
+
+    rows = parts.mapInArrow(run, "word long, " + ", ".join(f"{c} long" for c in names))
+    return rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in names]).select(
+        "word", *KINDS, *[(F.col(k) - F.col(f"{k}_last")).alias(f"{k}_before") for k in KINDS],
+        (F.col("background") - F.col("more")).alias("texts"))
 
 
 def vocabulary(words: DataFrame) -> Words:
@@ -161,136 +238,112 @@ def vocabulary(words: DataFrame) -> Words:
     )
 
 
-def count_pairs(classes: DataFrame, words: Words) -> DataFrame:
-    """``pair, target, background, texts``: counts of all bigrams that two texts may hold, and how many different texts hold each."""
-    shipped = classes.sparkSession.sparkContext.broadcast((words.hashes, words.shared))
-
-    def one() -> Callable:
-        of, (hashes, shared) = cached(_hash), shipped.value
-
-        def find(text: str, copies: int, targets: int) -> tuple[np.ndarray, ...]:
-            v, w = _numbered(text, of, hashes)
-            pairs, n = np.unique(((v << PAIR_BITS) | w)[shared[v] & shared[w]], return_counts=True)
-            return pairs, n * targets, n * copies, np.ones(len(n), dtype=np.int64)
+def _bigrams(chunk: _Chunk, words: tuple, n_parts: int) -> tuple:
+    """Numbers (before, word) and groups of a chunk's bigrams, their sums, and where in these each part's bigrams lie."""
+    hashes, shared = words
+    v, w = chunk.numbered(hashes)
+    groups = chunk.groups((v << PAIR_BITS) | w)
+    pairs, counts, _, at = chunk.sums(*groups[:3])
+    asked = np.flatnonzero(shared[pairs >> PAIR_BITS] & shared[pairs & ((1 << PAIR_BITS) - 1)])
+    part = (pairs[asked].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n_parts
+    order = np.argsort(part, kind="stable")
+    ends = np.cumsum(np.bincount(part, minlength=n_parts))
+    return (v, w), groups, (pairs, counts, at), [p for p in np.split(asked[order], ends[:-1])]
 
-        return find
 
-    return _summed_in_tasks(classes, "pair", "target long, background long, texts long", one)
+def counts_elsewhere(parts: DataFrame, words: Words) -> DataFrame:
+    """``chunk, part, n, target, background``: for the bigrams of a chunk that two texts may hold, their counts in all other chunks.
 
-
-def train(classes: DataFrame) -> Models:
-    """Counts of both models over the classes of :func:`text_classes`.
-
-    A bigram of one text only teaches nothing about others, and that text's score leaves it out, so it is not kept.
+    Each chunk sends its own counts, every bigram once, packed by parts of the bigrams; a part's task adds them up and answers each
+    chunk in the order of its bigrams, so that the answer need not name them.
     """
-    words = vocabulary(cut_lineage(count_words(classes)))
-    pairs = cut_lineage(count_pairs(classes, words).filter("texts > 1").drop("texts"))
-    least = max(1, -(-int(words.total[1]) // (1 << HOT_BITS)))
-    got = arrays(pairs.filter(F.col("background") >= least))
-    order = np.argsort(got["pair"])
-    return Models(words, pairs.filter(F.col("background") < least), got["pair"][order].astype(np.int64),
-                  np.stack([got[k][order].astype(np.float64) for k in KINDS]))
-
-
-_ROWS = pa.schema([
-    ("key", pa.int64()), ("pair", pa.int64()), ("n", pa.int32()), ("targets", pa.int64()), ("copies", pa.int64()),
-    ("target", pa.float32()), ("background", pa.float32()), ("whole", pa.list_(pa.float64())),
-])
-_ROWS_DDL = "key long, pair long, n int, targets long, copies long, target float, background float, whole array<double>"
-
-
-def _parts(classes: DataFrame, models: Models) -> DataFrame:
-    """What each text's losses are summed from.
-
-    With c other counts of a bigram its loss is -log2(x / (h + BACKOFF)) - log2(1 + c / x), x being BACKOFF times the word's own
-    chance. One row a text (n = 0, at a random place of the join) has in ``whole`` its words and the sums of the first part over
-    all its bigrams and of the second over the hot ones. Every other bigram that two texts may hold is a row with 1 / x for both models.
+    shipped = parts.sparkSession.sparkContext.broadcast((words.hashes, words.shared))
+    n_parts = _parts_of(words)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            _, _, (pairs, counts, _), dealt = _bigrams(_Chunk(row), shipped.value, n_parts)
+            some = [(p, at) for p, at in enumerate(dealt) if len(at)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([row["chunk"].as_py()] * len(some), type=pa.int64()), pa.array([p for p, _ in some], type=pa.int64()),
+                pa.array([len(at) for _, at in some], type=pa.int64()),
+                pa.array([_squeezed(np.diff(pairs[at], prepend=0)) for _, at in some], type=pa.binary()),
+                *[pa.array([_squeezed(c[at]) for _, at in some], type=pa.binary()) for c in counts],
+            ], names=["chunk", "part", "n", "pairs", *KINDS])
+
+    def answer(asked: pa.Table) -> pa.Table:
+        sizes = asked["n"].to_pylist()
+        pairs = np.concatenate([np.cumsum(_numbers(x, n)) for x, n in zip(asked["pairs"].to_pylist(), sizes, strict=True)])
+        at = np.unique(pairs, return_inverse=True)[1]
+        del pairs
+        told = []
+        for kind in KINDS:
+            own = np.concatenate([_numbers(x, n) for x, n in zip(asked[kind].to_pylist(), sizes, strict=True)])
+            others = np.bincount(at, own).astype(np.int64)[at] - own
+            told.append(pa.array([_squeezed(x) for x in np.split(others, np.cumsum(sizes)[:-1])], type=pa.binary()))
+        return pa.table([asked["chunk"], asked["part"], asked["n"], *told], names=["chunk", "part", "n", *KINDS])
+
+    fields = "chunk long, part long, n long"
+    asked = parts.mapInArrow(ask, f"{fields}, pairs binary, target binary, background binary")
+    return asked.groupBy("part").applyInArrow(answer, f"{fields}, target binary, background binary")
+
+
+def _parts_of(words: Words) -> int:
+    return 1 + int(words.total[1]) // (8 << HOT_BITS)
+
+
+def losses(parts: DataFrame, words: Words) -> DataFrame:
+    """``sha, n_words, target_loss, background_loss`` of each text of :func:`chunks`, in bits a word, rounded to six digits.
+
+    With c other counts of a bigram its loss is log2((h + BACKOFF) / x) - log2(1 + c / x), h being the other counts of the word before and
+    x BACKOFF times the word's own chance. A bigram of one text only has no other counts, here as everywhere.
     """
-    words = models.words
-    shipped = classes.sparkSession.sparkContext.broadcast(
-        (words.hashes, words.own, words.before, words.shared, models.hot, models.hot_counts))
-    total, size = words.total, words.size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, place = cached(_hash), np.random.default_rng(0)
-        hashes, own, before, shared, hot, hot_counts = shipped.value
-
-        def one(key: int, text: str, copies: int, targets: int) -> tuple[np.ndarray, ...]:
-            v, w = _numbered(text, of, hashes)
-            pairs, n = np.unique((v << PAIR_BITS) | w, return_counts=True)
-            first, second = pairs >> PAIR_BITS, pairs & ((1 << PAIR_BITS) - 1)
-            times = np.array([[targets], [copies]], dtype=np.float64)
-
-            def others(counts: np.ndarray, mine: np.ndarray, at: np.ndarray) -> np.ndarray:
-                ids, n_mine = np.unique(mine, return_counts=True)
-                return counts[:, at] - times * n_mine[np.searchsorted(ids, at)]
-
-            left = total - times[:, 0] * len(w)
-            scale = np.array([[1.0], [left[0] / left[1] if left[1] else 0.0]])
-            x = BACKOFF * (others(own, w, second) * scale + UNIGRAM) / (left[0] + UNIGRAM * size)
-            sums = (np.log2((others(before, v, first) * scale + BACKOFF) / x) * n).sum(1)
-            at = np.minimum(np.searchsorted(hot, pairs), max(len(hot) - 1, 0))
-            is_hot = hot[at] == pairs if len(hot) else np.zeros(len(pairs), dtype=bool)
-            if is_hot.any():
-                c = (hot_counts[:, at[is_hot]] - times * n[is_hot]) * scale
-                sums = sums - (np.log2(1 + c / x[:, is_hot]) * n[is_hot]).sum(1)
-            rest = ~is_hot & shared[first] & shared[second]
-            n_rest = int(rest.sum())
-            return (
-                np.full(n_rest + 1, key), np.r_[pairs[rest], place.integers(-(1 << 62), 0)], np.r_[n[rest], 0],
-                np.full(n_rest + 1, targets), np.full(n_rest + 1, copies),
-                np.r_[1 / x[0, rest], 0], np.r_[scale[1] / x[1, rest], 0], [None] * n_rest + [[float(len(w)), *sums.tolist()]],
-            )
-
-        def rows(parts: list[tuple]) -> pa.RecordBatch:
-            *numbers, whole = zip(*parts, strict=True)
-            return pa.RecordBatch.from_arrays([
-                *[pa.array(np.concatenate(c).astype(t.to_pandas_dtype())) for c, t in zip(numbers, _ROWS.types, strict=False)],
-                pa.array(list(itertools.chain.from_iterable(whole)), type=_ROWS.types[-1]),
-            ], schema=_ROWS)
-
-        for batch in batches:
-            waiting, held = [], 0
-            for key, text, copies, targets in zip(*[batch[c].to_pylist() if c != "text" else batch[c]
-                                                    for c in ("key", "text", "copies", "targets")], strict=True):
-                waiting.append(one(key, text.as_py(), copies, targets))
-                held += len(waiting[-1][0])
-                if held > HELD:
-                    yield rows(waiting)
-                    waiting, held = [], 0
-            if held:
-                yield rows(waiting)
-
-    return classes.select("key", "text", "copies", "targets").mapInArrow(run, _ROWS_DDL)
-
-
-def losses(classes: DataFrame, models: Models) -> DataFrame:
-    """``sha, n_words, target_loss, background_loss`` of each text, in bits a word, rounded to six digits."""
-    counts = models.pairs.withColumnsRenamed({k: f"_{k}" for k in KINDS})
-    both = _parts(classes, models).join(counts.hint("merge"), "pair", "left").filter("n = 0 or _background is not null")
-
-    def lost(kind: str) -> Column:
-        others = F.col(f"_{kind}") - F.col("n") * F.col("targets" if kind == "target" else "copies")
-        return F.when(F.col("n") > 0, -F.col("n") * F.log2(1 + others * F.col(kind).cast("double"))).otherwise(
-            F.col("whole")[1 + KINDS.index(kind)])
-
-    words = F.sum(F.col("whole")[0]).cast("long")
-    sums = both.groupBy("key").agg(words.alias("n_words"), *[
-        F.when(words > 0, F.round(F.sum(lost(k)) / words, 6)).alias(f"{k}_loss") for k in KINDS])
-    return cut_lineage(classes.select("key", "sha").join(sums.hint("merge"), "key").drop("key"))
-
-
-def score(docs: DataFrame, text: str = "text", is_target: str = "is_target") -> DataFrame:
+    shipped = parts.sparkSession.sparkContext.broadcast((words.hashes, words.shared, words.own, words.before))
+    total, size, n_parts = words.total, words.size, _parts_of(words)
+
+    def score(rows: pa.Table, told: pa.Table) -> pa.Table:
+        row = {name: rows[name][0] for name in rows.column_names}
+        chunk, (hashes, shared, own, before) = _Chunk(row), shipped.value
+        (v, w), (_, texts, n, group), (pairs, counts, at), dealt = _bigrams(chunk, (hashes, shared), n_parts)
+        counts = counts.astype(np.float64)
+        for part, n_told, *others in zip(*[told[c].to_pylist() for c in ("part", "n", *KINDS)], strict=True):
+            for kind, x in enumerate(others):
+                counts[kind, dealt[part]] += _numbers(x, n_told)
+        times, k = chunk.times.astype(np.float64), len(chunk.lengths)
+        left = total[:, None] - times * chunk.lengths
+        scale = np.stack([np.ones(k), np.divide(left[0], left[1], out=np.zeros(k), where=left[1] != 0)])
+        first = np.empty(len(n), dtype=np.int64)  # of each group, one of its words
+        first[group] = np.arange(len(group))
+
+        def others(of: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+            _, _, mine, place = chunk.groups(numbers)
+            return of[:, numbers[first]] - times[:, texts] * mine[place[first]]
+
+        x = BACKOFF * (others(own, w) * scale[:, texts] + UNIGRAM) / (left[0, texts] + UNIGRAM * size)
+        c = (counts[:, at] - times[:, texts] * n) * scale[:, texts]
+        lost = (np.log2((others(before, v) * scale[:, texts] + BACKOFF) / x) - np.log2(1 + c / x)) * n
+        sums = [np.bincount(texts, one, minlength=k) for one in lost]
+        return pa.table([row["shas"].values, pa.array(chunk.lengths), *map(pa.array, sums)], names=["sha", "n_words", *KINDS])
+
+    sums = parts.groupBy("chunk").cogroup(counts_elsewhere(parts, words).groupBy("chunk")).applyInArrow(
+        score, "sha binary, n_words long, target double, background double")
+    return cut_lineage(sums.select("sha", "n_words", *[
+        F.when(F.col("n_words") > 0, F.round(F.col(k) / F.col("n_words"), 6)).alias(f"{k}_loss") for k in KINDS]))
+
+
+def score(
+    docs: DataFrame, text: str = "text", is_target: str = "is_target", targets: DataFrame | None = None,
+) -> DataFrame:
     """``docs`` with n_words, target_loss, background_loss (bits a word) and difference.
 
     Low differences are like the target. Every text is scored by models that haven't read it: its counts and those of its
     copies are taken off. Texts without words, null ones included, have null losses and difference; a null mark is no target.
     Without any target, or without any other text, both models know nothing and the difference is zero. Columns of these names
-    are replaced. An empty table gives an empty one.
+    are replaced. An empty table gives an empty one. Targets are marked by a column, or are the rows that ``targets`` names (:func:`text_classes`).
     """
     names = ("n_words", "target_loss", "background_loss", "difference")
-    classes = text_classes(docs, text, is_target)
-    known = losses(classes, train(classes))
+    parts = chunks(text_classes(docs, text, is_target, targets))
+    known = losses(parts, vocabulary(cut_lineage(count_words(parts))))
     kept = [c for c in docs.columns if c not in names]
     rows = docs.select(*kept, F.unhex(F.sha2(F.col(text), 256)).alias("sha"))
     # One text may be a third of all rows, which are dealt out then.

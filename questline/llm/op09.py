@@ -8,10 +8,8 @@ from questline.llm.common import read
 
 def op9_xent_difference(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
-    good = read(spark, d, "labels").filter("quality = 1 and toxic = 0").select("doc_id").distinct()
-    # Labels grow with the corpus: never broadcast, and the plan is the same at every size.
-    marked = docs.join(good.withColumn("is_target", F.lit(True)).hint("merge"), "doc_id", "left")
-    return lm_scoring.score(marked).select("doc_id", "n_words", "target_loss", "background_loss", "difference")
+    good = read(spark, d, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
+    return lm_scoring.score(docs, targets=good).select("doc_id", "n_words", "target_loss", "background_loss", "difference")
 
 
 QUERIES = {"op9_xent_difference": op9_xent_difference}

@@ -481,6 +481,25 @@ def test_losses_leave_each_text_out(spark, monkeypatch, hot_bits, vocabulary_bit
         assert abs(r.target_loss - want(r.text)[0]) < 1e-5 and abs(r.background_loss - want(r.text)[1]) < 1e-5
 
 
+def test_bigrams_are_sent_packed_by_chunks(spark, monkeypatch):
+    """Many chunks and parts score like one chunk, targets named by a table like a column, and no bigram is a row of its own."""
+    pick = random.Random(5)
+    docs = [(i, " ".join(f"w{int(pick.paretovariate(0.7))}" for _ in range(pick.randint(0, 60))), i % 3 == 0) for i in range(120)]
+    docs += [(120, docs[0][1], False), (None, docs[1][1], False), (121, "", True), (122, None, True)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, is_target boolean").repartition(3)
+    names = ["text", "n_words", "target_loss", "background_loss", "difference"]
+    want = sorted(map(str, lm_scoring.score(rows).select(*names).collect()))
+    monkeypatch.setattr(lm_scoring, "HELD", 100)
+    monkeypatch.setattr(lm_scoring, "HOT_BITS", 6)
+    named = spark.createDataFrame([(r[0],) for r in docs if r[2]] * 2 + [(None,), (999,)], "doc_id long")
+    assert sorted(map(str, lm_scoring.score(rows.drop("is_target"), targets=named).select(*names).collect())) == want
+    parts = lm_scoring.chunks(lm_scoring.text_classes(rows))
+    words = lm_scoring.vocabulary(lm_scoring.count_words(parts).localCheckpoint())
+    sent = lm_scoring.counts_elsewhere(parts, words).select("chunk", "part", "n").collect()
+    n_chunks, n_parts = parts.count(), len({r.part for r in sent})
+    assert n_chunks > 10 and n_parts > 2 and len(sent) <= n_chunks * n_parts < sum(r.n for r in sent)
+
+
 def test_scores_do_not_tell_who_was_labelled(spark):
     """Good texts score alike whether or not the target has them, and good ones below bad ones."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
