@@ -326,3 +326,32 @@ def test_pairs_of_a_threshold_are_handed_on_by_one_group_without_a_shuffle(spark
     again = nb.nearest(twice, twice, query_id="id", corpus_id="id", query_vector="v", corpus_vector="v", query_group="grp",
                        corpus_group="grp", min_score=0.5, exclude_self=True, dim=8, block_rows=16)
     assert {(r[0], r[1]) for r in again.collect()} >= set(got)
+
+
+@pytest.mark.parametrize("width", [3, 64, 200, 4096])
+@pytest.mark.parametrize("k", [None, 1, 4])
+def test_candidates_hold_all_that_may_win_and_little_else(width, k):
+    """Also with ties, NaN, rows without any score and high floors; crowded blocks are cut by the maxima of column groups."""
+    pick = np.random.default_rng(width)
+    rough = np.round(pick.uniform(-1, 1, (50, width)), 3).astype(np.float32)
+    rough[3, :] = -np.inf
+    rough[4, ::2] = np.nan
+    rough[5, :] = 0.5
+    rough[6, -1] = 1
+    floor = np.where(np.arange(50) % 2, 0.9, -np.inf)
+    slices = list(nb._candidates(rough, floor, k))
+    got = {(int(i), int(j)) for r, c in slices for i, j in zip(r, c)}
+    assert all(np.all(np.diff(r) >= 0) for r, _ in slices) and len(got) == sum(len(r) for r, _ in slices)
+    known = np.where(np.isnan(rough), -np.inf, rough).astype(float)
+    for i, row in enumerate(known):
+        kth = np.sort(row)[-k] if k is not None and k <= width else -np.inf
+        assert {(i, int(j)) for j in np.flatnonzero((row > -2) & (row >= max(kth, floor[i])))} <= got
+    assert all(known[i, j] >= max(floor[i], -2) - 1e-4 for i, j in got)
+
+
+def test_batches_of_blocks_are_small(spark):
+    """A row that meets another is two blocks of vectors: batches of them are bounded by bytes, so a worker holds few."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    some = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.5])], "id string, vec array<float>")
+    nb.nearest(some, some, query_id="id", corpus_id="id", query_vector="vec", corpus_vector="vec", k=1)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20
