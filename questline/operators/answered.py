@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from questline.operators.lookup import lookup
+from questline.operators.lookup import hot_keys, lookup
 from questline.session import cut_lineage
 
 KEY, REPLY = "_request", "_reply"
@@ -57,8 +57,12 @@ def asked_once(
         earlier = cut_lineage(known.join(wanted.select(KEY).distinct(), KEY, "left_semi"))
         fresh.filter(F.col(REPLY)["error"].isNull()).write.mode("append").parquet(folder)
         replies = earlier.unionByName(fresh)
+    def keyed(given: DataFrame, parts: list[Column]) -> DataFrame:
+        return given.withColumn(KEY, F.when(parts[-1].isNotNull(), request_key(parts)))
+
+    # Hot requests are found in the rows themselves: the joins before would all be run for it.
+    hot = [hot_keys(keyed(rows, parts), [KEY]) for parts in requests]
     out = rows
-    for name, parts in zip(names, requests, strict=True):
-        keyed = out.withColumn(KEY, F.when(parts[-1].isNotNull(), request_key(parts)))
-        out = lookup(keyed, replies.withColumnRenamed(REPLY, name), [KEY], F.xxhash64(*rows.columns)).drop(KEY)
+    for name, parts, found in zip(names, requests, hot, strict=True):
+        out = lookup(keyed(out, parts), replies.withColumnRenamed(REPLY, name), [KEY], F.xxhash64(*rows.columns), found=found).drop(KEY)
     return out

@@ -5,8 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from questline.operators import enrich
+from questline.operators import answered, enrich
 from questline.operators.answered import asked_once, request_key
+from questline.operators.lookup import hot_keys
 
 
 def counting(folder, fail=None):
@@ -82,3 +83,18 @@ def test_texts_and_vectors_of_a_job(spark, tmp_path):
 
     again = enrich.with_embeddings(got, broken, "hash", str(tmp_path / "v"))
     assert again.exceptAll(first).count() == 0
+
+
+def test_hot_requests_are_found_before_any_join(spark, rows, monkeypatch, tmp_path):
+    """The second request's hot keys are looked for in the rows, not in their join with the first one's replies."""
+    plans, found = [], hot_keys
+
+    def watched(left, on, *more):
+        plans.append(left._jdf.queryExecution().optimizedPlan().toString())
+        return found(left, on, *more)
+
+    monkeypatch.setattr(answered, "hot_keys", watched)
+    got = asked_once(rows, [[F.col("model"), F.col("prompt")], [F.lit("x"), F.col("prompt")]], reply(counting(tmp_path)), ["a", "b"]).collect()
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
+    assert sorted((r.id, r.a and r.a.text, r.b and r.b.text) for r in got if r.id < 4) == [
+        (1, "m says a", "x says a"), (2, "m says a", "x says a"), (3, "n says a", "x says a")]
